@@ -1,3 +1,36 @@
 """The queries of the core operators as SQL, for an independent engine."""
 
-SQL = {}
+P2_FOUND = r"""
+with r as (
+  select distinct 'unit_aircraft' as ref_table, link_id as ref_id, trim(translate(lower(en_designator), '–－', '--')) as k, ingested_at as t from unit_aircraft where trim(en_designator) <> ''
+  union all
+  select distinct 'rag_chunks', chunk_id, cast(parent_id as varchar), ingested_at from rag_chunks where parent_id is not null),
+w as (select trim(translate(lower(asset_title), '–－', '--')) as title, ingested_at as a, deleted_at as z from weg_assets),
+keys as (
+  select k, a, z from (select title as k, a, z from w union select title[: i - 1], a, z from w, unnest(range(2, length(title) + 1)) as s(i) where title[i] in (' ', '(')) where k <> ''),
+g as (
+  select 'unit_aircraft' as ref_table, k, a, z from keys
+  union all select distinct 'rag_chunks', cast(parent_id as varchar), ingested_at, deleted_at from rag_parents),
+j as (
+  select r.ref_table, r.ref_id, r.t, count(g.a) as n, count(case when a <= t then 1 end) as begun, count(case when a <= t and (z is null or t < z) then 1 end) as alive
+  from r left join g on g.ref_table = r.ref_table and g.k = r.k group by r.ref_table, r.ref_id, r.k, r.t)
+select distinct ref_table, ref_id, case when n = 0 then 'missing' when begun > 0 then 'deleted' else 'late' end as reason, strftime(t, '%Y-%m') as ref_month from j where alive = 0
+"""
+
+P4_FOUND = r"""
+with recursive n as (
+  select asset_seq, '' as path, '' as near, false as element, json(dynamic_payload) as v from weg_assets where json_valid(dynamic_payload)
+  union all
+  select asset_seq, case when path = '' then step else path || ' > ' || step end, case when element then path else near end, is_item and json_type(child) = 'OBJECT', child from (
+    select asset_seq, path, near, element, true as is_item, '[' || (i - 1) || ']' as step, json_extract(v, '$[' || (i - 1) || ']') as child
+    from n, unnest(range(1, cast(json_array_length(v) as bigint) + 1)) as s(i) where json_type(v) = 'ARRAY'
+    union all
+    select asset_seq, path, near, element, false, k, json_extract(v, '$."' || k || '"') from n, unnest(json_keys(v)) as s(k) where json_type(v) = 'OBJECT'))
+select distinct asset_seq, path as object_path, near as parent_path from n where element
+"""
+
+SQL = {
+    "p2_found": P2_FOUND,
+    "p2_by_month": f"select ref_table, ref_month, reason, count(*) as refs from ({P2_FOUND}) group by all",
+    "p4_found": P4_FOUND,
+}

@@ -1,3 +1,36 @@
 """Queries of the core operators."""
 
-QUERIES = {}
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gneiss.operators import nested, references
+from gneiss.tables import table
+
+
+def p2_found(spark, d):
+    links = references.asset_references(table(spark, d, "unit_aircraft"), table(spark, d, "weg_assets"))
+    return links.union(references.page_references(table(spark, d, "rag_chunks"), table(spark, d, "rag_parents")))
+
+
+def p2_by_month(spark, d):
+    return p2_found(spark, d).groupBy("ref_table", "ref_month", "reason").agg(F.count("*").alias("refs"))
+
+
+def p4_found(spark, d):
+    return nested.flat_objects(table(spark, d, "weg_assets"))
+
+
+def p4_assets(spark, d):
+    return nested.flat_assets(table(spark, d, "weg_assets"))
+
+
+def p4_sections(spark, d):
+    return nested.flat_sections(table(spark, d, "weg_assets"))
+
+
+def p4_fields(spark, d):
+    return nested.flat_fields(table(spark, d, "weg_assets"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_by_month, p4_found, p4_assets, p4_sections, p4_fields)}
