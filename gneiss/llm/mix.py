@@ -7,7 +7,7 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.tables import cut_lineage
@@ -54,11 +54,11 @@ def source_rates(counts: DataFrame, targets: DataFrame, size: float = 0.5) -> Da
     count towards the size but are in no mix. A source named more than once in ``targets`` counts with its largest share; a NULL
     share or max_repeats is 0.
     """
-    total = counts.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("all_tokens"))
     per = counts.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("documents"))
     want = targets.filter("source is not null").groupBy("source").agg(F.coalesce(F.max("target_share"), F.lit(0.0)).alias("target_share"), F.coalesce(F.max("max_repeats"), F.lit(0)).alias("max_repeats"))
-    # both sides have a row for each source named in the targets; the total is one row
-    j = want.join(per, "source", "left").crossJoin(F.broadcast(total))
+    # a row for each source, so that the window over all of them is small; texts are tokenized once
+    j = per.join(want, "source", "full").withColumn("all_tokens", F.coalesce(F.sum("tokens").over(Window.partitionBy()), F.lit(0)))
+    j = j.filter("target_share is not null")
     tokens = F.coalesce("tokens", F.lit(0)).cast("long")
     wanted = F.col("target_share") * F.lit(size) * F.col("all_tokens")
     return j.select(
