@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gneiss.operators import nested, references
+from gneiss.operators import nested, references, units
 from gneiss.tables import table
 
 
@@ -33,4 +33,18 @@ def p4_fields(spark, d):
     return nested.flat_fields(table(spark, d, "weg_assets"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_by_month, p4_found, p4_assets, p4_sections, p4_fields)}
+def p5_found(spark, d):
+    return units.given_values(table(spark, d, "weg_assets"))
+
+
+def p5_values(spark, d):
+    return units.common_units(table(spark, d, "weg_assets"))
+
+
+def p5_inferred(spark, d):
+    """How many bare numbers were given which unit, and how many of them doubtfully."""
+    v = units.common_units(table(spark, d, "weg_assets")).filter("unit_source = 'inferred'")
+    return v.groupBy("quantity", "unit").agg(F.count("*").alias("readings"), F.count(F.when(F.col("uncertain"), 1)).alias("doubtful"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_by_month, p4_found, p4_assets, p4_sections, p4_fields, p5_found, p5_values, p5_inferred)}
