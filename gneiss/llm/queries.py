@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm import leaks, mix, spans, split
+from gneiss.llm import leaks, mix, scans, spans, split
 from gneiss.tables import table
 
 
@@ -22,6 +22,20 @@ def p1_pieces(spark, d):
     return split.split_records(_texts(spark, d)).select("table_name", "record_id", "piece_no", "start", "stop", "cut", "text").distinct()
 
 
+def _scanned(spark, d):
+    pages = table(spark, d, "rag_parents").select(F.lit("rag_parents").alias("table_name"), F.col("parent_id").alias("record_id"), "source", "page", "text")
+    notes = table(spark, d, "weg_assets").select(F.lit("weg_assets"), "asset_seq", F.lit("notes"), F.lit(None).cast("int"), "notes")
+    return pages.union(notes)
+
+
+def p3_found(spark, d):
+    return scans.noise_kinds(_scanned(spark, d))
+
+
+def p3_texts(spark, d):
+    return scans.repaired_texts(_scanned(spark, d))
+
+
 def p6_found(spark, d):
     return leaks.leaked_documents(table(spark, d, "documents"), table(spark, d, "gold_cases"))
 
@@ -65,4 +79,4 @@ def p8_share(spark, d):
     return spans.shared_share(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p6_found, p6_leaks, p6_cases, p7_found, p7_mix, p7_shares, p8_found, p8_spans, p8_share)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_texts, p6_found, p6_leaks, p6_cases, p7_found, p7_mix, p7_shares, p8_found, p8_spans, p8_share)}
