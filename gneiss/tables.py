@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives this package to the session's executors, which need not have it installed; Spark serves the archive from the driver."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        here = Path(__file__).resolve().parent
+        sc.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-')}/{here.name}", "zip", here.parent, here.name))
+        _SHIPPED.add(sc.applicationId)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` of the data folder ``sf_dir``."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
