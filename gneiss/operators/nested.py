@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-NODES = "asset_seq long, path string, object_path string, parent_path string, section string, key string, position int, kind string, depth int, value string"
-_SCHEMA = pa.schema([("asset_seq", pa.int64()), ("path", pa.string()), ("object_path", pa.string()), ("parent_path", pa.string()), ("section", pa.string()), ("key", pa.string()), ("position", pa.int32()), ("kind", pa.string()), ("depth", pa.int32()), ("value", pa.string())])
+NODES = "asset_seq long, path string, object_path string, parent_path string, section string, key string, position int, kind string, depth int, value string, `order` int"
+_SCHEMA = pa.schema([("asset_seq", pa.int64()), ("path", pa.string()), ("object_path", pa.string()), ("parent_path", pa.string()), ("section", pa.string()), ("key", pa.string()), ("position", pa.int32()), ("kind", pa.string()), ("depth", pa.int32()), ("value", pa.string()), ("order", pa.int32())])
 _KINDS = {ord("{"): "object", ord("["): "array", ord('"'): "string", ord("t"): "boolean", ord("f"): "boolean", ord("n"): "null"}
 
 
@@ -100,11 +100,11 @@ def flatten_batch(ids: list[int], texts: list[str]) -> list[tuple]:
         if starts[d] < len(at) and doc_of[starts[d]] == d and opening[starts[d]]:
             root = int(starts[d])
             seen[root] = ("", "", None, 0)
-            rows.append((ids[d], "", "", "", None, None, None, "object" if kind[root] == ord("{") else "array", 0, None))
+            rows.append((ids[d], "", "", "", None, None, None, "object" if kind[root] == ord("{") else "array", 0, None, 0))
         else:
             lo, hi = int(base[d]), int(top[d])
             text = data[lo:hi].decode().strip()
-            rows.append((ids[d], "", "", "", None, None, None, _KINDS.get(ord(text[0]), "number"), 0, text))
+            rows.append((ids[d], "", "", "", None, None, None, _KINDS.get(ord(text[0]), "number"), 0, text, 0))
     for m, pos in zip(first.tolist(), position.tolist()):
         c = int(container[m])
         path, near, section, depth = seen[c]
@@ -132,10 +132,10 @@ def flatten_batch(ids: list[int], texts: list[str]) -> list[tuple]:
             inner = m + 1 if not in_object else int(following[m]) + 1
             element = shape == "object" and not in_object
             seen[inner] = (here, here if element else near, own_section, depth + 1)
-            rows.append((ids[doc_of[m]], here, here if element else None, near, own_section, key, None if in_object else pos, shape, depth + 1, None))
+            rows.append((ids[doc_of[m]], here, here if element else None, near, own_section, key, None if in_object else pos, shape, depth + 1, None, begin - int(base[doc_of[m]])))
         else:
             text = (json.loads(value) if "\\" in value else value[1:-1]) if shape == "string" else None if shape == "null" else value
-            rows.append((ids[doc_of[m]], here, None, near, own_section, key, None if in_object else pos, shape, depth + 1, text))
+            rows.append((ids[doc_of[m]], here, None, near, own_section, key, None if in_object else pos, shape, depth + 1, text, begin - int(base[doc_of[m]])))
     return rows
 
 
@@ -155,7 +155,7 @@ def json_nodes(assets: DataFrame) -> DataFrame:
 
     ``path`` joins keys and ``[i]`` by `` > `` ('' for the document itself); ``object_path`` is set for objects that are array elements and names themselves; ``parent_path`` is
     the nearest enclosing such object ('' where there is none); ``section`` is the first step of the path. ``value`` is the text of a string, the literal of another scalar, NULL for null,
-    objects and arrays. NULL, empty and invalid documents have no row; repeated rows give the same rows again, which the tables below remove.
+    objects and arrays; ``order`` is where the value begins. NULL, empty and invalid documents have no row; repeated rows give the same rows again, which the tables below remove.
     """
     return assets.select(F.col("asset_seq").cast("long"), "dynamic_payload").mapInArrow(_flattener, NODES)
 

@@ -29,7 +29,151 @@ with recursive n as (
 select distinct asset_seq, path as object_path, near as parent_path from n where element
 """
 
+
+ASSETS = "select * exclude (rn) from (select *, row_number() over (partition by asset_title order by ingested_at desc, asset_seq desc) as rn from weg_assets where asset_title is not null) where rn = 1"
+UNITS = """select * exclude (rn) from (select *, row_number() over (partition by unit_key order by ingested_at desc nulls last, unit_name desc nulls last, service desc nulls last, branch desc nulls last, role desc nulls last,
+  theater_command desc nulls last, location_text desc nulls last, province desc nulls last, airbase desc nulls last, tactical_code desc nulls last, remarks desc nulls last) as rn from units where unit_key is not null) where rn = 1"""
+LINKS = "select * exclude (rn) from (select *, row_number() over (partition by unit_key, raw_designator order by ingested_at, link_id) as rn from unit_aircraft) where rn = 1"
+WITH = f"with a as ({ASSETS}), u as ({UNITS}), l as ({LINKS})"
+ORIGIN = "case when json_valid(dynamic_payload) then json_extract_string(dynamic_payload, '$.Metadata.Origin') end"
+DOMAIN = "case when json_valid(dynamic_payload) then json_extract_string(dynamic_payload, '$.Metadata.Domain') end"
+CATEGORY = f"coalesce(list_filter(list_transform(string_split({DOMAIN}, ','), lambda x: trim(x)), lambda x: x <> '')[-1], '(uncategorized)')"
+VALID = f"v as (select * exclude (dynamic_payload), case when json_valid(dynamic_payload) then dynamic_payload end as dynamic_payload from a)"
+
+LAYDOWN = f"""
+{WITH}, t as (select asset_title, {ORIGIN} as origin, {DOMAIN} as domain from a)
+select u.unit_key, u.unit_name, u.service, u.branch, u.role, u.theater_command, u.location_text, u.airbase, l.raw_designator, l.en_designator, t.asset_title as weg_asset_title, t.origin, t.domain
+from l join u on l.unit_key = u.unit_key
+left join t on lower(t.asset_title) = lower(l.en_designator) or lower(t.asset_title) like lower(l.en_designator) || ' %' or lower(t.asset_title) like lower(l.en_designator) || '(%'
+"""
+LAYDOWN_FILTERED = f"""
+select * from ({LAYDOWN}) where lower(service) like '%guard%' and lower(theater_command) like '%march%' and (lower(en_designator) like '%tzp-2%' or lower(raw_designator) like '%tzp-2%' or (unit_key, raw_designator) in (select (unit_key, raw_designator) from unit_aircraft where lower(cn_designator) like '%tzp-2%'))
+order by theater_command nulls first, unit_name nulls first, raw_designator nulls first, unit_key nulls first, weg_asset_title nulls first limit 100
+"""
+
+DOT = "list_dot_product(list_transform(embedding, lambda x: x::double), [0.5, -0.25, 0.125, 1.0, -1.0, 0.75, 0.0, 0.3]::double[])"
+CHUNKS = "c as (select distinct chunk_id, parent_id, source, embedding from rag_chunks where len(embedding) = 8 and list_count(embedding) = 8)"
+POOL = f"{CHUNKS}, s as (select distinct chunk_id, parent_id, {DOT} as score from c), pool as (select * from s order by score desc, chunk_id limit 15)"
+
+PAGES = r"""
+p as (select distinct source, parent_id as page_id, text from rag_parents),
+x as (select source, page_id, unnest(string_split_regex(text, '\r\n|[\n\r\x0c\x0b\x1c-\x1e\x{85}\x{2028}\x{2029}]')) as line, generate_subscripts(string_split_regex(text, '\r\n|[\n\r\x0c\x0b\x1c-\x1e\x{85}\x{2028}\x{2029}]'), 1) as i from p),
+y as (select source, page_id, i, regexp_replace(line, '^[\s\x{a0}\x{3000}\x{2000}-\x{200a}]+|[\s\x{a0}\x{3000}\x{2000}-\x{200a}]+$', '', 'g') as line from x),
+z as (select *, trim(regexp_replace(regexp_replace(lower(line), '\d+', '', 'g'), '[^a-z]+', ' ', 'g')) as line_key from y where line <> ''),
+n as (select source, count(distinct page_id) as n from p group by source),
+k as (select source, line_key, count(distinct page_id) as pages from z where length(line_key) >= 8 group by source, line_key),
+b as (select k.source, line_key, pages from k join n using (source) where n >= 2 and pages >= greatest(2, floor(n * 0.05)))
+"""
+WORDS = r"list_filter(string_split_regex(text, '[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'), lambda w: w <> '')"
+
+GOLD = "g as (select id, e.source, e.page, e.quote from (select id, unnest(expected) as e from gold_cases))"
+RETRIEVED = """
+h as (select id, expected[1].source as source from gold_cases),
+pg as (select source, page, row_number() over (partition by source order by page desc) as rank from (select distinct source, page from rag_parents)),
+r as (select id, rank, h.source, page from h join pg using (source) where rank <= 10)
+"""
+
+
+def _metrics(k: int, tolerance: int) -> str:
+    return f"""
+{GOLD}, {RETRIEVED},
+j as (select r.id, rank, g.source as gs, g.page as gp, r.source = g.source and abs(r.page - g.page) <= {tolerance} as ok, r.source = g.source as same from r join g using (id)),
+pr as (select id, rank, max(ok::int) as rel, max(same::int) as same from j group by id, rank),
+br as (select id, max(same) as same, min(case when rel = 1 then rank end) as best_rank, sum(case when rank <= {k} then rel else 0 end) as right_in_k, sum(case when rank <= {k} and rel = 1 then 1 / log2(rank + 1) else 0 end) as dcg from pr group by id),
+fo as (select id, count(distinct (gs, gp)) as found from j where ok and rank <= {k} group by id),
+la as (select id, count(*) as labels from g group by id),
+m as (select c.id, c.verified, coalesce(labels, 0) as labels, best_rank is not null as hit, coalesce(same, 0) = 1 as source_hit, best_rank, coalesce(1.0 / best_rank, 0.0) as reciprocal_rank, coalesce(right_in_k, 0) as right_in_k,
+  coalesce(right_in_k, 0) / {k}.0 as precision, case when coalesce(labels, 0) > 0 then coalesce(found, 0) / labels else 0.0 end as recall,
+  case when coalesce(labels, 0) > 0 and coalesce(dcg, 0) > 0 then dcg / list_sum(list_transform(range(1, least({k}, labels) + 1), lambda i: 1 / log2(i + 1))) else 0.0 end as ndcg
+  from gold_cases c left join la using (id) left join br using (id) left join fo using (id))
+"""
+
+
+LINES = r"li as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no from documents where text is not null)"
+FOLDED = r"lower(regexp_replace(regexp_replace(translate({0}, '’‘“”—–' || chr(173), '{q}{q}\"\"--'), '[\s\x{{a0}}]+', ' ', 'g'), '^ | $', '', 'g'))".replace("{q}", "''").replace('\\"', '"')
+
 SQL = {
+    "laydown_prefix_join": LAYDOWN,
+    "laydown_filtered": LAYDOWN_FILTERED,
+    "laydown_chinese": f"{WITH} select unit_key, raw_designator, en_designator from l where lower(en_designator) = 'dbk-27' or lower(cn_designator) like '%dbk-27%' or lower(raw_designator) like '%dbk-27%'",
+    "laydown_linked": f'select count(*) as "rows", count(weg_asset_title) as linked from ({LAYDOWN})',
+    "capability_view": f"select distinct en_designator, trim(split_part(weg_asset_title, '(', 1)) as kind, weg_asset_title from ({LAYDOWN}) where weg_asset_title is not null",
+    "catalog_search": f"""{WITH} select asset_title, source_url, {ORIGIN} as origin, {DOMAIN} as domain from a where lower(asset_title) like '%trainer%' and lower({ORIGIN}) like '%velmora%' and lower({DOMAIN}) like '%air%'
+      order by asset_title nulls first, source_url limit 50""",
+    "catalog_point": f"{WITH} select asset_title, asset_seq, cast(len(json_keys(dynamic_payload)) as integer) as sections from a where asset_title = 'DBK-272 Ostrelian Survey Drone'",
+    "origin_filter": f"select asset_seq, asset_title from weg_assets where lower(coalesce({ORIGIN}, '')) like '%velmora%' or lower(asset_title) like '%velmora%'",
+    "origin_filter_limit": f"select asset_seq, asset_title from weg_assets where lower(coalesce({ORIGIN}, '')) like '%tarsk%' or lower(asset_title) like '%tarsk%' order by asset_seq limit 25",
+    "json_path_counts": f"{WITH} select coalesce(nullif({ORIGIN}, ''), '(unknown)') as origin, count(*) as n from a group by 1",
+    "category_breakdown": f"{WITH} select {CATEGORY} as category, count(*) as n from a group by 1",
+    "category_of_origin": f"{WITH} select {CATEGORY} as category, count(*) as n from a where lower({ORIGIN}) like '%velmora%' group by 1",
+    "share_of_total": f"{WITH} select {CATEGORY} as category, count(*) as n, round(100 * count(*) / sum(count(*)) over (), 4) as percent from a group by 1",
+    "json_sections": f"{WITH}, {VALID} select asset_title, cast(generate_subscripts(json_keys(dynamic_payload), 1) - 1 as integer) as position, unnest(json_keys(dynamic_payload)) as section from v where json_type(dynamic_payload) = 'OBJECT'",
+    "json_section_fetch": f"{WITH}, {VALID} select asset_title, cast(json_extract(dynamic_payload, '$.Metadata') as varchar) as section from v where json_extract(dynamic_payload, '$.Metadata') is not null",
+    "search_units": f"{WITH} select unit_key, unit_name, service, role from u where lower(service) like '%sky%' and lower(role) like '%transport%' order by unit_name nulls first, unit_key nulls first limit 50",
+    "unit_point": f"{WITH} select unit_key, role, coalesce((select string_agg(distinct raw_designator, ';' order by raw_designator) from l where l.unit_key = u.unit_key), '') as aircraft from u where unit_key = 'Squadron 131 Calorvik'",
+    "hub_with_children": f"{WITH}, x as (select unit_key, string_agg(distinct raw_designator, ';' order by raw_designator) as aircraft from l group by unit_key) select u.unit_key, unit_name, coalesce(aircraft, '') as aircraft from u left join x on x.unit_key = u.unit_key",
+    "units_for_item_semi": f"{WITH} select distinct u.unit_key, unit_name, theater_command from u join l on l.unit_key = u.unit_key where lower(en_designator) like '%dbk-2%' or lower(cn_designator) like '%dbk-2%' or lower(raw_designator) like '%dbk-2%'",
+    "inventory_distinct": f"{WITH} select coalesce(nullif(coalesce(nullif(en_designator, ''), cn_designator), ''), '(unknown)') as designator, count(distinct u.unit_key) as units from l join u on l.unit_key = u.unit_key group by 1",
+    "inventory_of_service": f"{WITH} select coalesce(nullif(coalesce(nullif(en_designator, ''), cn_designator), ''), '(unknown)') as designator, count(distinct u.unit_key) as units from l join u on l.unit_key = u.unit_key where lower(service) like '%coast%' group by 1",
+    "role_breakdown": f"{WITH} select coalesce(nullif(role, ''), '(unknown)') as role, count(*) as n from u group by 1",
+    "theater_breakdown": f"{WITH} select coalesce(nullif(theater_command, ''), '(none)') as theater, count(*) as n from u group by 1",
+    "row_counts": " union all ".join(f"select '{n}' as table_name, count(*) as n from {n}" for n in ("weg_assets", "units", "unit_aircraft", "rag_parents", "rag_chunks")),
+    "upsert_latest": f"select asset_title, asset_seq, ingested_at from ({ASSETS})",
+    "upsert_events": "select user_id, event_id, event_type, value from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from events) where rn = 1",
+    "insert_or_ignore": f"select unit_key, raw_designator, link_id from ({LINKS})",
+    "cascade_links": f"{WITH} select unit_key, raw_designator from l where unit_key in (select unit_key from u)",
+    "vector_topk": f"with {POOL} select chunk_id, parent_id, round(score, 6) as score from pool",
+    "vector_topk_parent": f"""with {POOL}, b as (select parent_id, max(score) as score from pool group by parent_id order by score desc, parent_id limit 4)
+      select distinct b.parent_id, source || ' p.' || page as citation, round(score, 4) as score from b join rag_parents p on p.parent_id = b.parent_id""",
+    "vector_topk_sources": f"with {CHUNKS} select chunk_id, round(score, 6) as score from (select distinct chunk_id, parent_id, {DOT} as score from c where source = 'composite_field_manual.pdf') order by score desc, chunk_id limit 15",
+    "vector_batch": """
+      with s as (select q.vec_id as query_id, v.vec_id as chunk_id, list_dot_product(list_transform(q.embedding, lambda x: x::double), list_transform(v.embedding, lambda x: x::double)) as score from embeddings q, embeddings v where q.vec_id % 20 = 0),
+      k as (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from s) select query_id, chunk_id, cast(rank as integer) as rank, round(score, 6) as score from k where rank <= 10""",
+    "l2_normalize": """
+      with c as (select distinct chunk_id, parent_id, source, list_transform(embedding, lambda x: x::double) as v from rag_chunks where embedding is not null),
+      n as (select chunk_id, v, sqrt(coalesce(list_sum(list_transform(v, lambda x: x * x)), 0)) as n from c)
+      select chunk_id, cast(len(v) as integer) as size, case when list_count(v) < len(v) then null when n = 0 then 0.0 else 1.0 end as norm, round(v[1] / case when n = 0 then 1 else n end, 6) as first from n""",
+    "hash_embed": r"""
+      with w as (select id, unnest(list_filter(string_split_regex(lower(query_text), '\s+'), lambda w: w <> '')) as w from gold_cases),
+      b as (select id, cast(('0x' || right(sha1(w), 8)) as bigint) % 64 as bucket, count(*) as n from w group by 1, 2)
+      select id, cast(bucket as integer) as bucket, round(n / sqrt(sum(n * n) over (partition by id)), 6) as weight from b""",
+    "ir_metrics": f"with {_metrics(4, 1)} select id, labels, hit, source_hit, cast(best_rank as integer) as best_rank, round(reciprocal_rank, 6) as reciprocal_rank, round(precision, 6) as precision, round(recall, 6) as recall, round(ndcg, 6) as ndcg from m",
+    "ir_summary": f"""with {_metrics(10, 3)} select count(*) as cases, cast(sum(labels) as bigint) as labels, count(case when not verified then 1 end) as unverified, round(avg(hit::int), 6) as hit_rate, round(avg(source_hit::int), 6) as source_hit_rate, round(avg(reciprocal_rank), 6) as mrr,
+      round(avg(precision), 6) as mean_precision, round(avg(recall), 6) as mean_recall, round(avg(ndcg), 6) as mean_ndcg, round(sum(right_in_k) / (count(*) * 10), 6) as micro_precision from m""",
+    "quote_validation": f"""with {GOLD}, q as (select distinct id, source, page, quote from g where quote <> '')
+      select q.id, q.source, q.page, coalesce(max(contains({FOLDED.format("p.text")}, {FOLDED.format("q.quote")})), false) as valid from q left join rag_parents p on p.source = q.source and p.page = q.page group by q.id, q.source, q.page, q.quote""",
+    "anti_missing_refs": f"with {GOLD} select distinct source from g where source is not null and source not in (select source from rag_parents where source is not null)",
+    "boilerplate_keys": f"with {PAGES} select * from b",
+    "strip_boilerplate": f"""with {PAGES},
+      o as (select source, page_id, string_agg(line, ' ' order by i) as text from z where not regexp_full_match(lower(line), '(?:page\\s*)?\\d{{1,4}}') and not exists (select 1 from b where b.source = z.source and b.line_key = z.line_key) group by source, page_id)
+      select distinct p.source, p.page_id, trim(regexp_replace(coalesce(o.text, ''), '[\\s\\x{{a0}}\\x{{3000}}]+', ' ', 'g')) as text from p left join o on o.source = p.source and o.page_id = p.page_id""",
+    "chunk_windows": f"""
+      with p as (select distinct source, parent_id as page_id, text from rag_parents), w as (select page_id, {WORDS} as w from p),
+      c as (select page_id, w, unnest(range(0, 1 + greatest(0, cast(ceil((len(w) - 150) / 120) as bigint)))) as child_no from w where len(w) > 0)
+      select distinct page_id, cast(child_no as integer) as child_no, cast(len(w[child_no * 120 + 1 : child_no * 120 + 150]) as integer) as words, md5(array_to_string(w[child_no * 120 + 1 : child_no * 120 + 150], ' ')) as digest from c where len(w[child_no * 120 + 1 : child_no * 120 + 150]) >= 20""",
+    "code_normalize": r"""
+      with x as (select distinct raw_designator, regexp_extract(trim(raw_designator), '^([一-鿿]+)[-－–]?(\d+)', 1) as p, regexp_extract(trim(raw_designator), '^([一-鿿]+)[-－–]?(\d+)', 2) as n from unit_aircraft where raw_designator is not null),
+      y as (select *, case when n = '' then null when p like '渊锋镝%' then 1 when p like '炽珀鹳%' then 2 when p like '晖砾铎%' then 3 when p like '溟澍%' then 4 end as k from x)
+      select raw_designator, case k when 1 then '渊锋镝-' || n when 2 then '炽珀鹳-' || n when 3 then '晖砾铎-' || n when 4 then '溟澍-' || n else trim(raw_designator) end as cn_base,
+      case k when 1 then 'ZKX-' || n when 2 then 'TZP-' || n when 3 then 'FBN-' || n when 4 then 'DBK-' || n end as en_base from y""",
+    "scenario_resolve": r"""
+      with x as (select doc_id, text, lower(text) as t, regexp_extract(text, '(?:^|[^\p{L}\p{N}_])([A-Za-z]{1,3}-\d{1,3}[A-Za-z]?)(?:$|[^\p{L}\p{N}_])', 1) as latin from documents),
+      y as (select *, case when contains(t, 'coastal outpost') then 'coastal outpost' when contains(t, 'field manual') then 'field manual' when contains(t, 'outpost') then 'outpost' when contains(t, 'manual') then 'manual' end as place from x)
+      select doc_id, nullif(upper(latin), '') as designator, case place when 'coastal outpost' then 'Northmarch' when 'field manual' then 'Eastmarch+Westfold' when 'outpost' then 'Eastmarch' when 'manual' then 'Westfold' else '' end as theaters,
+      case when contains(t, 'tanker') then 'transport' when contains(t, 'trainer') then 'training' when contains(t, 'drone') then 'uav' when contains(t, 'airframe') then 'fighter' end as role, place as matched_location from y""",
+    "retrieval_text": "select doc_id, concat_ws(' ', nullif(source, ''), nullif(subject_code, ''), nullif(lang, '')) as q from documents",
+    "kv_parse": r"""
+      with f as (select doc_id, split_part(text, chr(10), 1) as line from documents where text is not null),
+      k as (select doc_id, regexp_replace(line[: position(': ' in line) - 1], '^\s+|\s+$', '', 'g') as label, regexp_replace(line[position(': ' in line) + 2 :], '^\s+|\s+$', '', 'g') as value from f where position(': ' in line) > 0)
+      select * from k where label <> '' and value <> ''""",
+    "line_classify": f"with {LINES} select case when length(line) < 40 then 'title' when length(line) < 80 then 'section' when length(line) < 160 then 'subsection' else 'body' end as kind, count(*) as lines from li group by 1",
+    "carry_state": f"""with {LINES}, s as (select *, case when regexp_matches(line, '^(In|For) ') then line_no when line = '' then -1 end as mark from li)
+      select doc_id, cast(line_no as integer) as line_no, cast(nullif(last_value(mark ignore nulls) over (partition by doc_id order by line_no rows unbounded preceding), -1) as integer) as carried from s""",
+    "segment_runs": f"""with {LINES}, s as (select doc_id, line_no, case when coalesce((length(line) < 80) <> lag(length(line) < 80) over (partition by doc_id order by line_no), true) then 1 else 0 end as begins from li),
+      r as (select *, sum(begins) over (partition by doc_id order by line_no rows unbounded preceding) as run from s) select doc_id, cast(run as bigint) as run, count(*) as lines, cast(min(line_no) as integer) as first from r group by doc_id, run""",
+    "layout_titles": rf"""with {LINES} select cast(doc_id as varchar) as doc, 1::bigint as asset_seq, trim(regexp_replace(line, '[\s\x{{a0}}]+', ' ', 'g')) as asset_title from li where line_no = 0 and line <> ''""",
+    "unit_key_synthesis": "select distinct unit_key, coalesce(nullif(unit_name, ''), coalesce(nullif(role, ''), 'unit') || '|' || coalesce(nullif(location_text, ''), '?')) as made from units",
+    "quote_fold": f"with {GOLD} select distinct id, md5({FOLDED.format('quote')}) as folded, case when length(source) > 20 then source[:17] || '...' else source end as source from g where quote is not null",
     "p2_found": P2_FOUND,
     "p2_by_month": f"select ref_table, ref_month, reason, count(*) as refs from ({P2_FOUND}) group by all",
     "p4_found": P4_FOUND,
