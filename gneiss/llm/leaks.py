@@ -1,8 +1,8 @@
 """Evaluation passages inside a training corpus.
 
 Texts are reduced to lower-case words with single spaces. A passage that stands in a document, with at most ``max_edits`` changed
-characters, shares at least ``n + 1 - q - q * max_edits`` character q-grams with it on neighbouring diagonals, where ``n`` is the length of its shortest
-run of ``min_words`` words (the q-gram lemma). Shared q-grams are counted in overlapping bands of diagonals; bands that reach the bound
+characters, shares at least ``n + 1 - q - q * max_edits`` character q-grams with it on neighbouring diagonals and within ``n`` characters, where ``n`` is the length of its
+shortest run of ``min_words`` words (the q-gram lemma). Shared q-grams are counted in overlapping bands of diagonals; bands that reach the bound
 are aligned within the band, and the words that both sides have in common one after another are counted exactly.
 """
 
@@ -103,16 +103,23 @@ class PassageIndex:
         owner = self.owner[post]
         text = np.searchsorted(starts, at, side="right") - 1
         # diagonals are made positive; every one lies in two bands
-        diagonal = at - self.place[post] + (1 << 40)
+        lead = -(-max(map(len, self.codes)) // _HALF_BAND) * _HALF_BAND + _HALF_BAND
+        diagonal = at - self.place[post] + lead
         band = np.r_[diagonal // _HALF_BAND, diagonal // _HALF_BAND - 1]
-        key = np.rec.fromarrays([np.r_[text, text], np.r_[owner, owner], band])
-        order = np.lexsort((key.f2, key.f1, key.f0))
-        key = key[order]
-        edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        count = np.diff(np.r_[edge, len(key)])
-        key = key[edge]
-        key = key[count >= self.need[key.f1]]
-        return key.f0.astype(np.int64), key.f1.astype(np.int64), key.f2.astype(np.int64) * _HALF_BAND - (1 << 40)
+        pair = text.astype(np.int64) * len(self.codes) + owner
+        key = (np.r_[pair, pair] << 32) | band
+        at = np.r_[at, at]
+        order = np.lexsort((at, key))
+        key, at = key[order], at[order]
+        # the bound holds for every stretch as long as the passage's shortest run, so its q-grams must stand that close
+        who = (key >> 32) % len(self.codes)
+        last = np.arange(len(key)) + self.need[who] - 1
+        ok = last < len(key)
+        last = np.minimum(last, len(key) - 1)
+        ok &= (key[last] == key) & (at[last] - at <= self.shortest[who] - self.q + self.max_edits)
+        key = np.unique(key[ok])
+        pair, band = key >> 32, key & 0xFFFFFFFF
+        return pair // len(self.codes), pair % len(self.codes), band * _HALF_BAND - lead
 
     def align(self, x: np.ndarray, passage: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
         """The best local alignment inside each band: columns score, edits, first and last place of the passage, first and last in ``x``."""
