@@ -270,12 +270,15 @@ def _marker(known):
                             if joined not in k and right:
                                 rows.append(("word", name, record, source, page, joined, None))
                     body = _CUT.sub(" ", text)
-                before = ""
-                for w in _WORD.findall(_CODE.sub(" ", body)):
-                    low = w.lower()
-                    if low not in k and not w.isdigit():
-                        rows.append(("number" if _MISREAD_NUMBER.match(w) else "word", name, record, source, page, low, before))
-                    before = low
+                body = _CODE.sub(" ", body)
+                low = _WORD.findall(body.lower())
+                odd = {w for w in set(low) - k if not w.isdigit()}
+                if odd:
+                    raw = _WORD.findall(body)
+                    if len(raw) != len(low):  # a letter whose lower case is two
+                        raw, low = raw, [w.lower() for w in raw]
+                        odd = {w for w in set(low) - k if not w.isdigit()}
+                    rows += [("number" if _MISREAD_NUMBER.match(raw[i]) else "word", name, record, source, page, w, low[i - 1] if i else "") for i, w in enumerate(low) if w in odd]
                 if len(rows) > 20000:
                     yield to_batch(rows)
                     rows = []
@@ -349,7 +352,8 @@ def _bigrams(asked):
             for t in batch.column(0).to_pylist():
                 if t:
                     w = words_of(t)
-                    n.update((a, b) for a, b in zip(w, w[1:]) if b in want)
+                    if not want.isdisjoint(w):
+                        n.update((w[i - 1], b) for i, b in enumerate(w) if b in want and i)
         keys = list(n)
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in keys], pa.string()), pa.array([b for _, b in keys], pa.string()), pa.array([n[k] for k in keys], pa.int64())], ["before", "printed", "pair"])
 
@@ -363,9 +367,8 @@ def repairs(records: DataFrame, s: Survey) -> DataFrame:
     """
     places = s.misread_places().distinct()
     options = places.join(s.misread.withColumnRenamed("read", "what"), "what")
-    several = s.misread.groupBy("read").agg(F.count("*").alias("k")).filter("k > 1").select("read")
     # a subset of the frequent words, so at most as many
-    asked = s.misread.join(several, "read", "left_semi").select("printed").distinct()
+    asked = options.withColumn("k", F.count("*").over(Window.partitionBy("table_name", "record_id", "what", "before"))).filter("k > 1").select("printed").distinct()
     want = records.sparkSession.sparkContext.broadcast({r["printed"] for r in asked.toLocalIterator()})
     pairs = records.select("text").filter("text is not null").mapInArrow(_bigrams(want), "before string, printed string, pair long").groupBy("before", "printed").agg(F.sum("pair").alias("pair"))
     ranked = options.join(pairs, ["before", "printed"], "left").withColumn("pair", F.coalesce("pair", F.lit(0)))
