@@ -33,7 +33,8 @@ _L = "A-Za-zÀ-ɏ0-9"
 _WORD = re.compile(f"[{_L}|]*[{_L}][{_L}|]*")
 _CODE = re.compile(r"\b[A-Z]{2,4}-\d+")
 _COMPOUND = re.compile(f"(?<![{_L}-])[{_L}]+(?:-[{_L}]+)+(?![{_L}-])")
-_CUT = re.compile(f"([{_L}|]*)([{MARKS}])[ \t]*\r?\n[ \t]*([{_L}|]*)")
+_BREAK = re.compile(f"([{MARKS}])[ \t]*\r?\n[ \t]*")
+_RUN = re.compile(f"[{_L}|]*")
 _DIGIT = r"(?:[\dlIOSBo|](?:,(?=\d{3}))?)"
 _NUM = rf"(?=[^\n]*\d){_DIGIT}{{1,6}}"
 _SPACED = r"(?=[^\n]*\d)[\dlIOSB](?: [\dlIOSB]){1,5}"
@@ -56,9 +57,32 @@ def head_key(line: str) -> str:
     return re.sub(r"[\W\d_]+", "", s).lower()
 
 
+def breaks(text: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """Start and end of what a mark at a line end divides, and the parts: left, mark, right."""
+    at = 0
+    for m in _BREAK.finditer(text):
+        k, n = m.start(), 64
+        left = _RUN.match(text[max(at, k - n) : k][::-1])[0]
+        while len(left) == n and k - n > at:
+            n *= 4
+            left = _RUN.match(text[max(at, k - n) : k][::-1])[0]
+        right = _RUN.match(text, m.end())[0]
+        at = m.end() + len(right)
+        yield k - len(left), at, left[::-1], m[1], right
+
+
+def without_cuts(text: str) -> str:
+    """The text with a space in place of every word that a line end divides."""
+    out, at = [], 0
+    for a, b, *_ in breaks(text):
+        out.append(text[at:a])
+        at = b
+    return " ".join([*out, text[at:]]) if out else text
+
+
 def words_of(text: str) -> list[str]:
     """Lower-case words of a text without codes and without words cut at a line end."""
-    return _WORD.findall(_CUT.sub(" ", _CODE.sub(" ", text)).lower())
+    return _WORD.findall(without_cuts(_CODE.sub(" ", text)).lower())
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,12 +260,12 @@ _MARKS = "kind string, table_name string, record_id long, source string, page in
 _MARK_SCHEMA = pa.schema([("kind", pa.string()), ("table_name", pa.string()), ("record_id", pa.int64()), ("source", pa.string()), ("page", pa.int32()), ("what", pa.string()), ("before", pa.string())])
 
 
-def cuts(text: str) -> Iterator[tuple[str, str, str, str, re.Match]]:
-    """Words that end a line with a mark: left, mark, right, and the first word of the line after next."""
-    for m in _CUT.finditer(text):
-        nxt = text.find("\n", m.end())
+def cuts(text: str) -> Iterator[tuple[str, str, str, str, int, int]]:
+    """Words that end a line with a mark: left, mark, right, the first word of the line after next, start and end."""
+    for a, b, left, mark, right in breaks(text):
+        nxt = text.find("\n", b)
         following = _WORD.match(text[nxt + 1 : nxt + 60].lstrip()) if nxt >= 0 else None
-        yield m[1], m[2], m[3], following[0] if following else "", m
+        yield left, mark, right, following[0] if following else "", a, b
 
 
 def _marker(known):
@@ -263,13 +287,13 @@ def _marker(known):
                         rows.append(("line", name, record, source, page, key, None))
                 body = text
                 if any(c in text for c in MARKS):
-                    for left, mark, right, following, _ in cuts(text):
+                    for left, mark, right, following, *_ in cuts(text):
                         if real_cut(left, mark, right, following, k):
                             rows.append(("hyphen", name, record, source, page, None, None))
                             joined = (left + right).lower()
                             if joined not in k and right:
                                 rows.append(("word", name, record, source, page, joined, None))
-                    body = _CUT.sub(" ", text)
+                    body = without_cuts(text)
                 body = _CODE.sub(" ", body)
                 low = _WORD.findall(body.lower())
                 odd = {w for w in set(low) - k if not w.isdigit()}
@@ -396,12 +420,9 @@ def repaired(text: str, note: bool, heads: set[str], fixes: dict[tuple[str, str]
     drop |= {i for i in full if i in edge and i not in drop and head_key(raw[i]) in heads}
     text = "\n".join(line for i, line in enumerate(raw) if i not in drop)
     out, at = [], 0
-    for left, mark, right, following, m in cuts(text):
-        if real_cut(left, mark, right, following, known):
-            out += [text[at : m.start()], left + right]
-        else:
-            out += [text[at : m.start()], left + mark + right]
-        at = m.end()
+    for left, mark, right, following, a, b in cuts(text):
+        out += [text[at:a], left + right if real_cut(left, mark, right, following, known) else left + mark + right]
+        at = b
     text = "".join([*out, text[at:]])
     any_before = {w: p for (w, _), p in fixes.items()}
     out, at, before = [], 0, ""
