@@ -31,6 +31,7 @@ MARKS = "-‐\xad¬"
 
 _L = "A-Za-zÀ-ɏ0-9"
 _WORD = re.compile(f"[{_L}|]*[{_L}][{_L}|]*")
+_FIRST = re.compile(rf"\s*({_WORD.pattern})")
 _CODE = re.compile(r"\b[A-Z]{2,4}-\d+")
 _COMPOUND = re.compile(f"(?<![{_L}-])[{_L}]+(?:-[{_L}]+)+(?![{_L}-])")
 _BREAK = re.compile(f"([{MARKS}])[ \t]*\r?\n[ \t]*")
@@ -264,8 +265,8 @@ def cuts(text: str) -> Iterator[tuple[str, str, str, str, int, int]]:
     """Words that end a line with a mark: left, mark, right, the first word of the line after next, start and end."""
     for a, b, left, mark, right in breaks(text):
         nxt = text.find("\n", b)
-        following = _WORD.match(text[nxt + 1 : nxt + 60].lstrip()) if nxt >= 0 else None
-        yield left, mark, right, following[0] if following else "", a, b
+        following = _FIRST.match(text, nxt + 1) if nxt >= 0 else None
+        yield left, mark, right, following[1] if following else "", a, b
 
 
 def _marker(known):
@@ -279,7 +280,7 @@ def _marker(known):
                 note = name == "weg_assets"
                 lines = _visible(text)
                 numbers = page_number_lines(lines, note)
-                rows += [("pageno?" if beside else "pageno", name, record, source, page, None, None) for _, beside in numbers[:8]]
+                rows += [("pageno?" if beside else "pageno", name, record, source, page, None, None) for beside in {b for _, b in numbers}]
                 skip = {i for i, _ in numbers}
                 for i in range(len(lines)) if note else sorted({i for i in (0, 1, 2, len(lines) - 3, len(lines) - 2, len(lines) - 1) if 0 <= i < len(lines)}):
                     s = lines[i]
