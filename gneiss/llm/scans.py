@@ -257,8 +257,8 @@ class Known(frozenset):
         return Known, (list(self),)
 
 
-_MARKS = "kind string, table_name string, record_id long, source string, page int, what string, before string"
-_MARK_SCHEMA = pa.schema([("kind", pa.string()), ("table_name", pa.string()), ("record_id", pa.int64()), ("source", pa.string()), ("page", pa.int32()), ("what", pa.string()), ("before", pa.string())])
+_MARKS = "kind string, table_name string, record_id long, source string, page int, what string, before string, n long"
+_MARK_SCHEMA = pa.schema([("kind", pa.string()), ("table_name", pa.string()), ("record_id", pa.int64()), ("source", pa.string()), ("page", pa.int32()), ("what", pa.string()), ("before", pa.string()), ("n", pa.int64())])
 
 
 def cuts(text: str) -> Iterator[tuple[str, str, str, str, int, int]]:
@@ -269,9 +269,10 @@ def cuts(text: str) -> Iterator[tuple[str, str, str, str, int, int]]:
         yield left, mark, right, following[1] if following else "", a, b
 
 
-def _marker(known):
+def _marker(known, asked):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k = known.value
+        k, want = known.value, asked.value
+        pairs: Counter = Counter()
         for batch in batches:
             rows = []
             for name, record, source, page, text in zip(*(batch.column(i).to_pylist() for i in range(5))):
@@ -297,6 +298,8 @@ def _marker(known):
                     body = without_cuts(text)
                 body = _CODE.sub(" ", body)
                 low = _WORD.findall(body.lower())
+                if want and not want.isdisjoint(low):
+                    pairs.update((a, b) for a, b in zip(low, low[1:]) if b in want)
                 odd = {w for w in set(low) - k if not w.isdigit()}
                 if odd:
                     raw = _WORD.findall(body)
@@ -309,18 +312,31 @@ def _marker(known):
                     rows = []
             if rows:
                 yield to_batch(rows)
+            if len(pairs) > 1 << 18:
+                yield counted(pairs)
+                pairs.clear()
+        if pairs:
+            yield counted(pairs)
+
+    def counted(pairs: Counter) -> pa.RecordBatch:
+        none, keys = [None] * len(pairs), list(pairs)
+        columns = [["pair"] * len(pairs), none, none, none, none, [b for _, b in keys], [a for a, _ in keys], [pairs[x] for x in keys]]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _MARK_SCHEMA)], schema=_MARK_SCHEMA)
 
     def to_batch(rows: list[tuple]) -> pa.RecordBatch:
-        rows = list(dict.fromkeys(rows))
+        rows = [(*r, None) for r in dict.fromkeys(rows)]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _MARK_SCHEMA)], schema=_MARK_SCHEMA)
 
     return run
 
 
 class Survey:
-    """What all texts together tell: the lexicon, the misread words, and the marks found in each record."""
+    """What all texts together tell: the lexicon, the misread words, and the marks found in each record.
+
+    With ``pairs`` the same pass also counts what stands before the words that a misread word may have been.
+    """
 
-    def __init__(self, records: DataFrame):
+    def __init__(self, records: DataFrame, pairs: bool = False):
         spark = records.sparkSession
         self.counts = cut_lineage(word_counts(records))
         total = self.counts.agg(F.sum("n")).first()[0] or 0
@@ -329,7 +345,10 @@ class Survey:
         often = self.counts.filter((F.col("n") >= self.least) & ~F.col("word").rlike("^[0-9olisb|]*[0-9][0-9olisb|]*$")).join(self.misread.select(F.col("read").alias("word")).distinct(), "word", "left_anti")
         # at most 1 / LEAST_SHARE words
         self.known = spark.sparkContext.broadcast(Known(r["word"] for r in often.select("word").toLocalIterator()))
-        self.marks = cut_lineage(records.select("table_name", "record_id", "source", "page", "text").mapInArrow(_marker(self.known), _MARKS))
+        # words among which the word before has to choose: a subset of the frequent words, so at most as many
+        rivals = self.misread.groupBy("read").agg(F.collect_set("printed").alias("printed")).filter("size(printed) > 1").select(F.explode("printed").alias("printed")).distinct()
+        asked = spark.sparkContext.broadcast({r["printed"] for r in rivals.toLocalIterator()} if pairs else set())
+        self.marks = cut_lineage(records.select("table_name", "record_id", "source", "page", "text").mapInArrow(_marker(self.known, asked), _MARKS))
 
     def head_keys(self) -> DataFrame:
         """``(source, head)``: lines that stand on at least two pages, and a twentieth of the pages, of a source; for notes on three and a five-hundredth of the notes."""
@@ -369,33 +388,14 @@ def noise_kinds(records: DataFrame) -> DataFrame:
     return found.union(s.misread_places().select("table_name", "record_id", F.lit("misread").alias("noise_kind"))).distinct()
 
 
-def _bigrams(asked):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        want = asked.value
-        n: Counter = Counter()
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                if t:
-                    w = words_of(t)
-                    if not want.isdisjoint(w):
-                        n.update((w[i - 1], b) for i, b in enumerate(w) if b in want and i)
-        keys = list(n)
-        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in keys], pa.string()), pa.array([b for _, b in keys], pa.string()), pa.array([n[k] for k in keys], pa.int64())], ["before", "printed", "pair"])
-
-    return run
-
-
-def repairs(records: DataFrame, s: Survey) -> DataFrame:
+def repairs(s: Survey) -> DataFrame:
     """``(table_name, record_id, what, before, printed)``: the word chosen for each misread word in its place.
 
-    Of several candidates the one that follows the word before most often is taken, then the one of least weight, then the commonest.
+    Of several candidates the one that follows the word before most often is taken, then the one of least weight, then the commonest. ``s`` has been made with ``pairs``.
     """
     places = s.misread_places().distinct()
     options = places.join(s.misread.withColumnRenamed("read", "what"), "what")
-    # a subset of the frequent words, so at most as many
-    asked = options.withColumn("k", F.count("*").over(Window.partitionBy("table_name", "record_id", "what", "before"))).filter("k > 1").select("printed").distinct()
-    want = records.sparkSession.sparkContext.broadcast({r["printed"] for r in asked.toLocalIterator()})
-    pairs = records.select("text").filter("text is not null").mapInArrow(_bigrams(want), "before string, printed string, pair long").groupBy("before", "printed").agg(F.sum("pair").alias("pair"))
+    pairs = s.marks.filter("kind = 'pair'").groupBy("before", F.col("what").alias("printed")).agg(F.sum("n").alias("pair"))
     ranked = options.join(pairs, ["before", "printed"], "left").withColumn("pair", F.coalesce("pair", F.lit(0)))
     w = Window.partitionBy("table_name", "record_id", "what", "before").orderBy(F.desc("pair"), "weight", F.desc("n"), "printed")
     return ranked.withColumn("r", F.row_number().over(w)).filter("r = 1").select("table_name", "record_id", "what", "before", "printed")
@@ -447,9 +447,9 @@ def repaired_texts(records: DataFrame) -> DataFrame:
 
     A text counts as scanned where any noise was found in it. NULL and empty texts stay; repeated rows come out repeated.
     """
-    s = Survey(records)
+    s = Survey(records, pairs=True)
     key = ["table_name", "record_id"]
-    fixes = repairs(records, s).groupBy(*key).agg(F.collect_list(F.struct("what", "before", "printed")).alias("fixes"))
+    fixes = repairs(s).groupBy(*key).agg(F.collect_list(F.struct("what", "before", "printed")).alias("fixes"))
     heads = s.heads().groupBy(*key).agg(F.collect_set("what").alias("heads"))
     noisy = s.marks.filter("kind in ('hyphen', 'pageno', 'number')").select(*key).distinct().withColumn("marked", F.lit(True))
     joined = records.select(*key, "text").join(fixes, key, "left").join(heads, key, "left").join(noisy, key, "left")
