@@ -66,6 +66,16 @@ def of_origin(assets: DataFrame, needle: str, limit: int | None = None) -> DataF
     return limited(kept.orderBy("asset_seq"), limit) if limit is not None else kept
 
 
+def first_of_source(assets: DataFrame, n: int, needle: str) -> DataFrame:
+    """``of_origin`` among the assets with an ``asset_seq`` of at most ``n``: the limit counts what was read, not what is kept."""
+    return of_origin(assets.filter(F.col("asset_seq") <= n), needle)
+
+
+def sample_asset(assets: DataFrame, prefix: str) -> DataFrame:
+    """One asset: the first by title of those whose title begins with ``prefix``, else the first of all. No asset gives no row."""
+    return assets.orderBy(F.coalesce(F.col("asset_title").startswith(prefix), F.lit(False)).desc(), F.col("asset_title").asc_nulls_last()).limit(1)
+
+
 def shares(counts: DataFrame, n: str = "n") -> DataFrame:
     """``counts`` with each row's percentage of all."""
     total = counts.agg(F.sum(n).alias("_total"))

@@ -75,6 +75,11 @@ def capability_view(laydown: DataFrame) -> DataFrame:
     return laydown.filter("weg_asset_title is not null").select("en_designator", F.trim(F.substring_index("weg_asset_title", "(", 1)).alias("kind"), "weg_asset_title").distinct()
 
 
+def laydown_view(laydown: DataFrame) -> DataFrame:
+    """Who stands where with what: unit, designator, theater, airbase and place, once each."""
+    return laydown.select("unit_name", F.col("en_designator").alias("designator"), "theater_command", "airbase", "location_text").distinct()
+
+
 def laydown_specs(laydown: DataFrame, specs: DataFrame) -> DataFrame:
     """The specs of each different asset in ``laydown``. ``specs``: weg_asset_title, spec, value."""
     return laydown.filter("weg_asset_title is not null").select("weg_asset_title").distinct().join(specs, "weg_asset_title")

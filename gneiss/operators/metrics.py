@@ -44,6 +44,7 @@ def case_metrics(retrieved: DataFrame, cases: DataFrame, k: int = 4, tolerance:
         "best_rank",
         F.coalesce(1 / F.col("best_rank"), F.lit(0.0)).alias("reciprocal_rank"),
         zero("right_in_k").alias("right_in_k"),
+        zero("found").alias("found"),
         (zero("right_in_k") / k).alias("precision"),
         F.when(labels > 0, zero("found") / labels).otherwise(F.lit(0.0)).alias("recall"),
         F.when((labels > 0) & (zero("dcg") > 0), F.col("dcg") / ideal).otherwise(F.lit(0.0)).alias("ndcg"),
@@ -62,11 +63,25 @@ def summary(metrics: DataFrame, k: int = 4) -> DataFrame:
         F.avg("recall").alias("mean_recall"),
         F.avg("ndcg").alias("mean_ndcg"),
         (F.sum("right_in_k") / (n * k)).alias("micro_precision"),
+        (F.sum("found") / F.greatest(F.sum("labels"), F.lit(1))).alias("micro_recall"),
         F.sum("labels").alias("labels"),
         F.count(F.when(~F.col("verified"), 1)).alias("unverified"),
     )
 
 
+def to_inspect(metrics: DataFrame) -> DataFrame:
+    """``(id, reason)`` of cases to look at: ``missed`` without a right page, ``unverified`` where nobody has confirmed the labels."""
+    reasons = F.array_compact(F.array(F.when(~F.col("hit"), F.lit("missed")), F.when(~F.coalesce("verified", F.lit(False)), F.lit("unverified"))))
+    return metrics.select("id", F.explode(reasons).alias("reason"))
+
+
+def right_pages(retrieved: DataFrame, cases: DataFrame, tolerance: int = 1) -> DataFrame:
+    """The rows of ``retrieved`` (id, rank, source, page) that are at most ``tolerance`` pages from an expected page of the same case and source, once each."""
+    gold = expected_pages(cases).select(F.col("id").alias("g_id"), F.col("source").alias("g_source"), F.col("page").alias("g_page")).distinct()
+    near = (F.col("id") == F.col("g_id")) & (F.col("source") == F.col("g_source")) & (F.abs(F.col("page") - F.col("g_page")) <= tolerance)
+    return retrieved.select("id", "rank", "source", "page").distinct().join(gold, near, "left_semi")
+
+
 def quote_validation(cases: DataFrame, parents: DataFrame) -> DataFrame:
     """``(id, source, page, valid)``: whether each quote stands on its page, quotes and white space folded. NULL and empty quotes have no row."""
     gold = expected_pages(cases).filter("quote <> ''").distinct()

@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gneiss.functions.text import citation
+from gneiss.operators.stores import latest
+
 Embedder = Callable[[DataFrame, str], DataFrame]  # adds the column ``embedding`` for a column of text
 EMBEDDERS: dict[str, Embedder] = {}
 
@@ -64,6 +67,25 @@ def search(chunks: DataFrame, parents: DataFrame, query: list[float], child_pool
     return F.broadcast(best).join(pages, "parent_id").select("parent_id", "source", "page", "text", "score").orderBy(F.desc("score"), "parent_id")  # max_parents rows
 
 
+def snippets(found: DataFrame) -> DataFrame:
+    """``(citation, text, score)`` of the pages that ``search`` found, the score to four places. A page without source or number has no citation."""
+    return found.select(citation(F.col("source"), F.col("page")).alias("citation"), "text", F.round("score", 4).alias("score"))
+
+
+def with_pages(chunks: DataFrame, parents: DataFrame) -> DataFrame:
+    """``(chunk_id, source, page, page_id)``: the page that each passage is from by source and number; NULL where none has arrived.
+
+    Of pages ingested again the last counts. Passages without source or number have no page; repeated rows count once.
+    """
+    pages = latest(parents.select("source", "page", "parent_id", "ingested_at"), ["source", "page"], ["ingested_at", "parent_id"])
+    return chunks.select("chunk_id", "source", "page").distinct().join(pages.select("source", "page", F.col("parent_id").alias("page_id")), ["source", "page"], "left").select("chunk_id", "source", "page", "page_id")
+
+
+def vector_sizes(chunks: DataFrame) -> DataFrame:
+    """``(dimension, passages)``: how many passages have a vector of each size, -1 for none."""
+    return chunks.select("chunk_id", "embedding").distinct().groupBy(F.coalesce(F.size("embedding"), F.lit(-1)).alias("dimension")).agg(F.count("*").alias("passages"))
+
+
 def batch_search(queries: DataFrame, chunks: DataFrame, pool: int, block: int = 256) -> DataFrame:
     """``(query_id, chunk_id, score, rank)``: the ``pool`` nearest passages of every row of ``queries`` (query_id, vector).
 

@@ -82,7 +82,7 @@ pr as (select id, rank, max(ok::int) as rel, max(same::int) as same from j group
 br as (select id, max(same) as same, min(case when rel = 1 then rank end) as best_rank, sum(case when rank <= {k} then rel else 0 end) as right_in_k, sum(case when rank <= {k} and rel = 1 then 1 / log2(rank + 1) else 0 end) as dcg from pr group by id),
 fo as (select id, count(distinct (gs, gp)) as found from j where ok and rank <= {k} group by id),
 la as (select id, count(*) as labels from g group by id),
-m as (select c.id, c.verified, coalesce(labels, 0) as labels, best_rank is not null as hit, coalesce(same, 0) = 1 as source_hit, best_rank, coalesce(1.0 / best_rank, 0.0) as reciprocal_rank, coalesce(right_in_k, 0) as right_in_k,
+m as (select c.id, c.verified, coalesce(labels, 0) as labels, best_rank is not null as hit, coalesce(same, 0) = 1 as source_hit, best_rank, coalesce(1.0 / best_rank, 0.0) as reciprocal_rank, coalesce(right_in_k, 0) as right_in_k, coalesce(found, 0) as found,
   coalesce(right_in_k, 0) / {k}.0 as precision, case when coalesce(labels, 0) > 0 then coalesce(found, 0) / labels else 0.0 end as recall,
   case when coalesce(labels, 0) > 0 and coalesce(dcg, 0) > 0 then dcg / list_sum(list_transform(range(1, least({k}, labels) + 1), lambda i: 1 / log2(i + 1))) else 0.0 end as ndcg
   from gold_cases c left join la using (id) left join br using (id) left join fo using (id))
@@ -98,11 +98,14 @@ SQL = {
     "laydown_chinese": f"{WITH} select unit_key, raw_designator, en_designator from l where lower(en_designator) = 'dbk-27' or lower(cn_designator) like '%dbk-27%' or lower(raw_designator) like '%dbk-27%'",
     "laydown_linked": f'select count(*) as "rows", count(weg_asset_title) as linked from ({LAYDOWN})',
     "capability_view": f"select distinct en_designator, trim(split_part(weg_asset_title, '(', 1)) as kind, weg_asset_title from ({LAYDOWN}) where weg_asset_title is not null",
+    "laydown_view": f"select distinct unit_name, en_designator as designator, theater_command, airbase, location_text from ({LAYDOWN})",
     "catalog_search": f"""{WITH} select asset_title, source_url, {ORIGIN} as origin, {DOMAIN} as domain from a where lower(asset_title) like '%trainer%' and lower({ORIGIN}) like '%velmora%' and lower({DOMAIN}) like '%air%'
       order by asset_title nulls first, source_url limit 50""",
     "catalog_point": f"{WITH} select asset_title, asset_seq, cast(len(json_keys(dynamic_payload)) as integer) as sections from a where asset_title = 'DBK-272 Ostrelian Survey Drone'",
     "origin_filter": f"select asset_seq, asset_title from weg_assets where lower(coalesce({ORIGIN}, '')) like '%velmora%' or lower(asset_title) like '%velmora%'",
     "origin_filter_limit": f"select asset_seq, asset_title from weg_assets where lower(coalesce({ORIGIN}, '')) like '%tarsk%' or lower(asset_title) like '%tarsk%' order by asset_seq limit 25",
+    "origin_filter_source": f"select asset_seq, asset_title from weg_assets where asset_seq <= 200 and (lower(coalesce({ORIGIN}, '')) like '%velmora%' or lower(asset_title) like '%velmora%')",
+    "catalog_sample": f"{WITH} select asset_title, asset_seq from a order by starts_with(asset_title, 'TZP-2') desc, asset_title nulls last limit 1",
     "json_path_counts": f"{WITH} select coalesce(nullif({ORIGIN}, ''), '(unknown)') as origin, count(*) as n from a group by 1",
     "category_breakdown": f"{WITH} select {CATEGORY} as category, count(*) as n from a group by 1",
     "category_of_origin": f"{WITH} select {CATEGORY} as category, count(*) as n from a where lower({ORIGIN}) like '%velmora%' group by 1",
@@ -126,6 +129,11 @@ SQL = {
     "vector_topk_parent": f"""with {POOL}, b as (select parent_id, max(score) as score from pool group by parent_id order by score desc, parent_id limit 4)
       select distinct b.parent_id, source || ' p.' || page as citation, round(score, 4) as score from b join rag_parents p on p.parent_id = b.parent_id""",
     "vector_topk_sources": f"with {CHUNKS} select chunk_id, round(score, 6) as score from (select distinct chunk_id, parent_id, {DOT} as score from c where source = 'composite_field_manual.pdf') order by score desc, chunk_id limit 15",
+    "context_snippets": f"""with {POOL}, b as (select parent_id, max(score) as score from pool group by parent_id order by score desc, parent_id limit 4)
+      select citation, md5(text) as digest, score from (select distinct b.parent_id, source || ' p.' || page as citation, text, round(score, 4) as score from b join rag_parents p on p.parent_id = b.parent_id)""",
+    "passage_pages": """with p as (select source, page, parent_id as page_id from (select *, row_number() over (partition by source, page order by ingested_at desc nulls last, parent_id desc) as rn from rag_parents) where rn = 1)
+      select distinct chunk_id, c.source, c.page, page_id from rag_chunks c left join p on p.source = c.source and p.page = c.page""",
+    "vector_sizes": "select cast(coalesce(len(embedding), -1) as integer) as dimension, count(*) as passages from (select distinct chunk_id, embedding from rag_chunks) group by 1",
     "vector_batch": """
       with s as (select q.vec_id as query_id, v.vec_id as chunk_id, list_dot_product(list_transform(q.embedding, lambda x: x::double), list_transform(v.embedding, lambda x: x::double)) as score from embeddings q, embeddings v where q.vec_id % 20 = 0),
       k as (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from s) select query_id, chunk_id, cast(rank as integer) as rank, round(score, 6) as score from k where rank <= 10""",
@@ -139,7 +147,9 @@ SQL = {
       select id, cast(bucket as integer) as bucket, round(n / sqrt(sum(n * n) over (partition by id)), 6) as weight from b""",
     "ir_metrics": f"with {_metrics(4, 1)} select id, labels, hit, source_hit, cast(best_rank as integer) as best_rank, round(reciprocal_rank, 6) as reciprocal_rank, round(precision, 6) as precision, round(recall, 6) as recall, round(ndcg, 6) as ndcg from m",
     "ir_summary": f"""with {_metrics(10, 3)} select count(*) as cases, cast(sum(labels) as bigint) as labels, count(case when not verified then 1 end) as unverified, round(avg(hit::int), 6) as hit_rate, round(avg(source_hit::int), 6) as source_hit_rate, round(avg(reciprocal_rank), 6) as mrr,
-      round(avg(precision), 6) as mean_precision, round(avg(recall), 6) as mean_recall, round(avg(ndcg), 6) as mean_ndcg, round(sum(right_in_k) / (count(*) * 10), 6) as micro_precision from m""",
+      round(avg(precision), 6) as mean_precision, round(avg(recall), 6) as mean_recall, round(avg(ndcg), 6) as mean_ndcg, round(sum(right_in_k) / (count(*) * 10), 6) as micro_precision, round(sum(found) / greatest(sum(labels), 1), 6) as micro_recall from m""",
+    "ir_to_inspect": f"with {_metrics(4, 1)} select id, 'missed' as reason from m where not hit union all select id, 'unverified' from m where not coalesce(verified, false)",
+    "ir_right_pages": f"with {GOLD}, {RETRIEVED} select distinct r.id, cast(rank as integer) as rank, r.source, r.page from r join g on g.id = r.id and g.source = r.source and abs(g.page - r.page) <= 1",
     "quote_validation": f"""with {GOLD}, q as (select distinct id, source, page, quote from g where quote <> '')
       select q.id, q.source, q.page, coalesce(max(contains({FOLDED.format("p.text")}, {FOLDED.format("q.quote")})), false) as valid from q left join rag_parents p on p.source = q.source and p.page = q.page group by q.id, q.source, q.page, q.quote""",
     "anti_missing_refs": f"with {GOLD} select distinct source from g where source is not null and source not in (select source from rag_parents where source is not null)",

@@ -100,6 +100,10 @@ def capability_view(spark, d):
     return laydown.capability_view(laydown_prefix_join(spark, d))
 
 
+def laydown_view(spark, d):
+    return laydown.laydown_view(laydown_prefix_join(spark, d))
+
+
 def laydown_specs(spark, d):
     titles = _assets(spark, d).select("asset_seq", F.col("asset_title").alias("weg_asset_title"), "dynamic_payload")
     specs = catalog.specs(titles).join(titles.select("asset_seq", "weg_asset_title"), "asset_seq").drop("asset_seq")
@@ -127,6 +131,14 @@ def origin_filter_limit(spark, d):
     return catalog.of_origin(table(spark, d, "weg_assets"), "tarsk", 25).select("asset_seq", "asset_title")
 
 
+def origin_filter_source(spark, d):
+    return catalog.first_of_source(table(spark, d, "weg_assets"), 200, "velmora").select("asset_seq", "asset_title")
+
+
+def catalog_sample(spark, d):
+    return catalog.sample_asset(_assets(spark, d), "TZP-2").select("asset_title", "asset_seq")
+
+
 def json_path_counts(spark, d):
     return catalog.count_origins(_assets(spark, d))
 
@@ -219,6 +231,19 @@ def vector_topk_sources(spark, d):
     return found.select("chunk_id", F.round("score", 6).alias("score"))
 
 
+def context_snippets(spark, d):
+    s = retrieval.snippets(retrieval.search(_chunks(spark, d), table(spark, d, "rag_parents"), QUERY))
+    return s.select("citation", F.md5("text").alias("digest"), "score")
+
+
+def passage_pages(spark, d):
+    return retrieval.with_pages(table(spark, d, "rag_chunks"), table(spark, d, "rag_parents"))
+
+
+def vector_sizes(spark, d):
+    return retrieval.vector_sizes(table(spark, d, "rag_chunks"))
+
+
 def vector_batch(spark, d):
     """The ten nearest vectors of each of those whose id is divisible by 20, among all."""
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
@@ -252,7 +277,15 @@ def ir_metrics(spark, d):
 
 def ir_summary(spark, d):
     m = metrics.summary(metrics.case_metrics(_retrieved(spark, d), table(spark, d, "gold_cases"), 10, 3), 10)
-    return m.select("cases", "labels", "unverified", *[F.round(c, 6).alias(c) for c in ("hit_rate", "source_hit_rate", "mrr", "mean_precision", "mean_recall", "mean_ndcg", "micro_precision")])
+    return m.select("cases", "labels", "unverified", *[F.round(c, 6).alias(c) for c in ("hit_rate", "source_hit_rate", "mrr", "mean_precision", "mean_recall", "mean_ndcg", "micro_precision", "micro_recall")])
+
+
+def ir_to_inspect(spark, d):
+    return metrics.to_inspect(metrics.case_metrics(_retrieved(spark, d), table(spark, d, "gold_cases")))
+
+
+def ir_right_pages(spark, d):
+    return metrics.right_pages(_retrieved(spark, d), table(spark, d, "gold_cases"))
 
 
 def quote_validation(spark, d):
@@ -358,12 +391,12 @@ QUERIES = {
     f.__name__: f
     for f in (
         p2_found, p2_by_month, p4_found, p4_assets, p4_sections, p4_fields, p5_found, p5_values, p5_inferred,
-        laydown_prefix_join, laydown_filtered, laydown_chinese, laydown_linked, capability_view, laydown_specs, flatten_first_wins,
-        catalog_search, catalog_point, origin_filter, origin_filter_limit, json_path_counts, category_breakdown, category_of_origin, share_of_total, json_sections, json_section_fetch,
+        laydown_prefix_join, laydown_filtered, laydown_chinese, laydown_linked, capability_view, laydown_view, laydown_specs, flatten_first_wins,
+        catalog_search, catalog_point, origin_filter, origin_filter_limit, origin_filter_source, catalog_sample, json_path_counts, category_breakdown, category_of_origin, share_of_total, json_sections, json_section_fetch,
         search_units, unit_point, hub_with_children, units_for_item_semi, inventory_distinct, inventory_of_service, role_breakdown, theater_breakdown,
         row_counts, upsert_latest, upsert_events, insert_or_ignore, cascade_links,
-        vector_topk, vector_topk_parent, vector_topk_sources, vector_batch, l2_normalize, hash_embed,
-        ir_metrics, ir_summary, quote_validation, anti_missing_refs, boilerplate_keys, strip_boilerplate, chunk_windows,
+        vector_topk, vector_topk_parent, vector_topk_sources, context_snippets, passage_pages, vector_sizes, vector_batch, l2_normalize, hash_embed,
+        ir_metrics, ir_summary, ir_to_inspect, ir_right_pages, quote_validation, anti_missing_refs, boilerplate_keys, strip_boilerplate, chunk_windows,
         code_normalize, cell_split, scenario_resolve, retrieval_text, kv_parse, line_classify, carry_state, segment_runs, layout_titles, airbase_extract, unit_key_synthesis, quote_fold,
     )
 }

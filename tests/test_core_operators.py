@@ -43,6 +43,10 @@ def test_catalogue(assets):
     assert [r[2] for r in catalog.section_names(assets).filter("asset_title like 'AB-1 %'").orderBy("position").collect()] == ["Metadata", "System", "Automotive"]
     assert {r[0] for r in catalog.of_origin(assets, "ALAND").select("asset_seq").collect()} == {1, 2}
     assert catalog.asset(assets, "nothing").count() == 0
+    assert [r[0] for r in catalog.first_of_source(assets, 1, "ALAND").select("asset_seq").collect()] == [1]
+    assert catalog.sample_asset(assets, "AB-1X").first()["asset_title"] == "AB-1X"
+    assert catalog.sample_asset(assets, "none").first()["asset_title"] == min(r[0] for r in assets.select("asset_title").collect() if r[0] is not None)
+    assert catalog.sample_asset(assets.limit(0), "AB").count() == 0
     total = catalog.shares(catalog.count_origins(assets)).agg(F.sum("percent")).first()[0]
     assert total == pytest.approx(100)
     assert catalog.count_origins(assets.limit(0)).count() == catalog.category_breakdown(assets.limit(0)).count() == 0
@@ -83,6 +87,8 @@ def test_laydown(units, links, assets):
     assert laydown.capability_laydown(units, links, assets, designator="ab-1", service="sky", limit=2).count() == 2
     assert tuple(laydown.linked_counts(laydown.capability_laydown(units, links, assets, limit=None)).first()) == (5, 4)
     assert {r["kind"] for r in laydown.capability_view(laydown.capability_laydown(units, links, assets)).collect()} == {"AB-1", "ab-10 Tanker", "Two Words Jet"}
+    shown = laydown.laydown_view(laydown.capability_laydown(units, links, assets))
+    assert shown.columns == ["unit_name", "designator", "theater_command", "airbase", "location_text"] and shown.count() == shown.distinct().count()
     # equal by its Latin base, and any Latin raw form that holds it
     assert links.filter(laydown.designator_filter("歼-1", [("歼", "AB")])).count() == 3
     assert laydown.capability_laydown(units.limit(0), links, assets).count() == 0
@@ -125,6 +131,14 @@ def test_retrieval(spark):
     assert [r["parent_id"] for r in retrieval.search(chunks, pages, [1.0, 0.0], 4, 3).collect()] == [10, 11]
     assert [r["chunk_id"] for r in retrieval.top_chunks(chunks, [1.0, 0.0], 9, ["t"]).collect()] == [3, 4, 7]
     assert retrieval.search(chunks.limit(0), pages, [1.0, 0.0]).count() == 0
+    short = retrieval.snippets(retrieval.search(chunks, pages, [1.0, 0.0], 4, 3)).collect()
+    assert [tuple(r) for r in short] == [("s p.1", "a", 1.0), ("t p.2", "b", 0.9)]
+    sizes = {r["dimension"]: r["passages"] for r in retrieval.vector_sizes(chunks.union(chunks)).collect()}
+    assert sizes == {2: 5, -1: 1, 1: 1}
+    again = spark.createDataFrame([(10, "s", 1, 1), (20, "s", 1, 2), (20, "s", 1, 2), (30, "s", None, 1), (40, None, 1, 1)], "parent_id long, source string, page int, ingested_at int")
+    cut = spark.createDataFrame([(1, "s", 1), (1, "s", 1), (2, "s", 7), (3, "s", None), (4, None, 1)], "chunk_id long, source string, page int")
+    assert {(r["chunk_id"], r["page_id"]) for r in retrieval.with_pages(cut, again).collect()} == {(1, 20), (2, None), (3, None), (4, None)}
+    assert retrieval.with_pages(cut, again.limit(0)).filter("page_id is not null").count() == 0
     q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "query_id long, vector array<double>")
     got = {(r["query_id"], r["rank"]): r["chunk_id"] for r in retrieval.batch_search(q, chunks, 2, block=1).collect()}
     assert got == {(1, 1): 1, (1, 2): 2, (2, 1): 7, (2, 2): 2}
@@ -145,6 +159,11 @@ def test_metrics(spark):
     assert not m["b"]["hit"] and not m["b"]["source_hit"] and m["c"]["labels"] == 0 and m["c"]["ndcg"] == 0
     s = metrics.summary(metrics.case_metrics(hits, cases)).first()
     assert (s["cases"], s["labels"], s["unverified"]) == (3, 3, 1) and s["mrr"] == pytest.approx(1 / 6)
+    assert s["micro_recall"] == pytest.approx(1 / 3)
+    look = {(r["id"], r["reason"]) for r in metrics.to_inspect(metrics.case_metrics(hits, cases)).collect()}
+    assert look == {("b", "missed"), ("b", "unverified"), ("c", "missed")}
+    assert {(r["id"], r["rank"]) for r in metrics.right_pages(hits.union(hits), cases).collect()} == {("a", 2), ("a", 3), ("a", 5)}
+    assert metrics.right_pages(hits.limit(0), cases).count() == 0
     pages = spark.createDataFrame([("s", 5, "has X y."), ("s", 9, None)], "source string, page int, text string")
     assert {(r["id"], r["valid"]) for r in metrics.quote_validation(cases, pages).collect()} == {("a", True), ("b", False)}
     assert [r[0] for r in metrics.missing_sources(cases, pages).collect()] == ["z"]
