@@ -417,7 +417,7 @@ def repaired(text: str, note: bool, heads: set[str], fixes: dict[tuple[str, str]
     full = [i for i, line in enumerate(raw) if line.strip()]
     lines = [raw[i].strip() for i in full]
     drop = {full[i] for i, beside in page_number_lines(lines, note) if headed or not beside}
-    edge = set(full if note else full[:3] + full[-3:])
+    edge = set(full if note else full[:3] + full[-3:]) if heads else set()
     drop |= {i for i in full if i in edge and i not in drop and head_key(raw[i]) in heads}
     text = "\n".join(line for i, line in enumerate(raw) if i not in drop)
     out, at = [], 0
@@ -426,20 +426,22 @@ def repaired(text: str, note: bool, heads: set[str], fixes: dict[tuple[str, str]
         at = b
     text = "".join([*out, text[at:]])
     any_before = {w: p for (w, _), p in fixes.items()}
+    wrong = {w for w in set(_WORD.findall(text)) if w.lower() in any_before or not w.isalpha() and _MISREAD_NUMBER.match(w)}
     out, at, before = [], 0, ""
-    for m in _WORD.finditer(text):
+    for m in _WORD.finditer(text) if wrong else ():
         w = m[0]
-        low = w.lower()
-        new = w
-        if _MISREAD_NUMBER.match(w):
-            new = "".join(DIGITS.get(c, c) for c in w)
-        elif (low, before) in fixes or low in any_before:
-            new = _as_written(fixes.get((low, before)) or any_before[low], w)
-        out += [text[at : m.start()], new]
-        at, before = m.end(), low
+        if w in wrong:
+            if _MISREAD_NUMBER.match(w):
+                new = "".join(DIGITS.get(c, c) for c in w)
+            else:
+                low = w.lower()
+                new = _as_written(fixes.get((low, before.lower())) or any_before[low], w)
+            out += [text[at : m.start()], new]
+            at = m.end()
+        before = w
     text = "".join([*out, text[at:]])
     blocks = re.split(r"\n(?:[ \t]*\n)+", text)
-    return "\n\n".join(re.sub(r"[ \t]*\n[ \t]*", " ", b).strip() if "|" not in b else b.strip("\n") for b in blocks if b.strip())
+    return "\n\n".join(" ".join(line.strip(" \t") for line in b.split("\n")).strip() if "|" not in b else b.strip("\n") for b in blocks if b.strip())
 
 
 def repaired_texts(records: DataFrame) -> DataFrame:
