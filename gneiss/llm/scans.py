@@ -46,6 +46,9 @@ _PAGENO = re.compile(
 _MISREAD_NUMBER = re.compile(r"^(?=.*\d)(?=.*[OolISB|])[\dOolISB|]+$")
 _DIGIT_INSIDE = re.compile(r"^(?=(?:.*[a-zà-ɏ]){3})[a-zà-ɏ|]*[013-9|][a-zà-ɏ|]*$")
 _ROMAN = re.compile(r"^[ivxlcdm]+$")
+_READ_FOR_DIGITS = "lLiIıİoOsSſbB"
+_LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
+_NO_LETTERS = bytes(i for i in range(128) if not chr(i).isalpha())
 _SHEET = re.compile(r"\s*[-–—]+\s*(?:sheet|page|p\.|seite|blatt)\s*\S{1,6}$|\s+[\dlIOSB]{1,6}$|^[\dlIOSB]{1,6}\s+", re.I)
 
 #: Least count of a frequent word, and least share of all words; so there are at most a million frequent words, which every task may hold.
@@ -54,8 +57,45 @@ LEAST, LEAST_SHARE = 8, 1e-6
 
 def head_key(line: str) -> str:
     """A line apart from its page number, case, and everything but letters."""
-    s = _SHEET.sub("", line.strip())
-    return re.sub(r"[\W\d_]+", "", s).lower()
+    s = line.strip()
+    # without a dash or a digit (or what is read for one) at either end there is no page number
+    if s and (s[-1].isdecimal() or s[0].isdecimal() or s[-1] in _READ_FOR_DIGITS or s[0] in _READ_FOR_DIGITS or "-" in s or "–" in s or "—" in s):
+        s = _SHEET.sub("", s)
+    return s.encode().translate(_LOWER, _NO_LETTERS).decode() if s.isascii() else re.sub(r"[\W\d_]+", "", s).lower()
+
+
+def head_line(line: str) -> str | None:
+    """The key of a stripped line that may be a running head or foot; None if it can be none."""
+    if len(line) <= 90 and line[-1] not in ".。,;:" and not line.startswith("|") and " " in line and len(key := head_key(line)) >= 10:
+        return key
+    return None
+
+
+def edits(a: str, b: str, most: int) -> bool:
+    """Whether at most ``most`` insertions, deletions and replacements turn one into the other."""
+    if a == b or abs(len(a) - len(b)) > most:
+        return a == b
+    n = len(a)
+    # of most + 1 parts, so many edits leave one as it is
+    if not any(a[n * i // (most + 1) : n * (i + 1) // (most + 1)] in b for i in range(most + 1)):
+        return False
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1] <= most
+
+
+class Heads:
+    """The head keys of one source, and whether a line is one of them, misread ones included."""
+
+    def __init__(self, keys):
+        self.keys = frozenset(keys)
+        self.longest = max(map(len, self.keys))
+
+    def has(self, key: str) -> bool:
+        return key in self.keys or any(edits(head, key, max(1, len(head) // 8)) for head in self.keys)
 
 
 def breaks(text: str) -> Iterator[tuple[int, int, str, str, str]]:
@@ -215,6 +255,16 @@ def page_number_lines(lines: list[str], anywhere: bool) -> list[tuple[int, bool]
     return out
 
 
+def head_places(lines: list[str], skip: set[int], heads: Heads) -> dict[int, str]:
+    """Places and keys of lines that are running heads or feet, wherever in the text they stand."""
+    longest = heads.longest + max(1, heads.longest // 8)
+    out = {}
+    for i, line in enumerate(lines):
+        if i not in skip and (key := head_line(line)) and len(key) <= longest and heads.has(key):
+            out[i] = key
+    return out
+
+
 def real_cut(left: str, mark: str, right: str, following: str, known) -> bool:
     """Whether a mark at a line end cut a word, rather than being the hyphen of a compound or code."""
     a, b = left.lower(), right.lower()
@@ -269,9 +319,9 @@ def cuts(text: str) -> Iterator[tuple[str, str, str, str, int, int]]:
         yield left, mark, right, following[1] if following else "", a, b
 
 
-def _marker(known, asked):
+def _marker(known, asked, named):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k, want = known.value, asked.value
+        k, want, heads = known.value, asked.value, {}
         pairs: Counter = Counter()
         for batch in batches:
             rows = []
@@ -281,12 +331,15 @@ def _marker(known, asked):
                 note = name == "weg_assets"
                 lines = _visible(text)
                 numbers = page_number_lines(lines, note)
-                rows += [("pageno?" if beside else "pageno", name, record, source, page, None, None) for beside in {b for _, b in numbers}]
                 skip = {i for i, _ in numbers}
-                for i in range(len(lines)) if note else sorted({i for i in (0, 1, 2, len(lines) - 3, len(lines) - 2, len(lines) - 1) if 0 <= i < len(lines)}):
-                    s = lines[i]
-                    if i not in skip and len(s) <= 90 and s[-1] not in ".。,;:" and not s.startswith("|") and len(key := head_key(s)) >= 10 and " " in s:
-                        rows.append(("line", name, record, source, page, key, None))
+                of = (name, source)
+                if of not in heads:
+                    heads[of] = Heads(named.value[of]) if of in named.value else None
+                found = head_places(lines, skip, heads[of]) if heads[of] else {}
+                rows += [("header", name, record, source, page, key, None) for key in found.values()]
+                headed = note and bool(found) or any(i < 3 or i >= len(lines) - 3 for i in found)
+                if any(headed or not beside for _, beside in numbers):
+                    rows.append(("pageno", name, record, source, page, None, None))
                 body = text
                 if any(c in text for c in MARKS):
                     for left, mark, right, following, *_ in cuts(text):
@@ -330,6 +383,37 @@ def _marker(known, asked):
     return run
 
 
+def _line_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for name, record, source, page, text in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            if text:
+                note = name == "weg_assets"
+                keys = [head_line(line) for line in _visible(text)]
+                edge = set(keys if note else keys[:3] + keys[-3:])
+                rows += [(name, source, record if note else page, k, k in edge) for k in set(keys) if k]
+        if rows:
+            name, source, spot, key, edge = zip(*rows)
+            yield pa.RecordBatch.from_arrays([pa.array(name, pa.string()), pa.array(source, pa.string()), pa.array(spot, pa.int64()), pa.array(key, pa.string()), pa.array(edge)], ["table_name", "source", "spot", "head", "edge"])
+
+
+def head_keys(records: DataFrame) -> DataFrame:
+    """``(table_name, source, head)``: lines that stand anywhere on at least two pages, and a twentieth of the pages, of a source, and on two of these
+    among the first or last three lines, as a sentence may come again too; for notes anywhere on three and a five-hundredth of the notes.
+
+    Lines are counted by hashes of 64 bits; only the texts of those that are heads are read once more.
+    """
+    lines = records.select("table_name", "record_id", "source", "page", "text").mapInArrow(_line_keys, "table_name string, source string, spot long, head string, edge boolean")
+    lines = lines.withColumn("s", F.xxhash64("table_name", "source")).withColumn("h", F.xxhash64("head"))
+    note = F.col("table_name") == "weg_assets"
+    spots = lines.groupBy("s", "h", "spot", note.alias("note")).agg(F.max("edge").alias("edge"))
+    seen = spots.groupBy("s", "h").agg(F.count("*").alias("n"), F.count_if("edge").alias("edges")).filter("edges > 1")
+    size = spots.select("s", "spot", "note").distinct().groupBy("s", "note").agg(F.count("*").alias("pages"))
+    need = F.when(F.col("note"), F.greatest(F.lit(3), F.col("pages") / 500)).otherwise(F.greatest(F.lit(2), F.col("pages") / 20))
+    heads = seen.join(size, "s").filter(F.col("n") >= need).select("s", "h")
+    return lines.join(F.broadcast(heads), ["s", "h"], "left_semi").select("table_name", "source", "head").distinct()
+
+
 class Survey:
     """What all texts together tell: the lexicon, the misread words, and the marks found in each record.
 
@@ -348,23 +432,16 @@ class Survey:
         # words among which the word before has to choose: a subset of the frequent words, so at most as many
         rivals = self.misread.groupBy("read").agg(F.collect_set("printed").alias("printed")).filter("size(printed) > 1").select(F.explode("printed").alias("printed")).distinct()
         asked = spark.sparkContext.broadcast({r["printed"] for r in rivals.toLocalIterator()} if pairs else set())
-        self.marks = cut_lineage(records.select("table_name", "record_id", "source", "page", "text").mapInArrow(_marker(self.known, asked), _MARKS))
-
-    def head_keys(self) -> DataFrame:
-        """``(source, head)``: lines that stand on at least two pages, and a twentieth of the pages, of a source; for notes on three and a five-hundredth of the notes."""
-        lines = self.marks.filter("kind = 'line'")
-        spot = F.when(F.col("table_name") == "weg_assets", F.col("record_id")).otherwise(F.col("page").cast("long"))
-        seen = lines.select("table_name", "source", F.col("what").alias("head"), spot.alias("spot")).distinct().groupBy("table_name", "source", "head").agg(F.count("*").alias("n"))
-        size = lines.select("table_name", "source", spot.alias("spot")).distinct().groupBy("table_name", "source").agg(F.count("*").alias("pages"))
-        note = F.col("table_name") == "weg_assets"
-        need = F.when(note, F.greatest(F.lit(3), F.col("pages") / 500)).otherwise(F.greatest(F.lit(2), F.col("pages") / 20))
-        return seen.join(size, ["table_name", "source"]).filter(F.col("n") >= need).select("table_name", "source", "head")
+        named: dict = {}
+        for r in head_keys(records).toLocalIterator():
+            named.setdefault((r["table_name"], r["source"]), []).append(r["head"])
+        # a few lines for each source that has heads
+        heads = spark.sparkContext.broadcast(named)
+        self.marks = cut_lineage(records.select("table_name", "record_id", "source", "page", "text").mapInArrow(_marker(self.known, asked, heads), _MARKS))
 
     def heads(self) -> DataFrame:
         """``(table_name, record_id, what)`` of lines that are running heads or feet, misread ones included."""
-        lines = self.marks.filter("kind = 'line'").select("table_name", "source", "record_id", "what").distinct()
-        near = F.levenshtein("what", "head") <= F.greatest(F.lit(1), F.length("head") / 8)
-        return lines.join(self.head_keys(), ["table_name", "source"]).filter((F.abs(F.length("what") - F.length("head")) <= F.length("head") / 8 + 1) & near).select("table_name", "record_id", "what").distinct()
+        return self.marks.filter("kind = 'header'").select("table_name", "record_id", "what").distinct()
 
     def misread_places(self) -> DataFrame:
         """``(table_name, record_id, what, before)`` of misread words and numbers."""
@@ -378,13 +455,12 @@ def noise_kinds(records: DataFrame) -> DataFrame:
     """Distinct ``(table_name, record_id, noise_kind)`` of the noise in each text: hyphen, misread, header, pageno.
 
     ``records``: table_name, record_id, source, page, text; ``table_name`` ``weg_assets`` means notes, which may have heads and page numbers anywhere; other texts are
-    pages, with heads and page numbers at their head or foot. NULL and empty texts have no row; repeated rows count once.
+    pages, with page numbers at their head or foot and heads anywhere. NULL and empty texts have no row; repeated rows count once.
     """
     s = Survey(records)
     heads = s.heads().select("table_name", "record_id").distinct()
     marks = s.marks.filter("kind in ('hyphen', 'pageno')").select("table_name", "record_id", F.col("kind").alias("noise_kind"))
-    beside = s.marks.filter("kind = 'pageno?'").join(heads, ["table_name", "record_id"], "left_semi").select("table_name", "record_id", F.lit("pageno").alias("noise_kind"))
-    found = marks.union(beside).union(heads.select("table_name", "record_id", F.lit("header").alias("noise_kind")))
+    found = marks.union(heads.select("table_name", "record_id", F.lit("header").alias("noise_kind")))
     return found.union(s.misread_places().select("table_name", "record_id", F.lit("misread").alias("noise_kind"))).distinct()
 
 
@@ -408,7 +484,7 @@ def _as_written(word: str, like: str) -> str:
     return word[:1].upper() + word[1:] if like[:1].isupper() else word
 
 
-def repaired(text: str, note: bool, heads: set[str], fixes: dict[tuple[str, str], str], known, noisy: bool, headed: bool) -> str:
+def repaired(text: str, note: bool, heads: set[str], fixes: dict[tuple[str, str], str], known, noisy: bool) -> str:
     """A scanned text as paragraphs of one line each, without cuts, misread words, heads and page numbers."""
     if not noisy:
         return text
@@ -416,9 +492,11 @@ def repaired(text: str, note: bool, heads: set[str], fixes: dict[tuple[str, str]
     raw = text.split("\n")
     full = [i for i, line in enumerate(raw) if line.strip()]
     lines = [raw[i].strip() for i in full]
-    drop = {full[i] for i, beside in page_number_lines(lines, note) if headed or not beside}
-    edge = set(full if note else full[:3] + full[-3:]) if heads else set()
-    drop |= {i for i in full if i in edge and i not in drop and head_key(raw[i]) in heads}
+    numbers = page_number_lines(lines, note)
+    skip = {i for i, _ in numbers}
+    found = {i for i, line in enumerate(lines) if i not in skip and head_line(line) in heads} if heads else set()
+    headed = note and bool(found) or any(i < 3 or i >= len(lines) - 3 for i in found)
+    drop = {full[i] for i, beside in numbers if headed or not beside} | {full[i] for i in found}
     text = "\n".join(line for i, line in enumerate(raw) if i not in drop)
     out, at = [], 0
     for left, mark, right, following, a, b in cuts(text):
@@ -467,7 +545,7 @@ def repaired_texts(records: DataFrame) -> DataFrame:
             for i, t in enumerate(text):
                 f = {(x["what"], x.get("before") or ""): x["printed"] for x in json.loads(fix[i] or "[]")}
                 h = set(json.loads(head[i] or "[]"))
-                new.append(repaired(t, name[i] == "weg_assets", h, f, known.value, bool(f or h or marked[i]), bool(h)) if t else t)
+                new.append(repaired(t, name[i] == "weg_assets", h, f, known.value, bool(f or h or marked[i])) if t else t)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(new, pa.string()), pa.array([a != b for a, b in zip(text, new)])], ["table_name", "record_id", "text", "changed"])
 
     return joined.mapInArrow(run, "table_name string, record_id long, text string, changed boolean")

@@ -255,3 +255,37 @@ def test_noise_kinds_and_repair(spark):
     assert "garrison repaired the hand-built engine" in t and "antenna" in t and "[120]" not in t and "\n" not in t
     assert texts[75]["text"].startswith("The") and "station repaired" in texts[75]["text"] and "1950" in texts[75]["text"]
     assert scans.noise_kinds(df.limit(0)).count() == 0
+
+
+def test_heads_inside_pages(spark):
+    rows, truth = scanned(spark)
+    n, clean = 200, [r for r in rows if r[3] <= 60]
+    inside = {n: "HANDBOOK OF QUIET STATIONS", n + 1: "Handbook of Quict Stations — sheet 9"}
+    for i, line in inside.items():
+        body = clean[i - n][4].split("\n")
+        rows.append(("rag_parents", i, "scan.pdf", i, "\n".join([*body[:6], line, *body[6:]])))
+    # a head of another source only, and a head that stands at the edge of two pages of six
+    rows.append(("rag_parents", 210, "clean.pdf", 210, rows[-1][4]))
+    for i in range(220, 226):
+        body = clean[i - 210][4].split("\n")
+        at = 5 if i < 224 else 0
+        rows.append(("rag_parents", i, "inner.pdf", i, "\n".join([*body[:at], f"Tables of the Western Canal — sheet {i}", *body[at:]])))
+    df = spark.createDataFrame(rows, "table_name string, record_id long, source string, page int, text string")
+    got = {x["record_id"] for x in scans.noise_kinds(df).filter("noise_kind = 'header'").collect()}
+    assert got == {k for k, v in truth.items() if "header" in v} | {*inside, *range(220, 226)}
+    texts = {x["record_id"]: x["text"] for x in scans.repaired_texts(df).collect()}
+    assert all("andbook" not in texts[i] and "HANDBOOK" not in texts[i] for i in inside) and "Canal" not in texts[221]
+    assert texts[200] == " ".join(clean[0][4].split("\n"))
+
+
+def test_head_keys():
+    r = random.Random(3)
+    for _ in range(3000):
+        s = "".join(r.choice("aBlIoOsS019 —-–.éß中²_") for _ in range(r.randint(1, 9)))
+        assert scans.head_key(s) == "".join(c for c in scans._SHEET.sub("", s.strip()) if re.match(r"[^\W\d_]", c)).lower(), s
+        a, b = ("".join(r.choice("abc") for _ in range(r.randint(6, 9))) for _ in range(2))
+        row = {(i, j): i + j for i in range(10) for j in range(10) if not i or not j}
+        for i, x in enumerate(a, 1):
+            for j, y in enumerate(b, 1):
+                row[i, j] = min(row[i - 1, j] + 1, row[i, j - 1] + 1, row[i - 1, j - 1] + (x != y))
+        assert all(scans.edits(a, b, k) == (row[len(a), len(b)] <= k) for k in (1, 2, 3))
