@@ -176,6 +176,9 @@ SQL = {
       with f as (select doc_id, split_part(text, chr(10), 1) as line from documents where text is not null),
       k as (select doc_id, regexp_replace(line[: position(': ' in line) - 1], '^\s+|\s+$', '', 'g') as label, regexp_replace(line[position(': ' in line) + 2 :], '^\s+|\s+$', '', 'g') as value from f where position(': ' in line) > 0)
       select * from k where label <> '' and value <> ''""",
+    "kv_lines": rf"""
+      with {LINES}, k as (select doc_id, cast(line_no as integer) as line_no, regexp_replace(line[: position(': ' in line) - 1], '^\s+|\s+$', '', 'g') as label, regexp_replace(line[position(': ' in line) + 2 :], '^\s+|\s+$', '', 'g') as value from li where position(': ' in line) > 0)
+      select * from k where label <> '' and value <> ''""",
     "line_classify": f"with {LINES} select case when length(line) < 40 then 'title' when length(line) < 80 then 'section' when length(line) < 160 then 'subsection' else 'body' end as kind, count(*) as lines from li group by 1",
     "carry_state": f"""with {LINES}, s as (select *, case when regexp_matches(line, '^(In|For) ') then line_no when line = '' then -1 end as mark from li)
       select doc_id, cast(line_no as integer) as line_no, cast(nullif(last_value(mark ignore nulls) over (partition by doc_id order by line_no rows unbounded preceding), -1) as integer) as carried from s""",

@@ -334,6 +334,7 @@ def retrieval_text(spark, d):
 
 
 def kv_parse(spark, d):
+    """Only of the first line of each document, as its SQL has it; ``kv_lines`` has all lines."""
     first = table(spark, d, "documents").select("doc_id", layout.key_value(F.substring_index("text", "\n", 1)).alias("kv"))
     return first.filter("kv is not null").select("doc_id", F.col("kv.k").alias("label"), F.col("kv.v").alias("value"))
 
@@ -342,6 +343,12 @@ def _lines(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
+def kv_lines(spark, d):
+    """Label and value of every line of a document that has both; lines count from 0."""
+    x = _lines(spark, d).select("doc_id", "line_no", layout.key_value(F.col("line")).alias("kv"))
+    return x.filter("kv is not null").select("doc_id", "line_no", F.col("kv.k").alias("label"), F.col("kv.v").alias("value"))
+
+
 def line_classify(spark, d):
     """Lines told apart by a size that stands for their type: long lines are body, short ones headings."""
     size = F.when(F.length("line") < 40, 14.0).when(F.length("line") < 80, 11.0).when(F.length("line") < 160, 9.0).otherwise(8.0)
@@ -397,6 +404,6 @@ QUERIES = {
         row_counts, upsert_latest, upsert_events, insert_or_ignore, cascade_links,
         vector_topk, vector_topk_parent, vector_topk_sources, context_snippets, passage_pages, vector_sizes, vector_batch, l2_normalize, hash_embed,
         ir_metrics, ir_summary, ir_to_inspect, ir_right_pages, quote_validation, anti_missing_refs, boilerplate_keys, strip_boilerplate, chunk_windows,
-        code_normalize, cell_split, scenario_resolve, retrieval_text, kv_parse, line_classify, carry_state, segment_runs, layout_titles, airbase_extract, unit_key_synthesis, quote_fold,
+        code_normalize, cell_split, scenario_resolve, retrieval_text, kv_parse, kv_lines, line_classify, carry_state, segment_runs, layout_titles, airbase_extract, unit_key_synthesis, quote_fold,
     )
 }

@@ -24,3 +24,10 @@ def test_query_equals_its_sql(spark, con, name):
     if name in oracle.SQL:
         cur = con.execute(oracle.SQL[name])
         assert got == rows([c[0] for c in cur.description], cur.fetchall())
+
+
+def test_label_and_value_of_every_line(spark, tmp_path):
+    texts = [(1, "Title\nRange: 900 km\n\nno label\n: empty\nempty: \nCrew: two: or three"), (2, "Only: one"), (3, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in queries.QUERIES["kv_lines"](spark, str(tmp_path)).collect())
+    assert got == [(1, 1, "Range", "900 km"), (1, 6, "Crew", "two: or three"), (2, 0, "Only", "one")]
