@@ -72,11 +72,16 @@ h as (select id, expected[1].source as source from gold_cases),
 pg as (select source, page, row_number() over (partition by source order by page desc) as rank from (select distinct source, page from rag_parents)),
 r as (select id, rank, h.source, page from h join pg using (source) where rank <= 10)
 """
+RETRIEVED_ALL = """
+h as (select distinct id, source from g),
+pg as (select distinct source, page from rag_parents),
+r as (select * from (select id, row_number() over (partition by id order by page desc nulls last, source) as rank, h.source, page from h join pg using (source)) where rank <= 10)
+"""
 
 
-def _metrics(k: int, tolerance: int) -> str:
+def _metrics(k: int, tolerance: int, retrieved: str = RETRIEVED) -> str:
     return f"""
-{GOLD}, {RETRIEVED},
+{GOLD}, {retrieved},
 j as (select r.id, rank, g.source as gs, g.page as gp, r.source = g.source and abs(r.page - g.page) <= {tolerance} as ok, r.source = g.source as same from r join g using (id)),
 pr as (select id, rank, max(ok::int) as rel, max(same::int) as same from j group by id, rank),
 br as (select id, max(same) as same, min(case when rel = 1 then rank end) as best_rank, sum(case when rank <= {k} then rel else 0 end) as right_in_k, sum(case when rank <= {k} and rel = 1 then 1 / log2(rank + 1) else 0 end) as dcg from pr group by id),
@@ -150,6 +155,11 @@ SQL = {
       round(avg(precision), 6) as mean_precision, round(avg(recall), 6) as mean_recall, round(avg(ndcg), 6) as mean_ndcg, round(sum(right_in_k) / (count(*) * 10), 6) as micro_precision, round(sum(found) / greatest(sum(labels), 1), 6) as micro_recall from m""",
     "ir_to_inspect": f"with {_metrics(4, 1)} select id, 'missed' as reason from m where not hit union all select id, 'unverified' from m where not coalesce(verified, false)",
     "ir_right_pages": f"with {GOLD}, {RETRIEVED} select distinct r.id, cast(rank as integer) as rank, r.source, r.page from r join g on g.id = r.id and g.source = r.source and abs(g.page - r.page) <= 1",
+    "ir_all_metrics": f"with {_metrics(4, 1, RETRIEVED_ALL)} select id, labels, hit, source_hit, cast(best_rank as integer) as best_rank, round(reciprocal_rank, 6) as reciprocal_rank, round(precision, 6) as precision, round(recall, 6) as recall, round(ndcg, 6) as ndcg from m",
+    "ir_all_summary": f"""with {_metrics(10, 3, RETRIEVED_ALL)} select count(*) as cases, cast(sum(labels) as bigint) as labels, count(case when not verified then 1 end) as unverified, round(avg(hit::int), 6) as hit_rate, round(avg(source_hit::int), 6) as source_hit_rate, round(avg(reciprocal_rank), 6) as mrr,
+      round(avg(precision), 6) as mean_precision, round(avg(recall), 6) as mean_recall, round(avg(ndcg), 6) as mean_ndcg, round(sum(right_in_k) / (count(*) * 10), 6) as micro_precision, round(sum(found) / greatest(sum(labels), 1), 6) as micro_recall from m""",
+    "ir_all_to_inspect": f"with {_metrics(4, 1, RETRIEVED_ALL)} select id, 'missed' as reason from m where not hit union all select id, 'unverified' from m where not coalesce(verified, false)",
+    "ir_all_right_pages": f"with {GOLD}, {RETRIEVED_ALL} select distinct r.id, cast(rank as integer) as rank, r.source, r.page from r join g on g.id = r.id and g.source = r.source and abs(g.page - r.page) <= 1",
     "quote_validation": f"""with {GOLD}, q as (select distinct id, source, page, quote from g where quote <> '')
       select q.id, q.source, q.page, coalesce(max(contains({FOLDED.format("p.text")}, {FOLDED.format("q.quote")})), false) as valid from q left join rag_parents p on p.source = q.source and p.page = q.page group by q.id, q.source, q.page, q.quote""",
     "anti_missing_refs": f"with {GOLD} select distinct source from g where source is not null and source not in (select source from rag_parents where source is not null)",

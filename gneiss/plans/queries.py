@@ -288,6 +288,33 @@ def ir_right_pages(spark, d):
     return metrics.right_pages(_retrieved(spark, d), table(spark, d, "gold_cases"))
 
 
+def _retrieved_all(spark, d):
+    """A plain retrieval: pages of all sources that a case expects, from the last page on."""
+    cases = metrics.expected_pages(table(spark, d, "gold_cases")).select("id", "source").distinct()
+    pages = table(spark, d, "rag_parents").select("source", "page").distinct()
+    w = Window.partitionBy("id").orderBy(F.desc("page"), "source")
+    return cases.join(pages, "source").withColumn("rank", F.row_number().over(w)).filter("rank <= 10").select("id", "rank", "source", "page")
+
+
+def ir_all_metrics(spark, d):
+    """As ``ir_metrics``, where a case's pages are retrieved from all the sources that it expects."""
+    m = metrics.case_metrics(_retrieved_all(spark, d), table(spark, d, "gold_cases"))
+    return m.select("id", "labels", "hit", "source_hit", "best_rank", *[F.round(c, 6).alias(c) for c in ("reciprocal_rank", "precision", "recall", "ndcg")])
+
+
+def ir_all_summary(spark, d):
+    m = metrics.summary(metrics.case_metrics(_retrieved_all(spark, d), table(spark, d, "gold_cases"), 10, 3), 10)
+    return m.select("cases", "labels", "unverified", *[F.round(c, 6).alias(c) for c in ("hit_rate", "source_hit_rate", "mrr", "mean_precision", "mean_recall", "mean_ndcg", "micro_precision", "micro_recall")])
+
+
+def ir_all_to_inspect(spark, d):
+    return metrics.to_inspect(metrics.case_metrics(_retrieved_all(spark, d), table(spark, d, "gold_cases")))
+
+
+def ir_all_right_pages(spark, d):
+    return metrics.right_pages(_retrieved_all(spark, d), table(spark, d, "gold_cases"))
+
+
 def quote_validation(spark, d):
     return metrics.quote_validation(table(spark, d, "gold_cases"), table(spark, d, "rag_parents"))
 
@@ -403,7 +430,7 @@ QUERIES = {
         search_units, unit_point, hub_with_children, units_for_item_semi, inventory_distinct, inventory_of_service, role_breakdown, theater_breakdown,
         row_counts, upsert_latest, upsert_events, insert_or_ignore, cascade_links,
         vector_topk, vector_topk_parent, vector_topk_sources, context_snippets, passage_pages, vector_sizes, vector_batch, l2_normalize, hash_embed,
-        ir_metrics, ir_summary, ir_to_inspect, ir_right_pages, quote_validation, anti_missing_refs, boilerplate_keys, strip_boilerplate, chunk_windows,
+        ir_metrics, ir_summary, ir_to_inspect, ir_right_pages, ir_all_metrics, ir_all_summary, ir_all_to_inspect, ir_all_right_pages, quote_validation, anti_missing_refs, boilerplate_keys, strip_boilerplate, chunk_windows,
         code_normalize, cell_split, scenario_resolve, retrieval_text, kv_parse, kv_lines, line_classify, carry_state, segment_runs, layout_titles, airbase_extract, unit_key_synthesis, quote_fold,
     )
 }
