@@ -65,7 +65,10 @@ def head_key(line: str) -> str:
 
 
 def head_line(line: str) -> str | None:
-    """The key of a stripped line that may be a running head or foot; None if it can be none."""
+    """The key of a stripped line that may be a running head or foot; None if it is not looked at as one.
+
+    Lost are heads of one word or under ten letters, without a space (so most Chinese ones), of more than 90 characters, and those that end in a stop, comma or colon.
+    """
     if len(line) <= 90 and line[-1] not in ".。,;:" and not line.startswith("|") and " " in line and len(key := head_key(line)) >= 10:
         return key
     return None
