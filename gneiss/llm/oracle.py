@@ -39,10 +39,27 @@ k as (select k from w group by k having count(*) > 1), s as (select w.* from w j
 select distinct a.doc_id as doc_id_a, b.doc_id as doc_id_b from s a join s b on a.k = b.k and a.doc_id < b.doc_id
 """
 
+#: Starts of windows that another document has too, then runs of them that touch or overlap.
+P8_SPANS = """
+with w as (select doc_id, i, md5_number(text[i : i + 299]) as k from (select distinct doc_id, text from documents), unnest(range(1, length(text) - 298)) as r(i)),
+k as (select k from w group by k having min(doc_id) <> max(doc_id)), s as (select distinct doc_id, i from w join k using (k)),
+m as (select *, case when i - lag(i) over (partition by doc_id order by i) <= 300 then 0 else 1 end as new from s),
+r as (select *, sum(new) over (partition by doc_id order by i rows unbounded preceding) as run from m)
+select doc_id, cast(min(i) - 1 as bigint) as start, cast(max(i) + 299 as bigint) as stop from r group by doc_id, run
+"""
+
+P8_SHARE = f"""
+with s as (select doc_id, count(*) as spans, cast(sum(stop - start) as bigint) as shared_chars from ({P8_SPANS}) group by doc_id),
+d as (select doc_id, cast(max(coalesce(length(text), 0)) as bigint) as chars from documents group by doc_id)
+select doc_id, chars, coalesce(shared_chars, 0) as shared_chars, coalesce(spans, 0) as spans, case when chars > 0 then round(coalesce(shared_chars, 0) / chars, 4) else 0.0 end as share from d left join s using (doc_id)
+"""
+
 SQL = {
     "p1_found": P1_FOUND,
     "p6_found": P6_FOUND,
     "p6_cases": f"select id, count(*) as documents from ({P6_FOUND}) group by id",
     "p7_found": P7_FOUND,
     "p8_found": P8_FOUND,
+    "p8_spans": P8_SPANS,
+    "p8_share": P8_SHARE,
 }

@@ -3,12 +3,13 @@
 Two records that share ``min_len`` characters share the *anchor* of that stretch: of the windows of ``min_len // 2`` characters
 inside it, the one with the least hash. Anchors are about one window in seventy-six, so they can be counted:
 
-1. every partition counts its anchors in a count-min sketch; the partial sketches are merged by block,
-2. a second pass keeps only anchors whose estimate is at least two. The sketch overestimates, so none is lost,
-3. the kept anchors are grouped exactly and compared character by character.
+1. every partition counts its anchors in a sparse count-min sketch of two rows; the partial sketches are merged block by block. The width follows the
+   number of anchors without an end, so a cell holds a quarter of an anchor on average at every size, and the sketch stays distributed,
+2. a second pass keeps only anchors whose cells both count at least two. The sketch overestimates, so none is lost,
+3. the kept anchors are counted exactly, and those of two or more records are grouped and compared character by character.
 
-An anchor estimated at more than ``hot`` occurrences never becomes one group: all windows of ``min_len`` characters that it stands
-for are hashed and counted with map-side partial sums, so that text which a third of all records carry costs linear work.
+An anchor that really stands at more than ``hot`` places never becomes one group. Places with the same text around them are one class, told apart by an aggregate with partial
+sums, and only classes are compared, by the windows of ``min_len`` characters that they hold; so text which a third of all records carry costs a row for each place.
 """
 
 from __future__ import annotations
@@ -21,69 +22,90 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gneiss.llm.codes import code_points, mix, prefix_hash, segments, sliding_min, window_hash
+from gneiss.llm.codes import code_points, prefix_hash, segments, sliding_min, window_hash
 from gneiss.tables import cut_lineage
 
 _SEGMENT = 1 << 19
-_BLOCK = 16
-_DEPTH = 2
-_SEEDS = (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+#: Bits of a place inside a segment, which holds less than twice ``_SEGMENT`` characters.
+_PLACE = np.uint64(20)
+#: A block of the sketch has at least 2**16 cells, and there are at most 2**18 blocks a row, so a group holds tens of megabytes at 10**12 anchors.
+_BLOCK, _BLOCKS = 16, 18
+#: Places of one hot class that one task of a join takes.
+_SALT = 1 << 16
 
 
-def _anchors(codes: np.ndarray, parts: np.ndarray, min_len: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor positions in ``codes``, their hashes, and, for every window of ``min_len``, its start and its anchor's position."""
+def _anchors(codes: np.ndarray, parts: np.ndarray, min_len: int) -> tuple[np.ndarray, np.ndarray]:
+    """Anchor positions in ``codes`` and their hashes."""
     none = np.empty(0, dtype=np.int64)
     if len(codes) < min_len:
-        return none, none.astype(np.uint64), none, none
+        return none, none.astype(np.uint64)
     width = min_len // 2
-    prefix = prefix_hash(codes)
-    h = window_hash(prefix, width)
-    # the hash's upper bits and the place, so that the least value names the leftmost of the least
-    bits = np.uint64(max(1, int(len(h)).bit_length()))
-    packed = ((h >> bits) << bits) | np.arange(len(h), dtype=np.uint64)
+    h = window_hash(prefix_hash(codes), width)
+    # the hash's upper bits and the place, so that the least value names the leftmost of the least; the number of bits is fixed, so all segments choose alike
+    packed = ((h >> _PLACE) << _PLACE) | np.arange(len(h), dtype=np.uint64)
     least = sliding_min(packed, min_len - width + 1)
     inside = np.zeros(len(least) + 1, dtype=np.int32)
     whole = parts[parts[:, 3] - parts[:, 2] >= min_len]
     np.add.at(inside, whole[:, 2], 1)
     np.add.at(inside, whole[:, 3] - min_len + 1, -1)
-    starts = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
-    at = (least[starts] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    at = (least[np.cumsum(inside[:-1]) > 0] & ((np.uint64(1) << _PLACE) - np.uint64(1))).astype(np.int64)
     places = np.unique(at[np.r_[True, at[1:] != at[:-1]]]) if len(at) else at
-    return places, h[places], starts, at
+    return places, h[places]
 
 
-def _cells(h: np.ndarray, k: int) -> list[np.ndarray]:
-    return [(mix(h * np.uint64(s)) >> np.uint64(64 - k)).astype(np.int64) for s in _SEEDS]
+def _extractor(min_len: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for parts, codes, _ in segments(batch.column(1).to_pylist(), _SEGMENT, min_len - 1):
+                at, h = _anchors(codes, parts, min_len)
+                if not len(at):
+                    continue
+                part = np.searchsorted(parts[:, 2], at, side="right") - 1
+                pos = at - parts[part, 2] + parts[part, 1]
+                used, first = np.unique(part, return_index=True)
+                cut = pa.array(np.r_[first, len(at)].astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[parts[used, 0]]), pa.ListArray.from_arrays(cut, pa.array(h.view(np.int64))), pa.ListArray.from_arrays(cut, pa.array(pos.astype(np.int32)))], ["doc_id", "hashes", "places"])
+
+    return run
+
 
+def anchor_lists(docs: DataFrame, min_len: int) -> DataFrame:
+    """``(doc_id, hashes, places)``: the anchors of each text, of a long text in several rows. ``docs``: doc_id, text. It is written once, in twelve bytes an anchor."""
+    d = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), "text").filter(F.length("text") >= min_len)
+    return cut_lineage(d.mapInArrow(_extractor(min_len), "doc_id long, hashes array<long>, places array<int>"))
+
+
+def _sketcher(k: int, block: int):
+    """Sparse sketches of a partition: for each row and block the cells that are not 0, with their counts up to 255."""
+    low_type = "<u2" if block <= 16 else "<u4"
 
-def _sketcher(k: int, min_len: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         seen = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             h, n = np.unique(np.concatenate(held), return_counts=True)
-            n = np.minimum(n, 255)
             rows, blocks, data = [], [], []
-            for row, cell in enumerate(_cells(h, k)):
+            for row, cell in enumerate((h >> np.uint64(64 - k), h & np.uint64((1 << k) - 1))):
                 order = np.argsort(cell, kind="stable")
                 c, m = cell[order], n[order]
                 first = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
                 m = np.minimum(np.add.reduceat(m, first), 255).astype(np.uint8)
                 c = c[first]
-                block, low = c >> _BLOCK, (c & ((1 << _BLOCK) - 1)).astype("<u2")
-                cut = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-                for a, b in zip(cut, np.r_[cut[1:], len(c)]):
+                of = (c >> np.uint64(block)).astype(np.int64)
+                low = (c & np.uint64((1 << block) - 1)).astype(low_type)
+                cut = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+                for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(c)]):
                     rows.append(row)
-                    blocks.append(int(block[a]))
+                    blocks.append(int(of[a]))
                     data.append(low[a:b].tobytes() + m[a:b].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(blocks, pa.int32()), pa.array(data, pa.binary())], ["row", "block", "cells"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(blocks, pa.int64()), pa.array(data, pa.binary())], ["row", "block", "cells"])
 
         for batch in batches:
-            for parts, codes, _ in segments(batch.column(0).to_pylist(), _SEGMENT, min_len - 1):
-                _, h, _, _ = _anchors(codes, parts, min_len)
-                held.append(h)
-                seen += len(h)
+            h = batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            held.append(h)
+            seen += len(h)
             if seen > 1 << 21:
                 yield from flush()
                 held, seen = [], 0
@@ -93,104 +115,85 @@ def _sketcher(k: int, min_len: int):
     return run
 
 
-def _merger(hot: int):
+def _merger(block: int):
+    """Adds up the partial sketches of one block and gives the cells that count two or more."""
     import pandas as pd
 
+    low_type = np.dtype("<u2" if block <= 16 else "<u4")
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(1 << _BLOCK, dtype=np.int64)
+        total = np.zeros(1 << block, dtype=np.uint8)
         for cells in pdf["cells"]:
-            n = len(cells) // 3
-            total[np.frombuffer(cells, "<u2", n)] += np.frombuffer(cells, np.uint8, n, 2 * n)
-        return pd.DataFrame({"row": [pdf["row"].iloc[0]], "block": [pdf["block"].iloc[0]], "two": [np.packbits(total >= 2).tobytes()], "many": [np.packbits(total > hot).tobytes()]})
+            n = len(cells) // (low_type.itemsize + 1)
+            low = np.frombuffer(cells, low_type, n)
+            total[low] = np.minimum(total[low].astype(np.uint16) + np.frombuffer(cells, np.uint8, n, low_type.itemsize * n), 255)
+        cell = (int(pdf["block"].iloc[0]) << block) + np.flatnonzero(total >= 2)
+        return pd.DataFrame({"row": np.full(len(cell), pdf["row"].iloc[0], np.int32), "cell": cell})
 
     return run
 
 
-def anchor_sketch(texts: DataFrame, min_len: int, hot: int) -> tuple[int, bytes, bytes]:
-    """The merged count-min sketch of all anchors of column ``text``, as two bits a cell: at least two, more than ``hot``.
+def repeated_cells(anchors: DataFrame, k: int) -> DataFrame:
+    """``(row, cell)`` of the merged count-min sketch with 2**k cells a row: cells that count at least two anchors. ``anchors``: hashes.
 
-    Its width follows the text and ends at 2**26 cells, so what reaches the driver is at most 32 MB. With more text than that
-    width suits, more anchors pass the filter; none is lost.
+    The cell of an anchor is the upper ``k`` bits of its hash in row 0 and the lower ``k`` bits in row 1.
     """
-    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    k = min(26, max(18, math.ceil(math.log2(1 + 4 * chars * 2 / (min_len - min_len // 2 + 2)))))
-    merged = (
-        texts.select("text")
-        .mapInArrow(_sketcher(k, min_len), "row int, block int, cells binary")
-        .groupBy("row", "block")
-        .applyInPandas(_merger(hot), "row int, block int, two binary, many binary")
-    )
-    two = np.zeros((_DEPTH, 1 << (k - 3)), dtype=np.uint8)
-    many = np.zeros_like(two)
-    step = 1 << (_BLOCK - 3)
-    for r in merged.toLocalIterator():
-        for to, data in ((two, r["two"]), (many, r["many"])):
-            to[r["row"], r["block"] * step : (r["block"] + 1) * step] = np.frombuffer(data, np.uint8)
-    return k, two.tobytes(), many.tobytes()
+    block = max(min(_BLOCK, k), k - _BLOCKS)
+    parts = anchors.select("hashes").mapInArrow(_sketcher(k, block), "row int, block long, cells binary")
+    return parts.groupBy("row", "block").applyInPandas(_merger(block), "row int, cell long")
 
 
-_REPEATED = "hot boolean, anchor long, key long, doc_id long, pos int, off int, ctx string"
+def repeated_anchors(docs: DataFrame, min_len: int, hot: int, k: int | None = None) -> DataFrame:
+    """``(hot, anchor, doc_id, pos, off, ctx)``: places of anchors that two or more records have, with the text around them.
 
-
-def _repeated(sketch, min_len: int):
+    ``hot`` marks anchors at more than ``hot`` places. ``k`` is the width of the sketch in bits, by default that of four cells an anchor; with fewer cells more anchors pass the sketch, and the
+    exact count after it leaves the same ones.
+    """
+    lists = anchor_lists(docs, min_len)
+    if k is None:
+        n = lists.agg(F.sum(F.size("hashes"))).first()[0] or 0
+        k = min(62, max(_BLOCK, math.ceil(math.log2(4 * n + 1))))
+    cells = cut_lineage(repeated_cells(lists, k))
+    each = lists.select("doc_id", F.explode(F.arrays_zip("hashes", "places")).alias("a")).select("doc_id", F.col("a.hashes").alias("anchor"), F.col("a.places").alias("pos"))
+    for row, cell in enumerate((F.shiftrightunsigned("anchor", 64 - k), F.col("anchor").bitwiseAND(F.lit((1 << k) - 1)))):
+        kept = cells.filter(F.col("row") == row).select("cell")
+        each = each.withColumn("cell", cell).join(kept, "cell", "left_semi").drop("cell")
+    each = cut_lineage(each)
+    exact = each.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).filter("low <> high")
+    exact = exact.select("anchor", (F.col("n") > hot).alias("hot"))
+    # a text has a bounded number of anchors, so its list is one row
+    wanted = each.join(exact, "anchor").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("pos", "anchor", "hot"))).alias("wanted"))
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id")
+    return cut_lineage(texts.mapInArrow(_surroundings(min_len), "hot boolean, anchor long, doc_id long, pos int, off int, ctx string"))
+
+
+def _surroundings(min_len: int):
     width = min_len // 2
     reach = min_len - width
-    schema = pa.schema([("hot", pa.bool_()), ("anchor", pa.int64()), ("key", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32()), ("off", pa.int32()), ("ctx", pa.string())])
+    schema = pa.schema([("hot", pa.bool_()), ("anchor", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32()), ("off", pa.int32()), ("ctx", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k, two, many = sketch.value
-        two, many = (np.frombuffer(x, np.uint8).reshape(_DEPTH, -1) for x in (two, many))
-
-        def all_set(bits: np.ndarray, cells: list[np.ndarray]) -> np.ndarray:
-            hit = np.ones(len(cells[0]), dtype=bool)
-            for row, c in enumerate(cells):
-                hit &= (bits[row, c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 == 1
-            return hit
-
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            texts = batch.column(1).to_pylist()
-            for parts, codes, joined in segments(texts, _SEGMENT, min_len - 1):
-                at, h, starts, of = _anchors(codes, parts, min_len)
-                if not len(at):
+            wanted = batch.column(2)
+            at, flat = wanted.offsets.to_numpy(), wanted.values
+            pos, anchor, often = (flat.field(i) for i in range(3))
+            texts, ids = batch.column(1).to_pylist(), batch.column(0).to_numpy(zero_copy_only=False)
+            # rows come out a few thousand at a time, as each carries hundreds of characters
+            for a in range(0, len(texts), 256):
+                b = min(len(texts), a + 256)
+                lo, hi = int(at[a]), int(at[b])
+                if lo == hi:
                     continue
-                cells = _cells(h, k)
-                keep = all_set(two, cells)
-                often = keep & all_set(many, cells)
-                some = np.flatnonzero(keep & ~often)
-                part = np.searchsorted(parts[:, 2], at[some], side="right") - 1
-                left = np.maximum(at[some] - reach, parts[part, 2])
-                right = np.minimum(at[some] + width + reach, parts[part, 3])
-                ctx = [joined[a:b] for a, b in zip(left.tolist(), right.tolist())]
-                n = len(some)
-                if n:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.zeros(n, bool)), pa.array(h[some].view(np.int64)), pa.nulls(n, pa.int64()), pa.array(ids[parts[part, 0]]), pa.array((at[some] - parts[part, 2] + parts[part, 1]).astype(np.int32)), pa.array((at[some] - left).astype(np.int32)), pa.array(ctx, pa.string())],
-                        schema=schema,
-                    )
-                if often.any():
-                    slot = np.searchsorted(at, of)
-                    s = starts[often[slot]]
-                    a = h[slot[often[slot]]]
-                    part = np.searchsorted(parts[:, 2], s, side="right") - 1
-                    n = len(s)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.ones(n, bool)), pa.array(a.view(np.int64)), pa.array(window_hash(prefix_hash(codes), min_len, s).view(np.int64)), pa.array(ids[parts[part, 0]]), pa.array((s - parts[part, 2] + parts[part, 1]).astype(np.int32)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string())],
-                        schema=schema,
-                    )
+                row = np.repeat(np.arange(a, b), np.diff(at[a : b + 1]))
+                p = pos.slice(lo, hi - lo).to_numpy(zero_copy_only=False)
+                left = np.maximum(p - reach, 0)
+                ctx = [texts[r][x:y] for r, x, y in zip(row.tolist(), left.tolist(), (p + width + reach).tolist())]
+                columns = [often.slice(lo, hi - lo), anchor.slice(lo, hi - lo), pa.array(ids[row]), pa.array(p), pa.array((p - left).astype(np.int32)), pa.array(ctx, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return run
 
 
-def repeated_anchors(docs: DataFrame, min_len: int, hot: int) -> DataFrame:
-    """The second pass: places of anchors that the merged sketch calls repeated, with the text around them.
-
-    Hot anchors come as the hashes of the windows they stand for instead. ``docs`` has ``doc_id`` and ``text``.
-    """
-    sketch = docs.sparkSession.sparkContext.broadcast(anchor_sketch(docs, min_len, hot))
-    return cut_lineage(docs.select("doc_id", "text").mapInArrow(_repeated(sketch, min_len), _REPEATED))
-
-
 def _pairs_of(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers of both sides of every pair inside groups of the given sizes, groups following one another."""
     first = np.cumsum(sizes) - sizes
@@ -270,46 +273,82 @@ def _matched(min_len: int, spans: bool):
 
 
 def _grouped(found: DataFrame) -> DataFrame:
-    cold = found.filter(~F.col("hot")).select("anchor", "doc_id", "pos", "off", "ctx")
+    cold = found.filter(~F.col("hot")).select("anchor", "doc_id", "pos", "off", "ctx").distinct()
     return cold.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "pos")
 
 
-def shared_pairs(docs: DataFrame, min_len: int = 300, hot: int = 64) -> DataFrame:
+def _windows(min_len: int):
+    """The windows of ``min_len`` characters of each class's text that hold its anchor, as hashes with their place beside the anchor's."""
+    schema = pa.schema([("anchor", pa.int64()), ("kind", pa.string()), ("low", pa.int64()), ("high", pa.int64()), ("key", pa.int64()), ("rel", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, off = batch.column(5).to_pylist(), batch.column(4).to_numpy(zero_copy_only=False)
+            for a in range(0, len(texts), 128):
+                row, key, rel = [], [], []
+                for i, t in enumerate(texts[a : a + 128], a):
+                    h = window_hash(prefix_hash(code_points(t)), min_len).view(np.int64)
+                    row.append(np.full(len(h), i))
+                    key.append(h)
+                    rel.append(np.arange(len(h), dtype=np.int32) - off[i])
+                if row:
+                    at = pa.array(np.concatenate(row))
+                    yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in range(4)], pa.array(np.concatenate(key)), pa.array(np.concatenate(rel))], schema=schema)
+
+    return run
+
+
+def _classes(found: DataFrame, min_len: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of hot anchors: the places ``(anchor, kind, doc_id, pos)``, where ``kind`` names places with the same text around the anchor; the windows of each class; and those
+    windows that two or more records have."""
+    hot = found.filter("hot").withColumn("kind", F.md5(F.concat_ws(":", "off", "ctx")))
+    places = hot.select("anchor", "kind", "doc_id", "pos").distinct()
+    classes = hot.filter(F.length("ctx") >= min_len).groupBy("anchor", "kind", "off", "ctx").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    windows = cut_lineage(classes.select("anchor", "kind", "low", "high", "off", "ctx").mapInArrow(_windows(min_len), "anchor long, kind string, low long, high long, key long, rel int"))
+    shared = windows.groupBy("anchor", "key").agg(F.min("low").alias("least"), F.max("high").alias("most")).filter("least <> most").select("anchor", "key")
+    return places, windows, shared
+
+
+def shared_pairs(docs: DataFrame, min_len: int = 300, hot: int = 64, k: int | None = None) -> DataFrame:
     """Pairs ``(doc_id_a, doc_id_b)``, smaller id first, of records with at least ``min_len`` consecutive characters in common.
 
-    ``docs`` has ``doc_id`` (unique, long) and ``text``; other columns are ignored. NULL, empty and shorter texts have no pair; a
+    ``docs`` has ``doc_id`` (unique, long) and ``text``; other columns are ignored. NULL ids, NULL, empty and shorter texts have no pair; a
     record never pairs with itself; repeated rows of one ``doc_id`` count once. Comparison is exact, by code points as stored.
-    An empty table gives no rows.
+    An empty table gives no rows. All pairs are written out, also those of copies, as the result is defined by them.
     """
-    found = repeated_anchors(docs, min_len, hot)
+    found = repeated_anchors(docs, min_len, hot, k)
     cold = _grouped(found).mapInArrow(_matched(min_len, False), "doc_id_a long, doc_id_b long")
-    keyed = found.filter("hot").select("anchor", "key", "doc_id").distinct()
-    # windows that the same records carry are one case: of each such set only one window is paired
-    sets = (
-        keyed.groupBy("anchor", "key")
-        .agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("of"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-        .filter("low <> high")
-        .groupBy("anchor", "n", "of", "low", "high")
-        .agg(F.min("key").alias("key"))
-        .select("anchor", "key")
-    )
-    kept = keyed.join(sets, ["anchor", "key"], "left_semi")
-    a, b = kept.withColumnRenamed("doc_id", "doc_id_a"), kept.withColumnRenamed("doc_id", "doc_id_b")
-    warm = a.join(b, ["anchor", "key"]).filter("doc_id_a < doc_id_b").select("doc_id_a", "doc_id_b")
+    places, windows, shared = _classes(found, min_len)
+    # windows that the same classes hold are one case: of each such set only one window is paired
+    held = windows.select("anchor", "key", "kind").distinct().join(shared, ["anchor", "key"], "left_semi")
+    sets = held.groupBy("anchor", "key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("kind")).alias("of"), F.min("kind").alias("first"), F.max("kind").alias("last"))
+    sets = sets.groupBy("anchor", "n", "of", "first", "last").agg(F.min("key").alias("key")).select("anchor", "key")
+    members = held.join(sets, ["anchor", "key"], "left_semi").join(places.select("anchor", "kind", "doc_id").distinct(), ["anchor", "kind"]).select("anchor", "key", "doc_id").distinct()
+    # each side of a large set is cut, so that a task pairs at most ``_SALT`` records with one part of the other side
+    salts = members.groupBy("anchor", "key").agg(F.ceil(F.count("*") / (16 * hot)).cast("int").alias("salts"))
+    m = members.join(salts, ["anchor", "key"])
+    a = m.select("anchor", "key", F.col("doc_id").alias("doc_id_a"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    b = m.select("anchor", "key", F.col("doc_id").alias("doc_id_b"), F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt"))
+    warm = a.join(b, ["anchor", "key", "salt"]).filter("doc_id_a < doc_id_b").select("doc_id_a", "doc_id_b")
     return cold.union(warm).distinct()
 
 
-def shared_spans(docs: DataFrame, min_len: int = 300, hot: int = 64) -> DataFrame:
+def shared_spans(docs: DataFrame, min_len: int = 300, hot: int = 64, k: int | None = None) -> DataFrame:
     """Stretches ``(doc_id, start, stop)`` of each text that stand, ``min_len`` characters or more at a time, in another record.
 
     ``start`` counts code points from 0, ``stop`` is exclusive; stretches of a record neither touch nor overlap. The inputs and
     edge cases are those of ``shared_pairs``; no pairs are formed for hot text, so groups of copies cost linear work.
     """
-    found = repeated_anchors(docs, min_len, hot)
+    found = repeated_anchors(docs, min_len, hot, k)
     cold = _grouped(found).mapInArrow(_matched(min_len, True), "doc_id long, start long, stop long")
-    keyed = found.filter("hot").select("anchor", "key", "doc_id", "pos")
-    shared = keyed.groupBy("anchor", "key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low <> high").select("anchor", "key")
-    warm = keyed.join(shared, ["anchor", "key"], "left_semi").select("doc_id", F.col("pos").cast("long").alias("start"), (F.col("pos") + min_len).cast("long").alias("stop"))
+    places, windows, shared = _classes(found, min_len)
+    # all windows of a class hold its anchor, so together they are one stretch
+    reach = windows.join(shared, ["anchor", "key"], "left_semi").groupBy("anchor", "kind").agg(F.min("rel").alias("first"), (F.max("rel") + min_len).alias("last"))
+    sized = places.groupBy("anchor", "kind").agg(F.ceil(F.count("*") / _SALT).cast("int").alias("salts"))
+    reach = reach.join(sized, ["anchor", "kind"])
+    spread = reach.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("anchor", "kind", "salt", "first", "last")
+    salted = places.join(sized, ["anchor", "kind"]).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int"))
+    warm = salted.join(spread, ["anchor", "kind", "salt"]).select("doc_id", (F.col("pos") + F.col("first")).cast("long").alias("start"), (F.col("pos") + F.col("last")).cast("long").alias("stop"))
     each = cold.union(warm).groupBy("doc_id", "start").agg(F.max("stop").alias("stop"))
     w = Window.partitionBy("doc_id").orderBy("start")
     before = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))

@@ -93,6 +93,20 @@ def test_shared_text_equals_all_windows(spark, hot):
     assert got == cover
 
 
+def test_a_full_sketch_changes_no_result_and_no_volume(spark):
+    r = random.Random(5)
+    block = prose(r, 40)
+    rows = [(i, prose(r, 60) + (block if i % 3 == 0 else "")) for i in range(45)]
+    pairs, cover = shared(rows, 60)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    wide, full = spans.repeated_anchors(df, 60, 8), spans.repeated_anchors(df, 60, 8, k=4)
+    assert spans.repeated_cells(spans.anchor_lists(df, 60), 4).count() == 2 * 16
+    assert sorted(map(str, wide.collect())) == sorted(map(str, full.collect()))
+    assert {tuple(x) for x in spans.shared_pairs(df, 60, 8, k=4).collect()} == pairs
+    got = {x["doc_id"]: x["stop"] - x["start"] for x in spans.shared_spans(df, 60, 8, k=4).collect()}
+    assert got == {i: n for i, n in cover.items() if n}
+
+
 def test_spans_of_texts_longer_than_a_segment(spark):
     r = random.Random(9)
     long = "".join(chr(97 + r.randrange(26)) for _ in range(1_200_000))
