@@ -22,10 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gneiss.llm.codes import code_points, prefix_hash, segments, sliding_min, window_hash
+from gneiss.llm.codes import code_points, mix, prefix_hash, segments, sliding_min, window_hash
 from gneiss.tables import cut_lineage
 
 _SEGMENT = 1 << 19
+_SEED = np.uint64(0xC2B2AE3D27D4EB4F)
 #: Bits of a place inside a segment, which holds less than twice ``_SEGMENT`` characters.
 _PLACE = np.uint64(20)
 #: A block of the sketch has at least 2**16 cells, and there are at most 2**18 blocks a row, so a group holds tens of megabytes at 10**12 anchors.
@@ -50,7 +51,8 @@ def _anchors(codes: np.ndarray, parts: np.ndarray, min_len: int) -> tuple[np.nda
     np.add.at(inside, whole[:, 3] - min_len + 1, -1)
     at = (least[np.cumsum(inside[:-1]) > 0] & ((np.uint64(1) << _PLACE) - np.uint64(1))).astype(np.int64)
     places = np.unique(at[np.r_[True, at[1:] != at[:-1]]]) if len(at) else at
-    return places, h[places]
+    # the least of many hashes has upper bits near 0, so it is mixed once more to fill the sketch evenly
+    return places, mix(h[places] * _SEED)
 
 
 def _extractor(min_len: int):
