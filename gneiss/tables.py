@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,20 +28,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def work_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables: the session's ``spark.checkpoint.dir``, which all executors of a cluster reach.
+
+    Where a session on one machine has none (tests), one is made; on a cluster a missing setting raises ValueError.
+    """
+    sc = spark.sparkContext
+    given = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not given:
+        set_dir = sc._jsc.sc().getCheckpointDir()
+        given = set_dir.get() if set_dir.isDefined() else None
+    if not given:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors reach")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        given = sc._jsc.sc().getCheckpointDir().get()
+    return given.rstrip("/")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df``, written to the shared checkpoint folder, so that a lost executor costs no recomputation.
+    """``df``, written as a table in ``work_folder`` and read back, so that a lost executor costs no recomputation, only the columns used are read, and Spark knows its size.
 
-    The folder is the session's ``spark.checkpoint.dir``; where a session has none (tests), one is made on this machine.
+    The table goes when the driver's file system closes.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        given = sc.getConf().get("spark.checkpoint.dir")
-        if not given:
-            import tempfile
-
-            given = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        sc.setCheckpointDir(given)
-    return df.checkpoint()
+    spark = df.sparkSession
+    path = f"{work_folder(spark)}/gneiss-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def blank_to_null(c: Column) -> Column:
