@@ -164,8 +164,9 @@ def repeated_anchors(docs: DataFrame, min_len: int, hot: int, k: int | None = No
     exact = each.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).filter("low <> high")
     exact = exact.select("anchor", (F.col("n") > hot).alias("hot"))
     # a text has a bounded number of anchors, so its list is one row
-    wanted = each.join(exact, "anchor").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("pos", "anchor", "hot"))).alias("wanted"))
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id")
+    wanted = cut_lineage(each.join(exact, "anchor").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("pos", "anchor", "hot"))).alias("wanted")))
+    # where the ids alone are few, Spark sends them to the texts, and no other text is shuffled
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(wanted.select("doc_id"), "doc_id", "left_semi").join(wanted, "doc_id")
     return cut_lineage(texts.mapInArrow(_surroundings(min_len), "hot boolean, anchor long, doc_id long, pos int, off int, ctx string"))
 
 
