@@ -26,6 +26,19 @@ h as (select distinct doc_id, array_to_string(w[i : i + 11], ' ') as k from d, u
 select distinct h.doc_id, g.id from h join g using (k)
 """
 
+#: The longest run of words that each document has in common with each passage: equal runs of twelve words that follow one another in both.
+P6_RUNS = r"""
+with q as (
+  select distinct id, passage, regexp_extract_all(lower(quote), '[\p{L}\p{N}]+') as w from (
+    select id, cast(generate_subscripts(expected, 1) - 1 as integer) as passage, unnest(expected).quote as quote from gold_cases) where quote is not null),
+g as (select id, passage, i, array_to_string(w[i : i + 11], ' ') as k from q, unnest(range(1, len(w) - 10)) as r(i)),
+d as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents where text is not null),
+h as (select doc_id, i, array_to_string(w[i : i + 11], ' ') as k from d, unnest(range(1, len(w) - 10)) as r(i)),
+m as (select doc_id, id, passage, h.i - g.i as diagonal, g.i - row_number() over (partition by doc_id, id, passage, h.i - g.i order by g.i) as island from h join g using (k)),
+n as (select doc_id, id, passage, count(*) + 11 as run from m group by doc_id, id, passage, diagonal, island)
+select doc_id, id, passage, cast(max(run) as integer) as common_words from n group by doc_id, id, passage
+"""
+
 #: A source short of its share is so by far, whatever the tokenizer; bytes stand for tokens here.
 P7_FOUND = """
 with n as (select source, sum(octet_length(encode(text))) as n from documents group by source), a as (select sum(n) as total from n)
@@ -57,6 +70,7 @@ select doc_id, chars, coalesce(shared_chars, 0) as shared_chars, coalesce(spans,
 SQL = {
     "p1_found": P1_FOUND,
     "p6_found": P6_FOUND,
+    "p6_runs": P6_RUNS,
     "p6_cases": f"select id, count(*) as documents from ({P6_FOUND}) group by id",
     "p7_found": P7_FOUND,
     "p8_found": P8_FOUND,

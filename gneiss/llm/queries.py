@@ -44,6 +44,11 @@ def p6_leaks(spark, d):
     return leaks.leaked_passages(table(spark, d, "documents"), table(spark, d, "gold_cases"))
 
 
+def p6_runs(spark, d):
+    """The longest run of words that a document has in common with a passage: the exact part of ``p6_leaks``."""
+    return p6_leaks(spark, d).filter("common_words > 0").select("doc_id", "id", "passage", "common_words")
+
+
 def p6_cases(spark, d):
     """How many documents each leaked case stands in."""
     return p6_found(spark, d).groupBy("id").agg(F.count("*").alias("documents"))
@@ -79,4 +84,4 @@ def p8_share(spark, d):
     return spans.shared_share(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_texts, p6_found, p6_leaks, p6_cases, p7_found, p7_mix, p7_shares, p8_found, p8_spans, p8_share)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_texts, p6_found, p6_leaks, p6_runs, p6_cases, p7_found, p7_mix, p7_shares, p8_found, p8_spans, p8_share)}

@@ -163,7 +163,7 @@ def test_leaks_equal_a_search_for_word_runs(spark):
     d = spark.createDataFrame(docs + docs[:3], "doc_id long, text string").withColumn("id", F.lit("clash"))
     c = spark.createDataFrame(cases, "id string, expected array<struct<source:string,page:int,quote:string>>")
     assert {tuple(x) for x in leaks.leaked_documents(d, c).collect()} == want
-    some = leaks.leaked_passages(d, c, block=7)
+    some = leaks.leaked_passages(d, c)
     assert {(x["doc_id"], x["id"]) for x in some.filter("common_words >= 12").collect()} == want
     assert leaks.leaked_documents(d.limit(0), c).count() == leaks.leaked_documents(d, c.limit(0)).count() == 0
 
