@@ -4,7 +4,7 @@ Texts are reduced to lower-case words with single spaces. Let ``n`` be the lengt
 changed characters shares at least ``n + 1 - q - q * e`` character q-grams with it on neighbouring diagonals (the q-gram lemma). So
 
 1. a bitmap of the q-grams of all passages goes to all tasks, and one scan of the corpus keeps the regions dense enough in them for the weakest bound of all passages,
-2. the different regions are joined with the passages on seeds: of every ``n`` characters of a passage its ``q * e + 1`` rarest q-grams, of which a region within the bound has at least one,
+2. the different regions are joined with the passages on seeds: of every ``n`` characters of a passage its ``q * e + q`` rarest q-grams, of which a region within the bound has at least ``q``,
 3. for each pair the shared q-grams are counted in overlapping bands of diagonals, bands within the bound are aligned, and the alignment decides; the words in common one after another
    are counted exactly.
 
@@ -175,31 +175,32 @@ def _scan(bitmap, bits: int, q: int, near: int, need: int, margin: int):
     return run
 
 
-def _seeds(q: int):
-    """Of every stretch of ``run`` characters of a passage the ``q * edits + 1`` rarest q-grams."""
+def _seeds(q: int, spare: int):
+    """Of every stretch of ``run`` characters of a passage the ``q * edits + spare`` rarest q-grams, and how many different ones of them a region within the bound has at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, out = [], []
+            keys, out, least = [], [], []
             for p, n, e, grams in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 grams.sort(key=lambda g: g["place"])
                 h = np.array([g["h"] for g in grams], dtype=np.int64)
-                order = np.lexsort((h, np.array([g["n"] for g in grams])))
-                rank = np.empty(len(h), dtype=np.int64)
-                rank[order] = np.arange(len(h))
-                wide, few = min(n + 1 - q, len(h)), q * e + 1
-                kept = np.ones(len(h), dtype=bool)
-                if few < wide:
-                    kept[:] = False
-                    windows = np.lib.stride_tricks.sliding_window_view(rank, wide)
-                    for a in range(0, len(windows), 4096):
-                        best = np.partition(windows[a : a + 4096], few - 1, axis=1)[:, :few]
-                        kept[order[np.unique(best)]] = True
-                chosen = np.unique(h[kept])
+                different, first, of = np.unique(h, return_index=True, return_inverse=True)
+                order = np.argsort(np.array([g["n"] for g in grams])[first], kind="stable")
+                rank = np.empty(len(order), dtype=np.int64)
+                rank[order] = np.arange(len(order))
+                wide, few = min(n + 1 - q, len(h)), q * e + spare
+                windows = np.lib.stride_tricks.sliding_window_view(rank[of], wide)
+                kept, shared = np.zeros(len(order), dtype=bool), wide
+                for a in range(0, len(windows), 4096):
+                    best = np.sort(windows[a : a + 4096], axis=1)[:, :few]
+                    kept[best.ravel()] = True
+                    shared = min(shared, int((np.diff(best, axis=1) != 0).sum(axis=1).min()) + 1 - q * e)
+                chosen = different[order[kept]]
                 keys += [p] * len(chosen)
+                least += [max(1, shared)] * len(chosen)
                 out.append(chosen)
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(np.concatenate(out))], ["p", "h"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(np.concatenate(out)), pa.array(least, pa.int32())], ["p", "h", "least"])
 
     return run
 
@@ -381,10 +382,11 @@ def leaked_passages(docs: DataFrame, cases: DataFrame, min_words: int = 12, max_
 
     counts = grams.select("key", "h").distinct().groupBy("h").agg(F.count("*").alias("n"))
     listed = grams.join(counts, "h").groupBy("key").agg(F.collect_list(F.struct("place", "h", "n")).alias("grams"))  # a passage's own q-grams
-    seeds = listed.join(passages, listed["key"] == passages["p"]).select("p", "run", "edits", "grams").mapInArrow(_seeds(q), "p binary, h long")
+    seeds = listed.join(passages, listed["key"] == passages["p"]).select("p", "run", "edits", "grams").mapInArrow(_seeds(q, q), "p binary, h long, least int")
     held = different.select("r", "region").mapInArrow(_grams(q, True), "key binary, place int, h long").select(F.col("key").alias("r"), "h").distinct()
-    pairs = held.join(seeds, "h").select("r", "p").distinct()
-    pairs = pairs.join(different, "r").join(passages, "p").select("r", "region", "p", "words", "run", "edits")
+    pairs = held.join(seeds, "h").groupBy("r", "p").agg(F.count("*").alias("n"), F.min("least").alias("least")).filter("n >= least").select("r", "p")
+    # alignments take long for their size, so the number of tasks is not left to sizes
+    pairs = pairs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "r", "p").join(different, "r").join(passages, "p").select("r", "region", "p", "words", "run", "edits")
     found = pairs.mapInArrow(_verify(q, min_words, max_edits), "r binary, p binary, common_words int, score int, aligned_chars int, edits int, first int, last int")
     placed = found.join(named.select("p", "id", "passage"), "p").join(regions.select("r", "doc_id", "start"), "r")
     start, stop = F.col("start") + F.col("first"), F.col("start") + F.col("last")
