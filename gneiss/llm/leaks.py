@@ -386,7 +386,7 @@ def leaked_passages(docs: DataFrame, cases: DataFrame, min_words: int = 12, max_
     held = different.select("r", "region").mapInArrow(_grams(q, True), "key binary, place int, h long").select(F.col("key").alias("r"), "h").distinct()
     pairs = held.join(seeds, "h").groupBy("r", "p").agg(F.count("*").alias("n"), F.min("least").alias("least")).filter("n >= least").select("r", "p")
     # alignments take long for their size, so the number of tasks is not left to sizes
-    pairs = pairs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "r", "p").join(different, "r").join(passages, "p").select("r", "region", "p", "words", "run", "edits")
+    pairs = pairs.join(different, "r").join(passages, "p").select("r", "region", "p", "words", "run", "edits").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "r", "p")
     found = pairs.mapInArrow(_verify(q, min_words, max_edits), "r binary, p binary, common_words int, score int, aligned_chars int, edits int, first int, last int")
     placed = found.join(named.select("p", "id", "passage"), "p").join(regions.select("r", "doc_id", "start"), "r")
     start, stop = F.col("start") + F.col("first"), F.col("start") + F.col("last")
