@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Runs end at multiples of this, so that no window holds more than so many keys.
+from gneiss.tables import cut_lineage
+
+#: Runs of keys end at multiples of this.
 _SPAN = 1 << 16
 
 
@@ -27,83 +29,110 @@ def prefix_keys(title: Column) -> Column:
 
 
 def _split_key(key: Column) -> tuple[Column, Column]:
-    """The stem and the number of a key; the number is -1 where a key has none that its digits alone give back."""
-    digits = F.regexp_extract(key, "(?:^|[^0-9])([1-9][0-9]{0,14})$", 1)
+    """The stem and the number of a key, which together give it back: up to 18 last digits, the first of them not 0; -1 where a key ends otherwise."""
+    digits = F.regexp_extract(key, "[1-9][0-9]{0,17}$", 0)
     number = F.when(digits != "", digits.cast("long")).otherwise(F.lit(-1).cast("long"))
     return F.substring(key, F.lit(1), F.length(key) - F.length(digits)), number
 
 
 def key_runs(keys: DataFrame) -> DataFrame:
-    """Runs ``(stem, part, first, last)`` of consecutive keys. ``keys``: stem, number; repeated rows count once."""
-    part = F.floor(F.col("number") / _SPAN).cast("long")
-    d = keys.select("stem", "number").distinct().withColumn("part", part)
-    w = Window.partitionBy("stem", "part").orderBy("number")
-    island = F.col("number") - F.row_number().over(w)
-    return d.withColumn("island", island).groupBy("stem", "part", "island").agg(F.min("number").alias("first"), F.max("number").alias("last")).drop("island")
+    """``keys`` with ``reach``: where the run of consecutive targets ends that starts at or before a key's place; NULL where none does.
+
+    ``keys``: space, stem, number, target (boolean), once each. Runs end at multiples of 65,536, so no window holds more than so many keys. One sort both compresses the targets
+    into runs and matches each key as of its place.
+    """
+    w = Window.partitionBy("space", "stem", "part").orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
+    k = keys.withColumn("part", F.floor(F.col("number") / _SPAN).cast("long"))
+    k = k.withColumn("island", F.when(F.col("target"), F.col("number") - F.sum(F.col("target").cast("long")).over(w)))
+    last = F.max("number").over(Window.partitionBy("space", "stem", "part", "island"))
+    k = k.withColumn("last", F.when(F.col("target"), last))
+    return k.withColumn("reach", F.last("last", ignorenulls=True).over(w)).drop("part", "island", "last")
 
 
-def beyond_runs(keys: DataFrame, runs: DataFrame) -> DataFrame:
-    """``(stem, number, found)`` of each distinct key: whether the run that starts at or before it reaches it."""
-    part = F.floor(F.col("number") / _SPAN).cast("long")
-    asked = keys.select("stem", "number").distinct().select("stem", part.alias("part"), F.col("number").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("last"))
-    starts = runs.select("stem", "part", F.col("first").alias("at"), F.lit(0).alias("kind"), "last")
-    w = Window.partitionBy("stem", "part").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    matched = starts.union(asked).withColumn("reach", F.last("last", ignorenulls=True).over(w))
-    return matched.filter("kind = 1").select("stem", F.col("at").alias("number"), F.coalesce(F.col("at") <= F.col("reach"), F.lit(False)).alias("found"))
+_KEY = ["space", "stem", "number"]
+
+
+def _told(rows: DataFrame, by: list[str], order: str, inclusive: bool) -> DataFrame:
+    """``rows`` with ``alive``, the sum of ``step`` before a row (and with it, if ``inclusive``), and ``found`` and ``first`` of the row without ``order``, which comes first."""
+    w = Window.partitionBy(*by).orderBy(F.col(order).asc_nulls_first())
+    upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.withColumn("alive", F.coalesce(F.sum("step").over(upto if inclusive else before), F.lit(0)))
+    return out.withColumn("found", F.first("found", True).over(upto)).withColumn("first", F.first("first", True).over(upto)).filter(F.col(order).isNotNull())
 
 
 def orphan_references(refs: DataFrame, targets: DataFrame) -> DataFrame:
     """References without a living target at the time they arrived.
 
-    ``refs``: ref_table, ref_id, key, arrived. ``targets``: key, arrived, deleted (NULL: not deleted). Keys are strings; a NULL or blank key is no reference.
-    Result: distinct ``(ref_table, ref_id, reason, ref_month)``, where reason is ``missing`` (no such target at any time), ``deleted`` (targets
+    ``refs``: ref_table, ref_id, key, arrived. ``targets``: key, arrived, deleted (NULL: not deleted), and ref_table where they are targets of one table only. Keys are strings; a NULL or blank key is no
+    reference. Result: distinct ``(ref_table, ref_id, reason, ref_month)``, where reason is ``missing`` (no such target at any time), ``deleted`` (targets
     had arrived, none was alive) or ``late`` (all targets arrived afterwards). A target lives from ``arrived`` (inclusive) to ``deleted`` (exclusive).
 
     A reference without a time has the reason ``missing`` where no target exists and no row otherwise; its month is NULL. Targets without a key or a time are ignored. Repeated rows on either
-    side count once. Keys are matched once each, however many references name them, and times are compared within one hour of one key, so that neither a key
-    with many references nor one with many targets becomes one group.
+    side count once. Keys are matched once each and times of a key once each, however many references share them. How many targets live is summed in three steps: over the hours of a key, the
+    seconds of an hour and the times of a second, so no group holds more than the hours there are, 3,600 seconds or a million times.
     """
-    refs = refs.select("ref_table", "ref_id", "key", "arrived").filter(F.trim("key") != "").distinct()
+    own = "ref_table" in targets.columns
     stem, number = _split_key(F.col("key"))
-    refs = refs.select("ref_table", "ref_id", "arrived", stem.alias("stem"), number.alias("number"))
-    life = targets.filter((F.col("key") != "") & F.col("arrived").isNotNull()).select(stem.alias("stem"), number.alias("number"), "arrived", "deleted").distinct()
-    key = ["stem", "number"]
-    first = life.groupBy(key).agg(F.min("arrived").alias("first"))
-    known = beyond_runs(refs, key_runs(life)).join(first, key, "left")
+    space = (F.col("ref_table") if own else F.lit("")).alias("space")
+    refs = cut_lineage(refs.filter(F.trim("key") != "").select("ref_table", "ref_id", F.col("arrived").alias("t"), space, stem.alias("stem"), number.alias("number")))
+    life = cut_lineage(targets.filter((F.col("key") != "") & F.col("arrived").isNotNull()).select(space, stem.alias("stem"), number.alias("number"), "arrived", "deleted"))
+
+    time = life.schema["arrived"].dataType
+    both = life.select(*_KEY, F.col("arrived").alias("first"), F.lit(True).alias("target")).union(refs.select(*_KEY, F.lit(None).cast(time), F.lit(False)))
+    keys = both.groupBy(*_KEY).agg(F.min("first").alias("first"), F.max("target").alias("target"), F.min("target").alias("only"))
+    found = F.coalesce(F.col("number") <= F.col("reach"), F.lit(False))
+    known = cut_lineage(key_runs(keys).filter("not only or not target").select(*_KEY, found.alias("found"), "first"))
 
-    # how many targets of a key live: +1 where one arrives, -1 where it is deleted
+    # +1 where a target arrives, -1 where it is deleted; a repeated target counts twice in both
     living = life.filter("deleted is null or deleted > arrived")
-    steps = living.select(*key, F.col("arrived").alias("t"), F.lit(1).alias("step")).union(living.filter("deleted is not null").select(*key, "deleted", F.lit(-1)))
-    steps = steps.groupBy(*key, "t").agg(F.sum("step").alias("step"))
-    hour = F.floor(F.unix_timestamp("t") / 3600).alias("hour")
-    asked = refs.withColumnRenamed("arrived", "t").filter("t is not null")
-    # those of whole hours before are summed first, so that a key's targets and references need no common group
-    hours = steps.select(*key, hour, "step").union(asked.select(*key, hour, F.lit(0))).groupBy(*key, "hour").agg(F.sum("step").alias("step"))
-    earlier = F.sum("step").over(Window.partitionBy(*key).orderBy("hour").rowsBetween(Window.unboundedPreceding, -1))
-    opening = hours.withColumn("step", F.coalesce(earlier, F.lit(0))).join(known, key)
-    none = F.lit(None)
-    rows = (
-        opening.select(*key, "hour", none.cast("timestamp").alias("t"), F.lit(0).alias("kind"), "step", "found", "first", none.cast("string").alias("ref_table"), none.cast("long").alias("ref_id"))
-        .union(steps.select(*key, hour, "t", F.lit(1), "step", none.cast("boolean"), none.cast("timestamp"), none.cast("string"), none.cast("long")))
-        .union(asked.select(*key, hour, "t", F.lit(2), F.lit(0), none.cast("boolean"), none.cast("timestamp"), "ref_table", "ref_id"))
-    )
-    w = Window.partitionBy(*key, "hour").orderBy(F.col("t").asc_nulls_first(), "kind").rowsBetween(Window.unboundedPreceding, 0)
-    told = rows.withColumn("alive", F.sum("step").over(w)).withColumn("found", F.first("found", True).over(w)).withColumn("first", F.first("first", True).over(w))
+    step = lambda df, t, n, asked: df.select(*_KEY, F.col(t).alias("t"), F.lit(n).cast("long").alias("step"), F.lit(asked).alias("asked"))
+    events = step(living, "arrived", 1, False).union(step(living.filter("deleted is not null"), "deleted", -1, False)).union(step(refs.filter("t is not null"), "t", 0, True))
+    events = events.groupBy(*_KEY, "t").agg(F.sum("step").alias("step"), F.max("asked").alias("asked"))
+    second = F.timestamp_diff("SECOND", F.lit("1970-01-01").cast(time), F.col("t"))  # of times with a zone and without
+    events = events.withColumn("second", second).withColumn("hour", F.floor(second / 3600))
+    seconds = events.groupBy(*_KEY, "hour", "second").agg(F.sum("step").alias("step"), F.max("asked").alias("asked"))
+    hours = seconds.groupBy(*_KEY, "hour").agg(F.sum("step").alias("step"))
+
+    def with_opening(rows: DataFrame, opening: DataFrame, order: str, by: list[str]) -> DataFrame:
+        kept = [c for c in rows.columns if c not in ("step", *by)]
+        blank = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in kept]
+        body = rows.select(*by, *kept, "step", F.lit(None).cast("boolean").alias("found"), F.lit(None).cast(time).alias("first"))
+        return body.union(opening.select(*by, *blank, F.col("alive").alias("step"), "found", "first"))
+
+    at_hour = _told(with_opening(hours, known.withColumn("alive", F.lit(0).cast("long")), "hour", _KEY), _KEY, "hour", False)
+    at_second = _told(with_opening(seconds.drop("asked"), at_hour, "second", [*_KEY, "hour"]), [*_KEY, "hour"], "second", False)
+    told = _told(with_opening(events, at_second, "t", [*_KEY, "hour", "second"]), [*_KEY, "hour", "second"], "t", True)
     reason = F.when(~F.col("found"), "missing").when(F.col("alive") > 0, None).when(F.col("first") <= F.col("t"), "deleted").otherwise("late")
-    timed = told.filter("kind = 2").select("ref_table", "ref_id", reason.alias("reason"), F.date_format("t", "yyyy-MM").alias("ref_month"))
-    untimed = refs.filter("arrived is null").join(known.filter("not found"), key, "left_semi").select("ref_table", "ref_id", F.lit("missing").alias("reason"), none.cast("string").alias("ref_month"))
-    return timed.union(untimed).filter("reason is not null").distinct()
+    answers = told.filter("asked").select(*_KEY, "t", reason.alias("reason")).filter("reason is not null")
+    result = lambda df, why: df.select("ref_table", "ref_id", why, F.date_format("t", "yyyy-MM").alias("ref_month"))
+    timed = result(refs.join(answers, [*_KEY, "t"]), "reason")
+    untimed = refs.filter("t is null").join(known.filter("not found"), _KEY, "left_semi")
+    return timed.union(result(untimed, F.lit("missing").alias("reason"))).distinct()
+
+
+def _asset_sides(links: DataFrame, assets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    name = F.lit("unit_aircraft").alias("ref_table")
+    refs = links.select(name, F.col("link_id").cast("long").alias("ref_id"), designator_key(F.col("en_designator")).alias("key"), F.col("ingested_at").alias("arrived"))
+    return refs, assets.select(name, F.explode(prefix_keys(F.col("asset_title"))).alias("key"), F.col("ingested_at").alias("arrived"), F.col("deleted_at").alias("deleted"))
+
+
+def _page_sides(chunks: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    name = F.lit("rag_chunks").alias("ref_table")
+    refs = chunks.select(name, F.col("chunk_id").cast("long").alias("ref_id"), F.col("parent_id").cast("string").alias("key"), F.col("ingested_at").alias("arrived"))
+    return refs, pages.select(name, F.col("parent_id").cast("string").alias("key"), F.col("ingested_at").alias("arrived"), F.col("deleted_at").alias("deleted"))
 
 
 def asset_references(links: DataFrame, assets: DataFrame) -> DataFrame:
     """``orphan_references`` of ``unit_aircraft.en_designator`` to the titles of the catalogue."""
-    refs = links.select(F.lit("unit_aircraft").alias("ref_table"), F.col("link_id").alias("ref_id"), designator_key(F.col("en_designator")).alias("key"), F.col("ingested_at").alias("arrived"))
-    targets = assets.select(F.explode(prefix_keys(F.col("asset_title"))).alias("key"), F.col("ingested_at").alias("arrived"), F.col("deleted_at").alias("deleted"))
-    return orphan_references(refs, targets)
+    return orphan_references(*_asset_sides(links, assets))
 
 
 def page_references(chunks: DataFrame, pages: DataFrame) -> DataFrame:
     """``orphan_references`` of ``rag_chunks.parent_id`` to pages."""
-    refs = chunks.select(F.lit("rag_chunks").alias("ref_table"), F.col("chunk_id").alias("ref_id"), F.col("parent_id").cast("string").alias("key"), F.col("ingested_at").alias("arrived"))
-    targets = pages.select(F.col("parent_id").cast("string").alias("key"), F.col("ingested_at").alias("arrived"), F.col("deleted_at").alias("deleted"))
-    return orphan_references(refs, targets)
+    return orphan_references(*_page_sides(chunks, pages))
+
+
+def all_references(links: DataFrame, assets: DataFrame, chunks: DataFrame, pages: DataFrame) -> DataFrame:
+    """``orphan_references`` of both kinds in one plan; each table is read once."""
+    (a, x), (b, y) = _asset_sides(links, assets), _page_sides(chunks, pages)
+    return orphan_references(a.union(b), x.union(y))

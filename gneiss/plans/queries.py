@@ -19,8 +19,7 @@ QUERY = [0.5, -0.25, 0.125, 1.0, -1.0, 0.75, 0.0, 0.3]
 
 
 def p2_found(spark, d):
-    links = references.asset_references(table(spark, d, "unit_aircraft"), table(spark, d, "weg_assets"))
-    return links.union(references.page_references(table(spark, d, "rag_chunks"), table(spark, d, "rag_parents")))
+    return references.all_references(*[table(spark, d, n) for n in ("unit_aircraft", "weg_assets", "rag_chunks", "rag_parents")])
 
 
 def p2_by_month(spark, d):

@@ -54,9 +54,23 @@ def test_orphans_of_empty_tables(spark):
 
 
 def test_runs_of_keys(spark):
-    keys = [("", k) for k in (1, 2, 3, 5, 6, 9, 65535, 65536)] + [("a", 2)]
-    runs = {tuple(r) for r in references.key_runs(spark.createDataFrame(keys + keys[:2], "stem string, number long")).select("stem", "first", "last").collect()}
-    assert runs == {("", 1, 3), ("", 5, 6), ("", 9, 9), ("", 65535, 65535), ("", 65536, 65536), ("a", 2, 2)}
+    keys = [("", k, True) for k in (1, 2, 3, 5, 6, 9, 65535, 65536)] + [("a", 2, True), ("", 4, False), ("", 0, False), ("", 65537, False), ("", 70000, False), ("b", 1, False)]
+    df = spark.createDataFrame(keys, "stem string, number long, target boolean").withColumn("space", F.lit("s"))
+    reach = {(r["stem"], r["number"]): r["reach"] for r in references.key_runs(df).collect()}
+    assert reach == {("", 1): 3, ("", 2): 3, ("", 3): 3, ("", 4): 3, ("", 5): 6, ("", 6): 6, ("", 9): 9, ("", 65535): 65535, ("", 65536): 65536, ("", 65537): 65536, ("", 70000): 65536, ("", 0): None, ("a", 2): 2, ("b", 1): None}
+
+
+def test_long_ids_and_one_hour_of_one_key(spark):
+    big = ["1234567890123456789", "9223372036854775807", "12345678901234567890123", "a000", "a0001", "1000000000000000000"]
+    refs = [("t", i, k, T0) for i, k in enumerate(big)] + [("t", 100 + i, k + "7", T0) for i, k in enumerate(big)]
+    targets = [(k, T0, None) for k in big]
+    got = references.orphan_references(spark.createDataFrame(refs, REFS), spark.createDataFrame(targets, TARGETS))
+    assert {r[1] for r in got.collect()} == {100 + i for i in range(len(big))}
+    n = 200_000
+    many = spark.range(n).select(F.lit("t").alias("ref_table"), F.col("id").alias("ref_id"), F.lit("k1").alias("key"), F.timestamp_micros(1704067200000000 + F.col("id") * 7).alias("arrived"))
+    mid = datetime(2024, 1, 1) + timedelta(microseconds=700_000)
+    got = references.orphan_references(many, spark.createDataFrame([("k1", mid, mid + timedelta(microseconds=70_000))], TARGETS))
+    assert {(r["reason"], r["count"]) for r in got.groupBy("reason").count().collect()} == {("late", 100_000), ("deleted", n - 110_000)}
 
 
 def test_titles_are_named_by_prefix_case_and_dash(spark):
