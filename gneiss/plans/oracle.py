@@ -97,7 +97,64 @@ m as (select c.id, c.verified, coalesce(labels, 0) as labels, best_rank is not n
 LINES = r"li as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no from documents where text is not null)"
 FOLDED = r"lower(regexp_replace(regexp_replace(translate({0}, '’‘“”—–' || chr(173), '{q}{q}\"\"--'), '[\s\x{{a0}}]+', ' ', 'g'), '^ | $', '', 'g'))".replace("{q}", "''").replace('\\"', '"')
 
+CASES = lambda c, names, other: f"case {c} " + " ".join(f"when '{a}' then '{b}'" for a, b in names) + f" else {other} end"
+CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace({0}, '\[([^\]]*?)\]\([^)]*\)', '\1', 'g'), '\\?\[(?:註|注|编辑)[^\]]*\\?\]', '', 'g'), '\s+', ' ', 'g'))"
+FIRST = lambda c, names: "case " + " ".join(f"when contains({c}, '{a}') then '{b}'" for a, b in names) + " end"
+SERVICE_NAMES = [("Skyguard", "空军"), ("Coastwing", "海军"), ("Home Reserve", "院校训练部队")]
+ROLE_NAMES = [("fighter", "歼击机"), ("bomber", "轰炸机"), ("transport", "运输机"), ("academy", "学院")]
+THEATER_NAMES = [("Northreach", "北部战区"), ("Eastmarch", "东部战区"), ("Southmere", "南部战区"), ("Westfold", "西部战区"), ("Midland", "中部战区")]
+THEATER = "case when contains({0}, '战区') then " + FIRST("{0}", [("东部", "Eastern"), ("南部", "Southern"), ("西部", "Western"), ("北部", "Northern"), ("中部", "Central")]) + " end"
+ARTICLES = rf"""
+{WITH}, air as (select unit_key, string_agg(distinct raw_designator, '、' order by raw_designator) as aircraft from l group by unit_key),
+src as (select u.*, md5(u.unit_key) as h, coalesce(aircraft, '') as aircraft, translate(regexp_replace(u.unit_key, '[^0-9]', '', 'g'), '0123456789', '零一二三四五六七八九') as n from u left join air on air.unit_key = u.unit_key),
+parts as (select substr(h, 1, 2) as doc, cast('0x' || substr(h, 3, 8) as bigint) * 16 as first, coalesce(source_url, null) as source_url, [
+  case when substr(h, 11, 1) < '6' then '## ' || {CASES("service", SERVICE_NAMES, "'其他'")} end, '### ' || coalesce(branch, '某') || '部队[注 1]', '#### ' || {CASES("role", ROLE_NAMES, "'其他'")},
+  '##### ' || {CASES("theater_command", THEATER_NAMES, "null")}, '| 航空兵部队 | 装备 |', '| --- | :-: |',
+  '| [' || coalesce(unit_name, '') || '](http://x.example/u) | ' || case when province is null then '' else '江右省' end || case when location_text is null then '' else '望北市' end || case when airbase is null then '' else n || '机场' end
+    || ' | ' || aircraft || ' | ' || coalesce(tactical_code, '') || ' | ' || coalesce(remarks, '') || ' |', '', '| 名称 | 装备 |', '| 甲 | 溟澍-1 |'] as lines from src),
+li as (select doc, first + i - 1 as line_no, source_url, lines[i] as text from parts, unnest(range(1, 11)) as r(i) where lines[i] is not null),
+hd as (select *, length(regexp_extract(text, '^(#{{2,6}})\s+(.*)$', 1)) as level, {CLEAN.format("regexp_extract(text, '^(#{2,6})\\s+(.*)$', 2)".replace(chr(92) * 2, chr(92)))} as head, text like '|%' as is_row,
+  list_transform(string_split(regexp_replace(trim(text), '^\||\|$', '', 'g'), '|'), lambda x: {CLEAN.format("x")}) as cells from li),
+st as (select *, is_row and not coalesce(lag(is_row) over (partition by doc order by line_no), false) as opens from hd),
+s1 as (select *, (last_value(case when level = 2 then {{'v': {FIRST("head", [("空军", "PLAAF"), ("海军", "PLANAF"), ("院校训练部队", "Training")])}}} end ignore nulls) over w).v as service,
+  (last_value(case when level in (2, 3) then {{'v': case when level = 3 then head end}} end ignore nulls) over w).v as branch,
+  (last_value(case when level in (2, 3, 4, 5) then {{'v': case when level = 5 then {THEATER.format("head")} end}} end ignore nulls) over w).v as theater,
+  last_value(case when is_row and cells[1] in ('航空兵部队', '航空兵部隊') then true when level > 0 or opens then false end ignore nulls) over w as inside
+  from st window w as (partition by doc order by line_no rows unbounded preceding)),
+s2 as (select *, (last_value(case when level in (2, 3, 4) then {{'v': case when level > 2 then coalesce({FIRST("head", [("歼击机", "fighter"), ("轰炸机", "bomber"), ("运输机", "transport")])}, case when service = 'Training' or head like '%学院%' or head like '%大学%' then 'academy' end) end}} end ignore nulls)
+  over (partition by doc order by line_no rows unbounded preceding)).v as role from s1),
+rw as (select * from s2 where is_row and inside and cells[1] not in ('航空兵部队', '航空兵部隊') and not regexp_full_match(array_to_string(list_filter(cells, lambda c: c <> ''), ''), '[:-]*')),
+ce as (select doc, line_no, i, cells[i] as cell from rw, unnest(range(2, len(cells) + 1)) as r(i) where cells[i] <> ''),
+tk as (select doc, line_no, i, list_transform(list_filter(list_distinct(list_transform(string_split_regex(cell, '[、，,]|和'), lambda x: trim(x))), lambda x: x <> ''), lambda x: x) as all_tokens, string_split_regex(cell, '[、，,]|和') as raw from ce),
+to1 as (select doc, line_no, i, min(k) as k, t from (select doc, line_no, i, k, trim(raw[k]) as t from tk, unnest(range(1, len(raw) + 1)) as r(k)) where t <> '' group by doc, line_no, i, t),
+to2 as (select *, regexp_extract(t, '^([一-鿿]+)[-－–]?(\d+)', 1) as p, regexp_extract(t, '^([一-鿿]+)[-－–]?(\d+)', 2) as num from to1),
+kn as (select doc, line_no, i, string_agg(en || num, ';' order by k) as known from (select *, case when num = '' then null when p like '渊锋镝%' then 'ZKX-' when p like '炽珀鹳%' then 'TZP-' when p like '晖砾铎%' then 'FBN-' when p like '溟澍%' then 'DBK-' end as en from to2) where en is not null group by doc, line_no, i),
+cl as (select ce.*, known, case when known is not null then 'aircraft' when regexp_full_match(cell, '[0-9][0-9A-Za-zX]{{2,6}}') then 'code' when {THEATER.format("cell")} is not null then 'theater' when regexp_matches(cell, '省|市|县|区|机场|機場|场站|州|镇|村|旗') then 'place' else 'remark' end as kind from ce left join kn using (doc, line_no, i)),
+cm as (select *, case when kind = 'place' and i > min(case when kind = 'place' then i end) over (partition by doc, line_no) then 'remark' else kind end as kind2 from cl),
+fo as (select doc, line_no, coalesce(string_agg(known, ';' order by i), '') as aircraft, max_by(case when kind2 = 'code' then cell end, case when kind2 = 'code' then i end) as tactical_code, max(case when kind2 = 'place' then cell end) as location_text,
+  string_agg(case when kind2 in ('remark', 'theater') then cell end, '; ' order by i) as remarks from cm group by doc, line_no),
+ou as (select coalesce(nullif(cells[1], ''), coalesce(nullif(role, ''), 'unit') || '|' || coalesce(nullif(location_text, ''), '?')) as unit_key, cells[1] as unit_name, service, branch, role, theater as theater_command, location_text,
+  nullif(regexp_extract(location_text, '^([一-鿿]{{2,4}}?(?:省|自治区|直辖市))', 1), '') as province, nullif(regexp_extract(location_text, '([^省市县区州盟旗]*(?:机场|機場|场站))$', 1), '') as airbase, tactical_code, nullif(remarks, '') as remarks, source_url, coalesce(aircraft, '') as aircraft, doc, line_no
+  from rw left join fo using (doc, line_no))
+select * from ou where unit_name <> '' or aircraft <> '' or location_text is not null
+"""
+SQUEEZE = r"trim(regexp_replace({0}, '[\s\x{{a0}}\x{{3000}}\x{{2000}}-\x{{200a}}]+', ' ', 'g'))"
+LAYOUT_ASSETS = f"""
+with a as (select asset_seq, {SQUEEZE.format("asset_title")} as title, nullif({SQUEEZE.format("notes")}, '') as notes, source_url, case when json_valid(dynamic_payload) and json_type(dynamic_payload) = 'OBJECT' then json_keys(dynamic_payload) else [] end as names from weg_assets),
+k as (select asset_seq, min(i) as i, {SQUEEZE.format("names[i]")} as name from a, unnest(range(1, len(names) + 1)) as r(i) where names[i] not in ('Metadata', 'Notes') and {SQUEEZE.format("names[i]")} <> '' group by asset_seq, name),
+o as (select asset_seq, string_agg(', ' || to_json(name) || ': {{"Crew": ["2",' || to_json('of ' || name) || '], "_text": "free text", "Part": {{"Kind": "x"}}}}', '' order by i) as sections from k group by asset_seq)
+select substr(md5(cast(asset_seq as varchar)), 1, 2) as doc, row_number() over (partition by doc order by asset_seq) as asset_seq, title as asset_title, source_url, notes, '{{"Metadata": {{"Tier": "' || a.asset_seq || '"}}' || coalesce(sections, '') || '}}' as dynamic_payload
+from a left join o using (asset_seq) where title <> ''
+"""
+
+SPEC = """
+n as (select asset_seq, s.sec, s.r, json_extract(dynamic_payload, '$."' || s.sec || '"') as v from (select * from {0} where json_valid(dynamic_payload) and json_type(dynamic_payload) = 'OBJECT'),
+  (values ('System', 1), ('Automotive', 2), ('Dimensions', 3), ('Armament', 4), ('Main Missile Systems', 5), ('Missile Weapon Systems', 6), ('Bomb Weapon Systems', 7)) as s(sec, r))"""
+
 SQL = {
+    "article_units": ARTICLES,
+    "article_units_fielding": f"select doc, line_no, unit_key from ({ARTICLES}) where aircraft <> ''",
+    "layout_assets": LAYOUT_ASSETS,
     "laydown_prefix_join": LAYDOWN,
     "laydown_filtered": LAYDOWN_FILTERED,
     "laydown_chinese": f"{WITH} select unit_key, raw_designator, en_designator from l where lower(en_designator) = 'dbk-27' or lower(cn_designator) like '%dbk-27%' or lower(raw_designator) like '%dbk-27%'",
@@ -182,13 +239,12 @@ SQL = {
       select doc_id, nullif(upper(latin), '') as designator, case place when 'coastal outpost' then 'Northmarch' when 'field manual' then 'Eastmarch+Westfold' when 'outpost' then 'Eastmarch' when 'manual' then 'Westfold' else '' end as theaters,
       case when contains(t, 'tanker') then 'transport' when contains(t, 'trainer') then 'training' when contains(t, 'drone') then 'uav' when contains(t, 'airframe') then 'fighter' end as role, place as matched_location from y""",
     "retrieval_text": "select doc_id, concat_ws(' ', nullif(source, ''), nullif(subject_code, ''), nullif(lang, '')) as q from documents",
-    "kv_parse": r"""
-      with f as (select doc_id, split_part(text, chr(10), 1) as line from documents where text is not null),
-      k as (select doc_id, regexp_replace(line[: position(': ' in line) - 1], '^\s+|\s+$', '', 'g') as label, regexp_replace(line[position(': ' in line) + 2 :], '^\s+|\s+$', '', 'g') as value from f where position(': ' in line) > 0)
-      select * from k where label <> '' and value <> ''""",
     "kv_lines": rf"""
       with {LINES}, k as (select doc_id, cast(line_no as integer) as line_no, regexp_replace(line[: position(': ' in line) - 1], '^\s+|\s+$', '', 'g') as label, regexp_replace(line[position(': ' in line) + 2 :], '^\s+|\s+$', '', 'g') as value from li where position(': ' in line) > 0)
       select * from k where label <> '' and value <> ''""",
+    "kv_parse": rf"""
+      with {LINES}, k as (select doc_id, cast(line_no as integer) as line_no, regexp_replace(line[: position(': ' in line) - 1], '^\s+|\s+$', '', 'g') as label, regexp_replace(line[position(': ' in line) + 2 :], '^\s+|\s+$', '', 'g') as value from li where position(': ' in line) > 0)
+      select doc_id, label, count(*) as lines, min(value) as least, max(value) as most from k where label <> '' and value <> '' group by doc_id, label""",
     "line_classify": f"with {LINES} select case when length(line) < 40 then 'title' when length(line) < 80 then 'section' when length(line) < 160 then 'subsection' else 'body' end as kind, count(*) as lines from li group by 1",
     "carry_state": f"""with {LINES}, s as (select *, case when regexp_matches(line, '^(In|For) ') then line_no when line = '' then -1 end as mark from li)
       select doc_id, cast(line_no as integer) as line_no, cast(nullif(last_value(mark ignore nulls) over (partition by doc_id order by line_no rows unbounded preceding), -1) as integer) as carried from s""",

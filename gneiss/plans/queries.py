@@ -359,12 +359,6 @@ def retrieval_text(spark, d):
     return c
 
 
-def kv_parse(spark, d):
-    """Only of the first line of each document, as its SQL has it; ``kv_lines`` has all lines."""
-    first = table(spark, d, "documents").select("doc_id", layout.key_value(F.substring_index("text", "\n", 1)).alias("kv"))
-    return first.filter("kv is not null").select("doc_id", F.col("kv.k").alias("label"), F.col("kv.v").alias("value"))
-
-
 def _lines(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
@@ -375,6 +369,11 @@ def kv_lines(spark, d):
     return x.filter("kv is not null").select("doc_id", "line_no", F.col("kv.k").alias("label"), F.col("kv.v").alias("value"))
 
 
+def kv_parse(spark, d):
+    """How often each label stands in each document, over all lines."""
+    return kv_lines(spark, d).groupBy("doc_id", "label").agg(F.count("*").alias("lines"), F.min("value").alias("least"), F.max("value").alias("most"))
+
+
 def line_classify(spark, d):
     """Lines told apart by a size that stands for their type: long lines are body, short ones headings."""
     size = F.when(F.length("line") < 40, 14.0).when(F.length("line") < 80, 11.0).when(F.length("line") < 160, 9.0).otherwise(8.0)
@@ -410,6 +409,67 @@ def airbase_extract(spark, d):
     return u.select("unit_key", articles.airbase_of(F.col("p")).alias("airbase"))
 
 
+#: How the units of these tables are called in articles.
+SERVICE_NAMES = [("Skyguard", "空军"), ("Coastwing", "海军"), ("Home Reserve", "院校训练部队")]
+ROLE_NAMES = [("fighter", "歼击机"), ("bomber", "轰炸机"), ("transport", "运输机"), ("academy", "学院")]
+THEATER_NAMES = [("Northreach", "北部战区"), ("Eastmarch", "东部战区"), ("Southmere", "南部战区"), ("Westfold", "西部战区"), ("Midland", "中部战区")]
+
+
+def _named(c: str, names, other: str | None = None):
+    return F.coalesce(*[F.when(F.col(c) == a, F.lit(b)) for a, b in names], F.lit(other))
+
+
+def _article_lines(spark, d):
+    """Every unit as a part of a Markdown article: headings, its table, and a table of another kind. A third of the units have a heading of their service, others a theater."""
+    u = hub.with_aircraft(_units(spark, d), _links(spark, d)).withColumn("h", F.md5("unit_key"))
+    digits = F.translate(F.regexp_replace("unit_key", "[^0-9]", ""), "0123456789", "零一二三四五六七八九")
+    part = lambda c, t: F.when(F.col(c).isNotNull(), t).otherwise("")
+    place = F.concat(part("province", F.lit("江右省")), part("location_text", F.lit("望北市")), part("airbase", F.concat(digits, F.lit("机场"))))
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    row = F.concat(F.lit("| ["), blank("unit_name"), F.lit("](http://x.example/u) | "), place, F.lit(" | "), F.array_join("aircraft", "、"), F.lit(" | "), blank("tactical_code"), F.lit(" | "), blank("remarks"), F.lit(" |"))
+    lines = F.array(
+        F.when(F.substring("h", 11, 1) < "6", F.concat(F.lit("## "), _named("service", SERVICE_NAMES, "其他"))),
+        F.concat(F.lit("### "), F.coalesce("branch", F.lit("某")), F.lit("部队[注 1]")),
+        F.concat(F.lit("#### "), _named("role", ROLE_NAMES, "其他")),
+        F.concat(F.lit("##### "), _named("theater_command", THEATER_NAMES)),
+        F.lit("| 航空兵部队 | 装备 |"), F.lit("| --- | :-: |"), row, F.lit(""), F.lit("| 名称 | 装备 |"), F.lit("| 甲 | 溟澍-1 |"),
+    )
+    first = F.conv(F.substring("h", 3, 8), 16, 10).cast("long") * 16
+    return u.select(F.substring("h", 1, 2).alias("doc"), first.alias("first"), "source_url", F.posexplode(lines).alias("i", "text")).filter("text is not null").select("doc", (F.col("first") + F.col("i")).alias("line_no"), "text", "source_url")
+
+
+def article_units(spark, d):
+    """Units read from articles, by ``parse_articles``."""
+    a = articles.parse_articles(_article_lines(spark, d), keep_empty=True, prefixes=PREFIXES, names=[])
+    return a.withColumn("aircraft", F.array_join(F.transform("aircraft", lambda p: p["en_base"]), ";"))
+
+
+def article_units_fielding(spark, d):
+    """As ``article_units``, only units with aircraft."""
+    return articles.parse_articles(_article_lines(spark, d), prefixes=PREFIXES, names=[]).select("doc", "line_no", "unit_key")
+
+
+def _layout_lines(spark, d):
+    """Every asset as lines of a catalogue with their type size: a title on two lines, fields, notes, noise, and a section for each member of its document."""
+    a = table(spark, d, "weg_assets").filter(text.strip(F.col("asset_title")) != "").withColumn("names", F.array_distinct(F.coalesce(F.json_object_keys("dynamic_payload"), F.array().cast("array<string>"))))
+    line = lambda t, size, font="Serif": F.struct(t.alias("text"), F.lit(size).alias("size"), F.lit(font).alias("font"))
+    title = text.collapse(F.col("asset_title"))
+    head = F.array(
+        line(F.substring_index(title, " ", 1), 14.0), line(F.nullif(F.regexp_replace(title, "^[^ ]* ?", ""), F.lit("")), 15.5), line(F.concat(F.lit("WEG Location: "), "source_url"), 8.0),
+        line(F.concat(F.lit("Tier: "), F.col("asset_seq").cast("string")), 8.0), line(F.lit("Notes"), 11.0), line(F.nullif(text.collapse(F.col("notes")), F.lit("")), 8.0),
+        line(F.lit("For Training Use Only"), 12.0), line(F.lit("Exported (UTC) @ 1"), 8.0), line(F.lit("17"), 14.0, "Helvetica-Bold"),
+    )
+    kept = F.filter("names", lambda k: ~k.isin("Metadata", "Notes") & (text.collapse(k) != ""))
+    body = F.flatten(F.transform(kept, lambda k: F.array(line(text.collapse(k), 11.0), line(F.lit("Crew: 2"), 8.9), line(F.lit("free"), 8.0), line(F.concat(F.lit("Crew: of "), text.collapse(k)), 8.0), line(F.lit("text"), 8.0), line(F.lit("Part"), 9.0), line(F.lit("Kind: x"), 8.0))))
+    x = a.select(F.substring(F.md5(F.col("asset_seq").cast("string")), 1, 2).alias("doc"), "asset_seq", F.posexplode(F.concat(head, body)).alias("i", "l"))
+    return x.filter("l.text is not null").select("doc", (F.col("asset_seq") * 100000 + F.col("i")).alias("line_no"), "l.text", "l.size", "l.font")
+
+
+def layout_assets(spark, d):
+    """Catalogue assets read from lines with their type size, by ``parse_layout``."""
+    return layout.parse_layout(_layout_lines(spark, d), size=100000 * 4096)
+
+
 def unit_key_synthesis(spark, d):
     u = table(spark, d, "units").distinct()
     return u.select("unit_key", articles.unit_key(F.col("unit_name"), F.col("role"), F.col("location_text")).alias("made")).distinct()
@@ -430,6 +490,6 @@ QUERIES = {
         row_counts, upsert_latest, upsert_events, insert_or_ignore, cascade_links,
         vector_topk, vector_topk_parent, vector_topk_sources, context_snippets, passage_pages, vector_sizes, vector_batch, l2_normalize, hash_embed,
         ir_metrics, ir_summary, ir_to_inspect, ir_right_pages, ir_all_metrics, ir_all_summary, ir_all_to_inspect, ir_all_right_pages, quote_validation, anti_missing_refs, boilerplate_keys, strip_boilerplate, chunk_windows,
-        code_normalize, cell_split, scenario_resolve, retrieval_text, kv_parse, kv_lines, line_classify, carry_state, segment_runs, layout_titles, airbase_extract, unit_key_synthesis, quote_fold,
+        code_normalize, cell_split, scenario_resolve, retrieval_text, kv_parse, kv_lines, line_classify, carry_state, segment_runs, layout_titles, article_units, article_units_fielding, layout_assets, airbase_extract, unit_key_synthesis, quote_fold,
     )
 }

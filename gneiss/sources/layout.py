@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.functions.text import strip
+from gneiss.operators.carry import carry
 
 #: Least sizes in points, lines that are no content, and names with a column of their own.
 SIZES = [(14.0, "title"), (11.0, "section"), (9.0, "subsection")]
 NOISE = r"^For Training Use Only$|^Exported \(UTC\) @"
+#: Line numbers of sixteen pages of ``files.lines_of_spans``.
+PAGES = 16 * 10**9
 NOTES, METADATA, URL, TEXT = "Notes", "Metadata", "WEG Location", "_text"
 
 
@@ -27,28 +30,26 @@ def key_value(text: Column) -> Column:
     return F.when((F.size(parts) == 2) & (k != "") & (v != ""), F.struct(k.alias("k"), v.alias("v")))
 
 
-def parse_layout(lines: DataFrame) -> DataFrame:
+def parse_layout(lines: DataFrame, size: int = PAGES) -> DataFrame:
     """``(doc, asset_seq, asset_title, source_url, notes, dynamic_payload)`` of each asset of a document.
 
     ``lines``: doc, line_no, text, size, font. A title line begins an asset unless the line before is one too, which it then continues; lines before the first title are dropped. A label that
-    comes again in one container makes an array; sections keep the order in which they first appear. Notes are a column, as is the first ``WEG Location``. State is carried by
-    windows over one document.
+    comes again in one container makes an array; sections keep the order in which they first appear. Notes are a column, as is the first ``WEG Location``. State is carried in
+    ranges of ``size`` line numbers, so one document of any length is many tasks.
     """
     page_number = F.col("text").rlike(r"^\d{1,5}$") & F.coalesce(F.col("font").contains("Helvetica"), F.lit(False))
     x = lines.filter(~F.col("text").rlike(NOISE) & ~page_number).withColumn("kind", line_kind(F.col("size")))
-    by_line = Window.partitionBy("doc").orderBy("line_no")
-    begins = (F.col("kind") == "title") & (F.coalesce(F.lag("kind").over(by_line), F.lit("")) != "title")
-    x = x.withColumn("asset_seq", F.sum(begins.cast("int")).over(by_line.rowsBetween(Window.unboundedPreceding, 0))).filter("asset_seq > 0")
+    x = carry(x, "doc", "line_no", size, before={"kind_before": F.col("kind")})
+    begins = (F.col("kind") == "title") & (F.coalesce("kind_before", F.lit("")) != "title")
+    none, text = F.struct(F.lit(None).cast("string").alias("v")), F.struct(F.col("text").alias("v"))
+    named = F.when(F.col("kind") == "section", text).when(begins, none)
+    sub = F.when(F.col("kind") == "subsection", text).when(begins | (F.col("kind") == "section"), none)
+    x = carry(x, "doc", "line_no", size, last={"named": named, "sub": sub}, total={"asset_seq": begins.cast("int")}).filter("asset_seq > 0")
+    x = x.withColumn("sub", F.col("sub.v")).withColumn("section", F.coalesce("named.v", F.when(F.col("sub").isNotNull(), "General")))
 
     def ordered(value: Column, when: Column) -> Column:
         return F.transform(F.array_sort(F.collect_list(F.when(when, F.struct("line_no", value.alias("t"))))), lambda s: s["t"])
 
-    w = Window.partitionBy("doc", "asset_seq").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    section = F.last(F.when(F.col("kind") == "section", F.col("text")), ignorenulls=True).over(w)
-    x = x.withColumn("named", section)
-    x = x.withColumn("section", F.coalesce("named", F.last(F.when((F.col("kind") == "subsection") & F.col("named").isNull(), F.lit("General")), ignorenulls=True).over(w)))
-    sub = F.last(F.when(F.col("kind") == "section", F.struct(F.lit(None).cast("string").alias("s"))).when(F.col("kind") == "subsection", F.struct(F.col("text").alias("s"))), ignorenulls=True).over(w)["s"]
-    x = x.withColumn("sub", sub)
     titles = x.filter("kind = 'title'").groupBy("doc", "asset_seq").agg(F.array_join(ordered(F.col("text"), F.lit(True)), " ").alias("asset_title"))
 
     body = x.filter("kind = 'body'").withColumn("kv", F.when(F.coalesce(F.col("section") != NOTES, F.lit(True)), key_value(F.col("text"))))
