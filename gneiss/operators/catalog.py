@@ -22,6 +22,11 @@ def limited(df: DataFrame, limit: int | None) -> DataFrame:
     return df if limit is None or limit < 0 else df.limit(limit)
 
 
+def commonest(counts: DataFrame, n: str = "n") -> DataFrame:
+    """Counts from the highest down, equal ones by their label."""
+    return counts.orderBy(F.desc(n), *[c for c in counts.columns if c != n])
+
+
 def search_assets(assets: DataFrame, title: str | None = None, origin_like: str | None = None, domain_like: str | None = None, limit: int | None = 50) -> DataFrame:
     """Assets whose title, origin and domain hold the given texts, ordered by title. No text is no filter; an asset without the field holds nothing."""
     found = assets.select("asset_title", "source_url", origin().alias("origin"), domain().alias("domain"))
@@ -30,8 +35,8 @@ def search_assets(assets: DataFrame, title: str | None = None, origin_like: str
 
 
 def count_origins(assets: DataFrame) -> DataFrame:
-    """``(origin, n)``; documents without one count as ``(unknown)``."""
-    return assets.groupBy(labelled(origin()).alias("origin")).agg(F.count("*").alias("n"))
+    """``(origin, n)``, commonest first, then by name; documents without one count as ``(unknown)``."""
+    return commonest(assets.groupBy(labelled(origin()).alias("origin")).agg(F.count("*").alias("n")))
 
 
 def category() -> Column:
@@ -41,8 +46,9 @@ def category() -> Column:
 
 
 def category_breakdown(assets: DataFrame, origin_like: str | None = None) -> DataFrame:
+    """``(category, n)``, commonest first, then by name."""
     kept = assets.filter(holds(origin(), origin_like)) if origin_like else assets
-    return kept.groupBy(category().alias("category")).agg(F.count("*").alias("n"))
+    return commonest(kept.groupBy(category().alias("category")).agg(F.count("*").alias("n")))
 
 
 def section_names(assets: DataFrame) -> DataFrame:

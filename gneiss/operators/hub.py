@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.functions.text import all_of, any_of, holds, labelled
-from gneiss.operators.catalog import limited
+from gneiss.operators.catalog import commonest, limited
 
 
 def _by_name(df: DataFrame) -> DataFrame:
@@ -39,15 +39,17 @@ def units_for_aircraft(units: DataFrame, links: DataFrame, designator: str, limi
 
 
 def aircraft_inventory(units: DataFrame, links: DataFrame, service: str | None = None) -> DataFrame:
-    """``(designator, units)``: how many units field each designator, by its Latin base, else its Chinese one."""
+    """``(designator, units)``: how many units field each designator, by its Latin base, else its Chinese one; commonest first, then by name."""
     hub = units.filter(holds(F.col("service"), service)).select("unit_key")
     base = labelled(F.coalesce(F.nullif("en_designator", F.lit("")), "cn_designator"))
-    return links.join(hub, "unit_key", "left_semi").groupBy(base.alias("designator")).agg(F.countDistinct("unit_key").alias("units"))
+    return commonest(links.join(hub, "unit_key", "left_semi").groupBy(base.alias("designator")).agg(F.countDistinct("unit_key").alias("units")), "units")
 
 
 def role_breakdown(units: DataFrame, service: str | None = None) -> DataFrame:
-    return units.filter(holds(F.col("service"), service)).groupBy(labelled(F.col("role")).alias("role")).agg(F.count("*").alias("n"))
+    """``(role, n)``, commonest first, then by name."""
+    return commonest(units.filter(holds(F.col("service"), service)).groupBy(labelled(F.col("role")).alias("role")).agg(F.count("*").alias("n")))
 
 
 def theater_breakdown(units: DataFrame) -> DataFrame:
-    return units.groupBy(labelled(F.col("theater_command"), "(none)").alias("theater")).agg(F.count("*").alias("n"))
+    """``(theater, n)``, commonest first, then by name."""
+    return commonest(units.groupBy(labelled(F.col("theater_command"), "(none)").alias("theater")).agg(F.count("*").alias("n")))

@@ -86,38 +86,75 @@ def vector_sizes(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", "embedding").distinct().groupBy(F.coalesce(F.size("embedding"), F.lit(-1)).alias("dimension")).agg(F.count("*").alias("passages"))
 
 
-def batch_search(queries: DataFrame, chunks: DataFrame, pool: int, block: int = 256) -> DataFrame:
-    """``(query_id, chunk_id, score, rank)``: the ``pool`` nearest passages of every row of ``queries`` (query_id, vector).
+def batch_search(queries: DataFrame, chunks: DataFrame, pool: int, blocks: int = 8) -> DataFrame:
+    """``(query_id, chunk_id, score, rank)``: the ``pool`` nearest passages of every row of ``queries`` (query_id, vector), ties by the passage's id.
 
-    Queries are a stated set held against all passages: they come in blocks of ``block``, each sent to all tasks. Within a task
-    only the best ``pool`` of a query are kept, so ``pool`` rows a query and task are shuffled.
+    Queries are a stated set held against all passages. Both sides are packed, passages a few thousand a row and queries into ``blocks`` rows, and a row of one is multiplied with a row of the
+    other; of each product only the best ``pool`` of a query are kept. Passages are read once. More queries take more ``blocks``, so that one row stays small. NULL vectors and those of another
+    size than the query's match nothing; repeated rows count once.
     """
     from collections.abc import Iterator
 
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
     from pyspark.sql import Window
 
-    spark = chunks.sparkSession
-    n = max(1, -(-queries.count() // block))
-    out = None
-    for b in range(n):
-        rows = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b).collect() if n > 1 else queries.collect()
-        held = spark.sparkContext.broadcast(([r["query_id"] for r in rows], np.array([list(r["vector"]) for r in rows], dtype=np.float64)))
-
-        def run(frames: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            ids, q = held.value
-            for f in frames:
-                f = f[f["embedding"].map(lambda v: v is not None and len(v) == q.shape[1])] if len(q) else f[:0]
-                if not len(f):
+    kind = queries.schema["query_id"].dataType.simpleString()
+    packed = queries.filter("vector is not null").groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("query_id", F.col("vector").cast("array<double>").alias("vector"))).alias("queries"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = np.diff(batch.column(1).offsets.to_numpy())
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for n in np.unique(size).tolist():
+                rows = pa.array(np.flatnonzero(size == n))
+                v = batch.column(1).take(rows).flatten()
+                flat = np.nan_to_num(v.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, n), nan=np.nan)
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([ids[rows.to_numpy()].astype("<i8").tobytes()]), pa.array([flat.tobytes()])], ["size", "ids", "vectors"])
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n, ids, data, qs in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                qs = [q for q in qs if len(q["vector"]) == n]
+                if not qs or not n:
                     continue
-                score = q @ np.stack(f["embedding"].to_numpy()).astype(np.float64).T
-                chunk = f["chunk_id"].to_numpy()
-                for i, s in enumerate(score):
-                    top = np.lexsort((chunk, -s))[:pool]
-                    yield pd.DataFrame({"query_id": ids[i], "chunk_id": chunk[top], "score": s[top]})
-
-        part = chunks.select("chunk_id", "embedding").mapInPandas(run, "query_id long, chunk_id long, score double")
-        out = part if out is None else out.union(part)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return out.distinct().withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= pool)
+                chunk, v = np.frombuffer(ids, "<i8"), np.frombuffer(data).reshape(-1, n)
+                out = []
+                for q in qs:
+                    score = v @ np.array(q["vector"], dtype=np.float64)
+                    usable = np.flatnonzero(~np.isnan(score))
+                    top = usable[np.lexsort((chunk[usable], -score[usable]))[:pool]]
+                    out += [(q["query_id"], int(chunk[i]), float(score[i])) for i in top]
+                yield pa.RecordBatch.from_pylist([dict(zip(("query_id", "chunk_id", "score"), r)) for r in out], schema=schema)
+
+    schema = pa.schema([("query_id", pa.int64() if kind == "bigint" else pa.string()), ("chunk_id", pa.int64()), ("score", pa.float64())])
+    rows = chunks.select(F.col("chunk_id").cast("long"), "embedding").filter("embedding is not null").mapInArrow(pack, "size int, ids binary, vectors binary")
+    each = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(packed, "block").select("size", "ids", "vectors", "queries")
+    scored = each.mapInArrow(multiply, f"query_id {kind}, chunk_id long, score double")
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "chunk_id")
+    return scored.distinct().withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= pool)
+
+
+def search_or_reason(chunks: DataFrame, parents: DataFrame, query: list[float] | None, **options) -> tuple[DataFrame, str | None]:
+    """``search`` and why it is empty: no query, no passages with vectors of the query's size, or nothing found; None where there are rows."""
+    none = parents.select("parent_id", "source", "page", "text", F.lit(0.0).alias("score")).limit(0)
+    if not query or not any(query):
+        return none, "the query is empty"
+    if chunks.filter(F.size("embedding") == len(query)).isEmpty():
+        return none, f"there are no passages with vectors of {len(query)} numbers"
+    found = search(chunks, parents, query, **options)
+    return (none, "no page was found") if found.isEmpty() else (found, None)
+
+
+def embedder(name: str, dimension: int) -> Embedder:
+    """The embedder of a name, whose vectors are checked: one of another size than ``dimension`` ends the query that computes it."""
+    if name not in EMBEDDERS:
+        raise ValueError(f"no embedder {name}; there are {', '.join(sorted(EMBEDDERS))}")
+    make = EMBEDDERS[name]
+
+    def checked(df: DataFrame, text: str) -> DataFrame:
+        size = F.size("embedding")
+        fault = F.raise_error(F.concat(F.lit(f"a vector of {name} has not {dimension} numbers but "), size.cast("string")))
+        return make(df, text).withColumn("embedding", F.when(size == dimension, F.col("embedding")).otherwise(fault))
+
+    return checked

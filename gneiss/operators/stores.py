@@ -1,10 +1,7 @@
-"""Keyed stores on Parquet: rows are merged by key, the latest wins, and a write replaces the table in one step."""
+"""Keyed tables: rows are merged by key and the latest wins. Functions give DataFrames; how they are written is left to the table format of their user."""
 
 from __future__ import annotations
 
-import time
-from pathlib import PurePosixPath
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,82 +35,50 @@ def row_counts(**tables: DataFrame) -> DataFrame:
     return out
 
 
-class Store:
-    """Tables of ``schemas.STORES`` in a folder that all executors reach.
+def empty_tables(spark: SparkSession) -> dict[str, DataFrame]:
+    """Every table of ``schemas.STORES`` without rows, to begin with."""
+    return {name: spark.createDataFrame([], schema) for name, schema in STORES.items()}
+
+
+def register(tables: dict[str, DataFrame], prefix: str = "") -> None:
+    """Views of tables by their names; registering again replaces them."""
+    for name, df in tables.items():
+        df.createOrReplaceTempView(prefix + name)
+
+
+def merged(current: DataFrame, rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """``current``, in which rows of ``rows`` replace those of the same key; of several with one key the last by ``order`` counts. NULL keys are keys."""
+    new = latest(rows, keys, [order]).select(*current.columns)
+    same = [current[k].eqNullSafe(new[k]) for k in keys]
+    return current.join(new, same, "left_anti").unionByName(new)
+
 
-    A table is a folder of versions; a write makes a new version and then names it current, so a reader sees the old or the new rows, and a failed write changes nothing.
+def merged_units(units: DataFrame, links: DataFrame, records: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
+    """``units`` and ``links`` after ``records``: units with their ``aircraft`` (array of raw, cn_base, en_base). The last record of a key replaces unit and links together.
+
+    Of links of one unit with the same raw token the first counts.
     """
+    new = latest(records.filter("unit_key is not null"), ["unit_key"], [order])
+    each = new.select("unit_key", F.posexplode("aircraft").alias("pos", "a")).select("unit_key", "pos", F.col("a.raw").alias("raw_designator"), F.col("a.cn_base").alias("cn_designator"), F.col("a.en_base").alias("en_designator"))
+    each = earliest(each, ["unit_key", "raw_designator"], ["pos"]).select(*links.columns)
+    return (
+        units.join(new.select("unit_key"), "unit_key", "left_anti").select(*units.columns).unionByName(new.select(*units.columns)),
+        links.join(new.select("unit_key"), "unit_key", "left_anti").select(*links.columns).unionByName(each),
+    )
+
+
+def page_faults(parents: DataFrame, chunks: DataFrame, dimension: int) -> DataFrame:
+    """``(chunk_id, fault)`` of passages without a page among ``parents`` or with a vector of another size than ``dimension``."""
+    known = parents.select("parent_id", F.lit(True).alias("known")).distinct()
+    fault = F.when(F.col("known").isNull(), "no page").when(F.coalesce(F.size("embedding"), F.lit(-1)) != dimension, f"not {dimension} numbers")
+    return chunks.join(known, "parent_id", "left").select("chunk_id", fault.alias("fault")).filter("fault is not null")
+
+
+def replaced_pages(current: DataFrame, new: DataFrame) -> DataFrame:
+    """``current`` with the rows of ``new`` in place of all rows of the same sources; used for pages and for passages alike."""
+    return current.join(new.select("source").distinct(), "source", "left_anti").select(*current.columns).unionByName(new.select(*current.columns))
+
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def _fs(self):
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
-
-    def _versions(self, name: str) -> list[str]:
-        fs, path = self._fs()
-        at = path(f"{self.root}/{name}")
-        if not fs.exists(at):
-            return []
-        found = [str(s.getPath().toString()) for s in fs.listStatus(at)]
-        return sorted(v for v in found if fs.exists(path(f"{v}/_SUCCESS")) and PurePosixPath(v).name.startswith("v"))
-
-    def create(self) -> None:
-        """Every table that does not exist yet, empty."""
-        for name, schema in STORES.items():
-            if not self._versions(name):
-                self.write(name, self.spark.createDataFrame([], schema))
-
-    def read(self, name: str) -> DataFrame:
-        v = self._versions(name)
-        return self.spark.read.schema(STORES[name]).parquet(v[-1]) if v else self.spark.createDataFrame([], STORES[name])
-
-    def write(self, name: str, df: DataFrame) -> None:
-        cols = [F.col(f.name).cast(f.dataType) for f in STORES[name].fields]
-        df.select(*cols).write.parquet(f"{self.root}/{name}/v{time.time_ns():020d}")
-
-    def register(self, prefix: str = "") -> None:
-        """Views of all tables; registering again replaces them."""
-        for name in STORES:
-            self.read(name).createOrReplaceTempView(prefix + name)
-
-    def upsert(self, name: str, rows: DataFrame, keys: list[str], order: str) -> None:
-        """Rows of ``rows`` replace those of the same key; of several with one key the last by ``order`` counts."""
-        new = latest(rows, keys, [order]).select(*STORES[name].fieldNames())
-        kept = self.read(name).join(new.select(*keys), keys, "left_anti").select(*new.columns)
-        self.write(name, kept.unionByName(new))
-
-    def upsert_units(self, units: DataFrame, order: str) -> None:
-        """Units with their ``aircraft`` (array of raw, cn_base, en_base): the last record of a key replaces unit and links together.
-
-        Of links of one unit with the same raw token the first counts.
-        """
-        new = latest(units, ["unit_key"], [order])
-        links = new.select("unit_key", F.posexplode("aircraft").alias("pos", "a")).select("unit_key", "pos", F.col("a.raw").alias("raw_designator"), F.col("a.cn_base").alias("cn_designator"), F.col("a.en_base").alias("en_designator"))
-        links = earliest(links, ["unit_key", "raw_designator"], ["pos"]).drop("pos")
-        old = self.read("unit_aircraft").join(new.select("unit_key"), "unit_key", "left_anti")
-        self.write("unit_aircraft", old.select(*links.columns).unionByName(links))
-        kept = self.read("units").join(new.select("unit_key"), "unit_key", "left_anti")
-        hub = new.select(*STORES["units"].fieldNames())
-        self.write("units", kept.select(*hub.columns).unionByName(hub))
-
-    def replace_pages(self, parents: DataFrame, chunks: DataFrame, dimension: int) -> None:
-        """Pages and passages of some sources, in place of what the store holds of them.
-
-        Passages refer to pages of ``parents`` and have vectors of ``dimension`` numbers; others raise ValueError.
-        """
-        orphans = chunks.join(parents.select("parent_id"), "parent_id", "left_anti").limit(1).count()
-        wrong = chunks.filter(F.coalesce(F.size("embedding"), F.lit(-1)) != dimension).limit(1).count()
-        if orphans or wrong:
-            raise ValueError("a passage has no page" if orphans else f"a vector has not {dimension} numbers")
-        sources = parents.select("source").distinct()
-        for name, new in (("rag_parents", parents), ("rag_chunks", chunks)):
-            kept = self.read(name).join(sources, "source", "left_anti").select(*STORES[name].fieldNames())
-            self.write(name, kept.unionByName(new.select(*STORES[name].fieldNames())))
-        self.write("rag_meta", self.spark.createDataFrame([("dimension", str(dimension))], STORES["rag_meta"]))
-
-    def dimension(self) -> int:
-        """The dimension of the store's vectors, -1 without any."""
-        return self.read("rag_meta").filter("key = 'dimension'").agg(F.coalesce(F.max(F.col("value").try_cast("int")), F.lit(-1))).first()[0]
+def dimension(meta: DataFrame) -> DataFrame:
+    """One row: the ``dimension`` that a meta table (key, value) names, -1 without any."""
+    return meta.filter("key = 'dimension'").agg(F.coalesce(F.max(F.col("value").try_cast("int")), F.lit(-1)).alias("dimension"))

@@ -67,10 +67,20 @@ b as (select k.source, line_key, pages from k join n using (source) where n >= 2
 WORDS = r"list_filter(string_split_regex(text, '[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'), lambda w: w <> '')"
 
 GOLD = "g as (select id, e.source, e.page, e.quote from (select id, unnest(expected) as e from gold_cases))"
-RETRIEVED = """
-h as (select id, expected[1].source as source from gold_cases),
-pg as (select source, page, row_number() over (partition by source order by page desc) as rank from (select distinct source, page from rag_parents)),
-r as (select id, rank, h.source, page from h join pg using (source) where rank <= 10)
+def _vectors(words: str, key: str, rows: str) -> str:
+    return f"""select k, bucket, n / sqrt(sum(n * n) over (partition by k)) as x from (
+      select k, cast('0x' || right(sha1(w), 8) as bigint) % 64 as bucket, count(*) as n from (select {key} as k, unnest({words}) as w from {rows}) group by 1, 2)"""
+
+
+RETRIEVED = f"""
+pa as (select distinct parent_id, source, page, text from rag_parents where parent_id is not null),
+pv as ({_vectors(WORDS.replace("text", "lower(text)"), "parent_id", "pa")}),
+sa as (select id, concat_ws(' ', query_text, array_to_string(list_transform(expected, lambda e: e.quote), ' ')) as said from gold_cases),
+qv as ({_vectors(WORDS.replace("text", "lower(said)"), "id", "sa")}),
+dp as (select qv.k as id, pv.k as parent_id, sum(qv.x * pv.x) as score from qv join pv using (bucket) group by 1, 2),
+al as (select c.id, p.parent_id, coalesce(score, 0) as score from gold_cases c cross join (select distinct parent_id from pa) p left join dp on dp.id = c.id and dp.parent_id = p.parent_id),
+tp as (select *, row_number() over (partition by id order by round(score, 9) desc, parent_id) as rank from al),
+r as (select id, rank, source, page from tp join pa using (parent_id) where rank <= 10)
 """
 RETRIEVED_ALL = """
 h as (select distinct id, source from g),
@@ -147,11 +157,35 @@ select substr(md5(cast(asset_seq as varchar)), 1, 2) as doc, row_number() over (
 from a left join o using (asset_seq) where title <> ''
 """
 
-SPEC = """
-n as (select asset_seq, s.sec, s.r, json_extract(dynamic_payload, '$."' || s.sec || '"') as v from (select * from {0} where json_valid(dynamic_payload) and json_type(dynamic_payload) = 'OBJECT'),
-  (values ('System', 1), ('Automotive', 2), ('Dimensions', 3), ('Armament', 4), ('Main Missile Systems', 5), ('Missile Weapon Systems', 6), ('Bomb Weapon Systems', 7)) as s(sec, r))"""
+NODES = r"""
+t as (select a.asset_seq, t.id, t.parent, t.key, t.type, t.atom from (select distinct asset_seq, dynamic_payload from {0} where json_valid(dynamic_payload)) a, json_tree(a.dynamic_payload) t),
+n as (
+  select asset_seq, id, type, '' as path, '' as parent_path, '' as under, cast(null as varchar) as section, cast(null as varchar) as key, cast(null as integer) as position, 0 as depth, false as element, atom from t where parent is null
+  union all
+  select asset_seq, id, type, case when path = '' then step else path || ' > ' || step end, under, case when is_item and type = 'OBJECT' then case when path = '' then step else path || ' > ' || step end else under end,
+    coalesce(section, step), case when is_item then null else step end, case when is_item then cast(key as integer) end, depth + 1, is_item and type = 'OBJECT', atom from (
+    select t.asset_seq, t.id, t.type, t.key, t.atom, n.path, n.under, n.section, n.depth, n.type = 'ARRAY' as is_item, case when n.type = 'ARRAY' then '[' || t.key || ']' else t.key end as step from n join t on t.asset_seq = n.asset_seq and t.parent = n.id)),
+f as (select *, case type when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'NULL' then 'null' when 'OBJECT' then 'object' when 'ARRAY' then 'array' else 'number' end as kind, case when type = 'NULL' then null else atom ->> '$' end as value from n)
+"""
+SPECS = """
+(select asset_seq, trim(key) as spec, min_by(case when kind = 'null' then 'None' when kind = 'boolean' then upper(value[1]) || value[2:] else trim(value) end, r * 1000000 + id) as value
+ from f join (values ('System', 1), ('Automotive', 2), ('Dimensions', 3), ('Armament', 4), ('Main Missile Systems', 5), ('Missile Weapon Systems', 6), ('Bomb Weapon Systems', 7)) as s(sec, r) on sec = section
+ where depth > 1 and key is not null and kind not in ('object', 'array') and trim(lower(key)) not in ('image sources', 'manufacturer', 'alternate designation(s)') group by asset_seq, trim(key))
+"""
+NUMERALS = "translate(regexp_replace(unit_key, '[^0-9]', '', 'g'), '0123456789', '零一二三四五六七八九')"
 
 SQL = {
+    "p4_assets": f"with recursive {NODES.format('weg_assets')} select asset_seq, count(case when depth = 1 then 1 end) as sections, count(case when element then 1 end) as objects, cast(max(depth) as integer) as deepest from f group by asset_seq",
+    "p4_sections": f"with recursive {NODES.format('weg_assets')} select asset_seq, section, max(case when depth = 1 then kind end) as kind, count(case when depth = 2 then 1 end) as entries from f where depth in (1, 2) group by asset_seq, section",
+    "p4_fields": f"with recursive {NODES.format('weg_assets')} select distinct asset_seq, path, parent_path, section, key, position, kind, value from f where depth > 0 and kind not in ('object', 'array')",
+    "flatten_first_wins": f"with recursive {NODES.format('weg_assets')} select * from {SPECS}",
+    "laydown_specs": f"with recursive {NODES.format('(' + ASSETS + ')')} select weg_asset_title, spec, value from {SPECS} p join (select asset_seq, asset_title as weg_asset_title from ({ASSETS})) using (asset_seq) where weg_asset_title in (select weg_asset_title from ({LAYDOWN}))",
+    "cell_split": f"""{WITH}, x as (select unit_key, string_agg(distinct raw_designator, '、' order by raw_designator) as cell from l group by unit_key), y as (select u.unit_key, string_split_regex(coalesce(cell, ''), '[、，,]|和') as raw from u left join x on x.unit_key = u.unit_key),
+      k as (select unit_key, min(i) as i, t from (select unit_key, i, trim(raw[i]) as t from y, unnest(range(1, len(raw) + 1)) as r(i)) group by unit_key, t),
+      e as (select unit_key, i, regexp_extract(t, '^([一-鿿]+)[-－–]?(\\d+)', 2) as num, regexp_extract(t, '^([一-鿿]+)[-－–]?(\\d+)', 1) as p from k),
+      b as (select *, case when num = '' then null when p like '渊锋镝%' then 'ZKX-' when p like '炽珀鹳%' then 'TZP-' when p like '晖砾铎%' then 'FBN-' when p like '溟澍%' then 'DBK-' end || num as en from e)
+      select y.unit_key, cast(count(en) as integer) as known, coalesce(string_agg(en, ';' order by i), '') as bases from y left join b on b.unit_key = y.unit_key group by y.unit_key""",
+    "airbase_extract": f"{WITH} select unit_key, case when airbase is null then null when tactical_code is null then {NUMERALS} || '机场' else '江右省' || {NUMERALS} || '机场' end as airbase from u",
     "article_units": ARTICLES,
     "article_units_fielding": f"select doc, line_no, unit_key from ({ARTICLES}) where aircraft <> ''",
     "layout_assets": LAYOUT_ASSETS,

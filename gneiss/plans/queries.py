@@ -261,12 +261,13 @@ def hash_embed(spark, d):
 
 
 def _retrieved(spark, d):
-    """A plain retrieval: pages of a case's first source, from the last page on."""
-    cases = table(spark, d, "gold_cases").select("id", F.get("expected", F.lit(0))["source"].alias("source"))
-    pages = table(spark, d, "rag_parents").select("source", "page").distinct()
-    w = Window.partitionBy("source").orderBy(F.desc("page"))
-    ranked = pages.withColumn("rank", F.row_number().over(w)).filter("rank <= 10")
-    return cases.join(ranked, "source").select("id", "rank", "source", "page")
+    """The ten pages nearest to each case's query and quotes, by hash embeddings."""
+    pages = table(spark, d, "rag_parents").select("parent_id", "source", "page", "text").filter("parent_id is not null").distinct()
+    vectors = retrieval.hash_embedding(pages, "text", ["parent_id"], 64).withColumnRenamed("parent_id", "chunk_id")
+    said = table(spark, d, "gold_cases").select("id", F.concat_ws(" ", "query_text", F.array_join(F.transform("expected", lambda e: e["quote"]), " ")).alias("said"))
+    asked = retrieval.hash_embedding(said, "said", ["id"], 64).select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
+    found = retrieval.batch_search(asked, vectors, 10)
+    return found.join(pages, found["chunk_id"] == pages["parent_id"]).select(F.col("query_id").alias("id"), "rank", "source", "page")
 
 
 def ir_metrics(spark, d):
@@ -404,9 +405,10 @@ def layout_titles(spark, d):
 
 
 def airbase_extract(spark, d):
-    """Airbases of units by the place that they are named after."""
-    u = _units(spark, d).select("unit_key", F.concat(F.regexp_replace("unit_name", "[^一-鿿]", ""), F.lit("省"), F.coalesce("airbase", F.lit("")), F.lit("市机场")).alias("p"))
-    return u.select("unit_key", articles.airbase_of(F.col("p")).alias("airbase"))
+    """The facility in the name of a place, at its end or before another part."""
+    digits = F.translate(F.regexp_replace("unit_key", "[^0-9]", ""), "0123456789", "零一二三四五六七八九")
+    p = F.concat(F.lit("江右省"), digits, F.when(F.col("airbase").isNull(), "镇").otherwise("机场"), F.when(F.col("tactical_code").isNull(), "").otherwise("三营"))
+    return _units(spark, d).select("unit_key", articles.airbase_of(p).alias("airbase"))
 
 
 #: How the units of these tables are called in articles.

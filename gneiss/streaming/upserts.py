@@ -1,24 +1,25 @@
-"""Assets that arrive in files, merged into a store as they come. This goes beyond the batch operators and uses them for each micro-batch."""
+"""Assets that arrive in files, kept as a log of changes and merged as they are read. This goes beyond the batch operators and uses them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.operators.stores import Store
+from gneiss.operators.stores import latest
 
 
 def asset_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 
 
-def upsert_assets(stream: DataFrame, store: Store, checkpoint: str, order: str = "ingested_at"):
-    """Starts a query that merges each micro-batch by ``asset_title``; a batch that is repeated after a failure changes nothing."""
+def log_changes(stream: DataFrame, log: str, checkpoint: str):
+    """Starts a query that appends each micro-batch to the table ``log``; a batch writes only its own rows, and one that is repeated after a failure counts once."""
+    return stream.writeStream.format("parquet").option("path", log).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
-    def merge(batch: DataFrame, _: int) -> None:
-        store.upsert("weg_assets", batch.filter("asset_title is not null"), ["asset_title"], order)
 
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def current(spark: SparkSession, log: str, key: str = "asset_title", order: str = "ingested_at") -> DataFrame:
+    """The last row of each key of a log of changes; rows without a key have none."""
+    return latest(spark.read.parquet(log).filter(F.col(key).isNotNull()), [key], [order])
 
 
 def arrivals(stream: DataFrame, time: str = "ingested_at", late: str = "1 day", window: str = "1 hour") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gneiss.functions import codes, scenario, text
 from gneiss.operators import catalog, chunking, hub, laydown, metrics, retrieval, stores
+from gneiss.operators.carry import carry
 from gneiss.sources import articles, files, layout
 from gneiss.streaming import upserts
 
@@ -140,7 +141,7 @@ def test_retrieval(spark):
     assert {(r["chunk_id"], r["page_id"]) for r in retrieval.with_pages(cut, again).collect()} == {(1, 20), (2, None), (3, None), (4, None)}
     assert retrieval.with_pages(cut, again.limit(0)).filter("page_id is not null").count() == 0
     q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "query_id long, vector array<double>")
-    got = {(r["query_id"], r["rank"]): r["chunk_id"] for r in retrieval.batch_search(q, chunks, 2, block=1).collect()}
+    got = {(r["query_id"], r["rank"]): r["chunk_id"] for r in retrieval.batch_search(q, chunks, 2, blocks=3).collect()}
     assert got == {(1, 1): 1, (1, 2): 2, (2, 1): 7, (2, 2): 2}
     v = retrieval.hash_embedding(spark.createDataFrame([(1, "a b a"), (2, ""), (3, None)], "id int, t string"), "t", ["id"], 32)
     size = {r["id"]: math.sqrt(sum(x * x for x in r["embedding"])) for r in v.collect()}
@@ -244,33 +245,80 @@ def test_layout(spark):
     assert (line["text"], line["size"], line["font"]) == ("a b c", 12.0, "H")
 
 
-def test_store(spark, tmp_path):
-    s = stores.Store(spark, str(tmp_path / "store"))
-    s.create()
-    s.create()
-    assert s.read("units").count() == 0 and s.dimension() == -1
-    new = spark.createDataFrame([("a", "u1", None, "{}", 1), ("a", "u2", None, "{}", 2), ("b", None, None, None, 1)], "asset_title string, source_url string, notes string, dynamic_payload string, seq int")
-    for _ in range(2):
-        s.upsert("weg_assets", new, ["asset_title"], "seq")
-    assert {(r["asset_title"], r["source_url"]) for r in s.read("weg_assets").collect()} == {("a", "u2"), ("b", None)}
+def test_merged_tables(spark):
+    t = stores.empty_tables(spark)
+    assert t["units"].count() == 0 and stores.dimension(t["rag_meta"]).first()[0] == -1
+    new = spark.createDataFrame([("a", "u1", None, "{}", 1), ("a", "u2", None, "{}", 2), ("b", None, None, None, 1), (None, "n", None, None, 1)], "asset_title string, source_url string, notes string, dynamic_payload string, seq int")
+    once = stores.merged(t["weg_assets"], new, ["asset_title"], "seq")
+    for m in (once, stores.merged(once, new, ["asset_title"], "seq")):
+        assert {(r["asset_title"], r["source_url"]) for r in m.collect()} == {("a", "u2"), ("b", None), (None, "n")}
     air = "unit_key string, unit_name string, seq int, aircraft array<struct<raw:string,cn_base:string,en_base:string>>"
     base = {c: F.lit(None).cast("string") for c in ("service", "branch", "role", "theater_command", "location_text", "province", "airbase", "tactical_code", "remarks", "source_url")}
-    s.upsert_units(spark.createDataFrame([("k", "n", 1, [("x", "x", "X"), ("y", "y", None), ("x", "z", "Z")])], air).withColumns(base), "seq")
-    assert s.read("unit_aircraft").count() == 2
-    s.upsert_units(spark.createDataFrame([("k", "m", 2, [("y", "y", None)]), ("j", "j", 1, [])], air).withColumns(base), "seq")
-    assert s.read("unit_aircraft").count() == 1 and s.read("units").count() == 2
+    units, links = stores.merged_units(t["units"], t["unit_aircraft"], spark.createDataFrame([("k", "n", 1, [("x", "x", "X"), ("y", "y", None), ("x", "z", "Z")])], air).withColumns(base), "seq")
+    assert links.count() == 2
+    units, links = stores.merged_units(units, links, spark.createDataFrame([("k", "m", 2, [("y", "y", None)]), ("j", "j", 1, [])], air).withColumns(base), "seq")
+    assert links.count() == 1 and units.count() == 2
     parents = spark.createDataFrame([(1, "f", 1, "t")], "parent_id long, source string, page int, text string")
     chunks = spark.createDataFrame([(1, 1, "f", 1, "t", [1.0, 2.0])], "chunk_id long, parent_id long, source string, page int, text string, embedding array<float>")
-    for _ in range(2):
-        s.replace_pages(parents, chunks, 2)
-    assert s.read("rag_chunks").count() == 1 and s.dimension() == 2
-    for bad, dim in ((chunks.withColumn("parent_id", F.lit(7)), 2), (chunks, 3)):
-        with pytest.raises(ValueError):
-            s.replace_pages(parents, bad, dim)
-    s.register("v_")
+    held = stores.replaced_pages(stores.replaced_pages(t["rag_chunks"], chunks), chunks)
+    assert held.count() == 1 and stores.page_faults(parents, chunks, 2).count() == 0
+    assert [r["fault"] for r in stores.page_faults(parents, chunks.withColumn("parent_id", F.lit(7)), 2).collect()] == ["no page"]
+    assert [r["fault"] for r in stores.page_faults(parents, chunks, 3).collect()] == ["not 3 numbers"]
+    stores.register({"units": units}, "v_")
     assert spark.table("v_units").count() == 2
 
 
+def test_a_log_of_changes(spark, tmp_path):
+    schema = "asset_title string, source_url string, ingested_at int"
+    for n, url in enumerate(("u1", "u2")):
+        spark.createDataFrame([("a", url, n), (None, "x", n), (f"b{n}", url, n)], schema).write.mode("append").parquet(f"{tmp_path}/in")
+        upserts.log_changes(upserts.asset_stream(spark, f"{tmp_path}/in", schema), f"{tmp_path}/log", f"{tmp_path}/state").awaitTermination()
+    got = {(r[0], r[1]) for r in upserts.current(spark, f"{tmp_path}/log").collect()}
+    assert got == {("a", "u2"), ("b0", "u1"), ("b1", "u2")}
+
+
+def test_breakdowns_come_commonest_first(spark):
+    units = spark.createDataFrame([(f"k{i}", r, t) for i, (r, t) in enumerate([("a", "x"), ("b", "y"), ("b", "x"), (None, None), ("c", "y"), ("", "x")])], "unit_key string, role string, theater_command string")
+    assert [tuple(r) for r in hub.role_breakdown(units).collect()] == [("(unknown)", 2), ("b", 2), ("a", 1), ("c", 1)]
+    assert [tuple(r) for r in hub.theater_breakdown(units).collect()] == [("x", 3), ("y", 2), ("(none)", 1)]
+    docs = ['{"Metadata": {"Origin": "B", "Domain": "q"}}', '{"Metadata": {"Origin": "B", "Domain": "p, q"}}', '{"Metadata": {"Origin": "A", "Domain": "p"}}', "{}"]
+    assets = spark.createDataFrame([(d,) for d in docs], "dynamic_payload string")
+    assert [tuple(r) for r in catalog.count_origins(assets).collect()] == [("B", 2), ("(unknown)", 1), ("A", 1)]
+    assert [tuple(r) for r in catalog.category_breakdown(assets).collect()] == [("q", 2), ("(uncategorized)", 1), ("p", 1)]
+    links = spark.createDataFrame([("k0", "X"), ("k1", "Y"), ("k2", "Y"), ("k2", "Y")], "unit_key string, en_designator string").withColumn("cn_designator", F.lit(None).cast("string"))
+    assert [tuple(r) for r in hub.aircraft_inventory(units.withColumn("service", F.lit("s")), links).collect()] == [("Y", 2), ("X", 1)]
+
+
+def test_carry_equals_one_window(spark):
+    r = random.Random(3)
+    rows = [(f"d{r.randrange(3)}", i, r.choice([None, None, "a", "b"]), r.randrange(3)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc string, n long, v string, k int").repartition(5)
+    got = carry(df, "doc", "n", 16, last={"state": F.when(F.col("v").isNotNull(), F.struct(F.nullif("v", F.lit("b")).alias("s")))}, total={"sum": F.col("k")}, before={"prev": F.col("k")})
+    seen = {}
+    for d, n, v, k in sorted(rows, key=lambda x: x[1]):
+        state, total, prev = seen.get(d, (None, 0, None))
+        seen[d] = (None if v == "b" else v) if v else state, total + k, k
+        seen[(d, n)] = ((None if v == "b" else v) if v else state, total + k, prev)
+    for x in got.collect():
+        assert (x["state"]["s"] if x["state"] else None, x["sum"], x["prev"]) == seen[(x["doc"], x["n"])]
+    assert got.count() == 400
+
+
+def test_search_gates_and_checked_vectors(spark):
+    chunks = spark.createDataFrame([(1, 1, "f", [1.0, 0.0])], "chunk_id long, parent_id long, source string, embedding array<float>")
+    parents = spark.createDataFrame([(1, "f", 1, "t")], "parent_id long, source string, page int, text string")
+    assert retrieval.search_or_reason(chunks, parents, [1.0, 0.0])[0].count() == 1
+    for query, why in (([], "empty"), ([0.0, 0.0], "empty"), ([1.0], "no passages"), ([1.0, 1.0], "no page")):
+        found, reason = retrieval.search_or_reason(chunks if why != "no page" else chunks.withColumn("parent_id", F.lit(5)), parents, query)
+        assert found.count() == 0 and why in reason
+    docs = spark.createDataFrame([(1, "a b")], "id int, text string")
+    assert len(retrieval.embedder("hash", 64)(docs, "text").first()["embedding"]) == 64
+    with pytest.raises(Exception, match="has not 32 numbers"):
+        retrieval.embedder("hash", 32)(docs, "text").collect()
+    with pytest.raises(ValueError):
+        retrieval.embedder("none", 8)
+
+
 def test_latest_orders_nulls_and_ties(spark):
     df = spark.createDataFrame([("k", None, 1), ("k", 5, 2), ("k", 5, 3), (None, None, 4), ("k", 5, 3)], "k string, o int, v int")
     assert {tuple(r) for r in stores.latest(df, ["k"], ["o"]).collect()} == {("k", 5, 3), (None, None, 4)}
@@ -278,15 +326,6 @@ def test_latest_orders_nulls_and_ties(spark):
     assert stores.latest(df.limit(0), ["k"], ["o"]).count() == 0
 
 
-def test_stream_merges_into_the_store(spark, tmp_path):
-    schema = "asset_title string, source_url string, notes string, dynamic_payload string, ingested_at timestamp"
-    s = stores.Store(spark, str(tmp_path / "store"))
-    for n, url in (("1", "old"), ("2", "new")):
-        spark.sql(f"select 'a' as asset_title, '{url}' as source_url, cast(null as string) as notes, '{{}}' as dynamic_payload, timestamp '2024-01-0{n} 00:00:00' as ingested_at").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        upserts.upsert_assets(upserts.asset_stream(spark, str(tmp_path / "in"), schema), s, str(tmp_path / "cp")).awaitTermination(60)
-        assert [r["source_url"] for r in s.read("weg_assets").collect()] == [url]
-
-
 def test_files(spark, tmp_path):
     (tmp_path / "a.md").write_text("Source URL: http://u x\none\n\ntwo", encoding="utf-8")
     got = files.text_lines(spark, str(tmp_path / "a.md")).orderBy("line_no").collect()
