@@ -49,7 +49,8 @@ def segments(texts: list[str | None], size: int, overlap: int) -> Iterator[tuple
         yield np.array(parts, dtype=np.int64), code_points(joined), joined
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the base and of its inverse."""
     if "p" not in _POWERS or len(_POWERS["p"]) < n:
         size = max(n, 1 << 20)
         inverse = pow(_BASE, -1, 1 << 64)
@@ -70,7 +71,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def prefix_hash(codes: np.ndarray) -> np.ndarray:
     """Prefix sums of code * base**i, from which ``window_hash`` takes the hash of any window."""
-    p, _ = _powers(len(codes))
+    p, _ = powers(len(codes))
     c = (codes.astype(np.uint64) + np.uint64(1)) * _MIX
     c ^= c >> np.uint64(31)
     c *= p
@@ -83,7 +84,7 @@ def prefix_hash(codes: np.ndarray) -> np.ndarray:
 def window_hash(prefix: np.ndarray, width: int, starts: np.ndarray | None = None) -> np.ndarray:
     """The hash of the window of ``width`` characters from every start (or from ``starts``)."""
     n = len(prefix) - 1
-    _, q = _powers(max(n, 1))
+    _, q = powers(max(n, 1))
     if starts is None:
         h = prefix[width:] - prefix[: n + 1 - width]
         h *= q[: len(h)]

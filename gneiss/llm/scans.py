@@ -3,18 +3,24 @@
 The lexicon is made of all words of all texts with their counts. Rare words are compared with frequent ones through a symmetric-delete index: both sides are joined on what is left when one
 character or two neighbouring ones are deleted. Candidates are weighed by an edit distance that knows only the confusions of scanners, and where several remain the
 word before decides. Heads and feet are lines that many pages of a source share, apart from page numbers and misread characters.
+
+Lexicon, heads and decisions stay tables: texts are joined with the heads of their source, and words and cuts that a text holds with the lexicon. Only the commonest words, a fixed number
+of them, go to all tasks, so that these need not be joined; results do not depend on which they are.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gneiss.llm.codes import code_points, mix, powers, prefix_hash
 from gneiss.tables import cut_lineage
 
 #: What scanners read for what, in lower case (printed, read), and their weight; anything else is no confusion.
@@ -51,8 +57,12 @@ _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 _NO_LETTERS = bytes(i for i in range(128) if not chr(i).isalpha())
 _SHEET = re.compile(r"\s*[-–—]+\s*(?:sheet|page|p\.|seite|blatt)\s*\S{1,6}$|\s+[\dlIOSB]{1,6}$|^[\dlIOSB]{1,6}\s+", re.I)
 
-#: Least count of a frequent word, and least share of all words; so there are at most a million frequent words, which every task may hold.
-LEAST, LEAST_SHARE = 8, 1e-6
+#: Least count of a frequent word.
+LEAST = 8
+#: How many of the commonest words every task holds, which spares them a join.
+HELD = 1 << 18
+#: Parts into which the texts of one source are cut where they are joined with its heads.
+_SALTS = 16
 
 
 def head_key(line: str) -> str:
@@ -65,13 +75,11 @@ def head_key(line: str) -> str:
 
 
 def head_line(line: str) -> str | None:
-    """The key of a stripped line that may be a running head or foot; None if it is not looked at as one.
-
-    Lost are heads of one word or under ten letters, without a space (so most Chinese ones), of more than 90 characters, and those that end in a stop, comma or colon.
-    """
-    if len(line) <= 90 and line[-1] not in ".。,;:" and not line.startswith("|") and " " in line and len(key := head_key(line)) >= 10:
-        return key
-    return None
+    """The key of a stripped line that may be a running head or foot; None for rows of tables, for lines that end in a stop, comma or colon, as sentences do, and for lines of
+    fewer than ten letters, of which a Chinese one counts as three."""
+    if line[0] == "|" or line[-1] in ".。,;:" or len(key := head_key(line)) < 4:
+        return None
+    return key if len(key) >= 10 or not key.isascii() and sum(3 if c > "\u2e80" else 1 for c in key) >= 10 else None
 
 
 def edits(a: str, b: str, most: int) -> bool:
@@ -154,10 +162,28 @@ def word_counts(records: DataFrame) -> DataFrame:
     return records.select("text").filter("text is not null").mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def deletions(word: str) -> set[str]:
-    """The word, and it without any one character or any two neighbouring ones."""
-    n = len(word)
-    return {word, *(word[:i] + word[i + 1 :] for i in range(n)), *(word[:i] + word[i + 2 :] for i in range(n - 1))}
+def deletion_hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """For each word the hashes of itself and of it without any one character or any two neighbouring ones: rows of ``words`` and hashes, once each.
+
+    A hash is a sum of codes times powers by place, so that of a word with a gap is made of two prefix sums and takes the same time for words of any length.
+    """
+    lengths = np.array([len(w) for w in words])
+    codes = code_points("".join(words))
+    p = prefix_hash(codes)
+    first = np.cumsum(lengths) - lengths
+    _, inverse = powers(len(codes) + 3)
+    row, out = [np.arange(len(words))], [(p[first + lengths] - p[first]) * inverse[first]]
+    for gap in (1, 2):
+        n = np.maximum(lengths - gap + 1, 0)
+        r = np.repeat(np.arange(len(words)), n)
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[r]
+        row.append(r)
+        out.append((p[at] - p[first[r]]) * inverse[first[r]] + (p[first[r] + lengths[r]] - p[at + gap]) * inverse[first[r]] * inverse[gap])
+    row, h = np.concatenate(row), mix(np.concatenate(out)).view(np.int64)
+    order = np.lexsort((h, row))
+    row, h = row[order], h[order]
+    kept = np.r_[True, (row[1:] != row[:-1]) | (h[1:] != h[:-1])]
+    return row[kept], h[kept]
 
 
 def confusion_weight(printed: str, read: str) -> float | None:
@@ -167,24 +193,19 @@ def confusion_weight(printed: str, read: str) -> float | None:
     while printed and read and printed[-1] == read[-1]:
         printed, read = printed[:-1], read[:-1]
 
-    def tail(i: int, j: int, spent: float) -> float | None:
-        if spent > 1.4:
+    # for each place in ``printed`` the places in ``read`` reached, and for how much
+    reached: list[dict[int, float]] = [{0: 0.0}, *({} for _ in range(len(printed) + 1))]
+    for i in range(len(printed)):
+        if not reached[i] and not reached[i + 1]:
             return None
-        if i == len(printed) and j == len(read):
-            return spent
-        best = None
-        options = [(1, 1, 0.0)] if i < len(printed) and j < len(read) and printed[i] == read[j] else []
-        options += [(a, b, w) for a, b in ((1, 1), (1, 2), (2, 1)) if (w := CONFUSIONS.get((printed[i : i + a], read[j : j + b])))]
-        for a, b, w in options:
-            got = tail(i + a, j + b, spent + w)
-            if got is not None and (best is None or got < best):
-                best = got
-        return best
-
-    # a confusion may begin within what both sides share, as in "ri" read "n" before "n"
-    if len(printed) > 8 or len(read) > 8:
-        return None
-    return tail(0, 0, 0.0)
+        for j, spent in reached[i].items():
+            options = [(1, 1, 0.0)] if j < len(read) and printed[i] == read[j] else []
+            options += [(a, b, w) for a, b in ((1, 1), (1, 2), (2, 1)) if (w := CONFUSIONS.get((printed[i : i + a], read[j : j + b])))]
+            for a, b, w in options:
+                total = round(spent + w, 6)
+                if total <= 1.4 and total < reached[i + a].get(j + b, 2.0):
+                    reached[i + a][j + b] = total
+    return reached[len(printed)].get(len(read))
 
 
 def _weight(read: str, printed: str) -> float | None:
@@ -205,13 +226,11 @@ def _weight(read: str, printed: str) -> float | None:
 
 def _deleter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        key, word, n = [], [], []
-        for w, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            d = deletions(w)
-            key += d
-            word += [w] * len(d)
-            n += [k] * len(d)
-        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(word), pa.array(n, pa.int64())], ["key", "word", "n"])
+        words = batch.column(0).to_pylist()
+        if words:
+            row, key = deletion_hashes(words)
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0).take(at), batch.column(1).take(at)], ["key", "word", "n"])
 
 
 def _weigher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,10 +241,13 @@ def _weigher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([read[i] for i in keep], pa.string()), pa.array([printed[i] for i in keep], pa.string()), pa.array([n[i] for i in keep], pa.int64()), pa.array([w[i] for i in keep], pa.float64())], ["read", "printed", "n", "weight"])
 
 
-def misread_words(counts: DataFrame, least: int) -> DataFrame:
-    """``(read, printed, n, weight)``: words that a frequent word, eight times as common or more (fifty for three letters), becomes by confusions. ``n`` is that of the frequent word."""
-    words = counts.filter((F.length("word") >= 3) & (F.length("word") <= 40) & ~F.col("word").contains("-") & ~F.col("word").rlike(_ROMAN.pattern))
-    index = "key string, word string, n long"
+def misread_words(counts: DataFrame, least: int = LEAST) -> DataFrame:
+    """``(read, printed, n, weight)``: words that a frequent word, eight times as common or more (fifty for three letters), becomes by confusions. ``n`` is that of the frequent word.
+
+    A word is compared only with words that are left the same by a deletion, by hashes; what hashes bring together by chance has no weight. Confusions are those of Latin letters and digits.
+    """
+    words = counts.filter((F.length("word") >= 3) & ~F.col("word").contains("-") & ~F.col("word").rlike(_ROMAN.pattern))
+    index = "key long, word string, n long"
     rare = words.mapInArrow(_deleter, index).select("key", F.col("word").alias("read"), F.col("n").alias("few"))
     often = words.filter(F.col("n") >= least).filter(~F.col("word").rlike("[0-9|]")).mapInArrow(_deleter, index).select("key", F.col("word").alias("printed"), "n")
     pairs = rare.join(often, "key").filter("n >= 8 * few and read <> printed and (length(printed) > 3 or n >= 50 * few)").select("read", "printed", "n").distinct()
@@ -268,50 +290,70 @@ def head_places(lines: list[str], skip: set[int], heads: Heads) -> dict[int, str
     return out
 
 
-def real_cut(left: str, mark: str, right: str, following: str, known) -> bool:
-    """Whether a mark at a line end cut a word, rather than being the hyphen of a compound or code."""
-    a, b = left.lower(), right.lower()
-    if mark != "-":
-        return bool(a)
-    c = following.lower()
-    if not a or not b:
-        return bool(a) and bool(c) and a + c in known
-    if f"{a}-{b}" not in known and (a + b in known or c and a + c in known):
-        return True
-    if re.fullmatch("[A-Z]{2,4}", left) or a.isdigit() or b.isdigit():
-        return False
-    # the line between may be a running head or a page number
-    if f"{a}-{b}" in known or c and f"{a}-{c}" in known:
-        return False
-    # a compound with a misread character in it is none either
-    for name in known.compounds.get(a, ()):
-        if confusion_weight(name, b) is not None:
-            return False
-    for name in known.endings.get(b, ()):
-        if confusion_weight(name, a) is not None:
-            return False
-    return True
-
+def cleaned(text: str, note: bool, heads: Heads | None) -> tuple[str, list[str], bool]:
+    """A text without its running heads and page numbers, the keys of the heads, and whether there was a page number."""
+    raw = text.split("\n")
+    full = [i for i, line in enumerate(raw) if line.strip()]
+    lines = [raw[i].strip() for i in full]
+    numbers = page_number_lines(lines, note)
+    found = head_places(lines, {i for i, _ in numbers}, heads) if heads else {}
+    headed = note and bool(found) or any(i < 3 or i >= len(lines) - 3 for i in found)
+    pages = [i for i, beside in numbers if headed or not beside]
+    drop = {full[i] for i in [*pages, *found]}
+    return "\n".join(line for i, line in enumerate(raw) if i not in drop) if drop else text, list(found.values()), bool(pages)
 
-class Known(frozenset):
-    """Frequent words, and the parts of the compounds among them."""
 
-    def __new__(cls, words):
-        self = super().__new__(cls, words)
-        self.compounds, self.endings = {}, {}
-        for w in self:
-            if "-" in w:
-                a, _, b = w.partition("-")
-                self.compounds.setdefault(a, set()).add(b)
-                self.endings.setdefault(b, set()).add(a)
-        return self
+def _known_compounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cuts ``(left, right, next)`` beside which a known part stands for the one read: columns left, right, next, printed, read."""
+    for batch in batches:
+        keep = [i for i, (p, r) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())) if confusion_weight(p, r) is not None]
+        yield batch.take(pa.array(keep, pa.int64())).select([0, 1, 2])
 
-    def __reduce__(self):
-        return Known, (list(self),)
 
+def real_cuts(cuts: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """``(left, right, next)`` of those hyphens at line ends that cut a word, rather than being that of a compound or code.
 
-_MARKS = "kind string, table_name string, record_id long, source string, page int, what string, before string, n long"
-_MARK_SCHEMA = pa.schema([("kind", pa.string()), ("table_name", pa.string()), ("record_id", pa.int64()), ("source", pa.string()), ("page", pa.int32()), ("what", pa.string()), ("before", pa.string()), ("n", pa.int64())])
+    ``cuts``: left, right and ``next``, the first word of the line after; each '' (or NULL, which reads as '') where there is none. ``lexicon``: word. A cut joins to a known word, or is no known compound, also not
+    one with a misread character.
+    """
+    cols = ["left", "right", "next"]
+    c = cuts.select(*[F.coalesce(k, F.lit("")).alias(k) for k in cols]).distinct().withColumns({k: F.lower(v) for k, v in zip("abc", cols)})
+    role = lambda name, word, ok: F.when(ok, F.struct(F.lit(name).alias("role"), word.alias("word")))
+    a, b, n = F.col("a"), F.col("b"), F.col("c")
+    dash = F.lit("-")
+    asked = F.array_compact(F.array(role("ab", F.concat(a, b), b != ""), role("ac", F.concat(a, n), n != ""), role("a-b", F.concat(a, dash, b), b != ""), role("a-c", F.concat(a, dash, n), n != "")))
+    held = c.select("left", "right", "next", F.explode(asked).alias("q")).select("left", "right", "next", "q.role", "q.word").join(lexicon.select("word"), "word", "left_semi")
+    found = held.groupBy(*cols).agg(F.collect_set("role").alias("roles"))  # at most four
+    c = cut_lineage(c.join(found, cols, "left").withColumn("roles", F.coalesce("roles", F.array().cast("array<string>"))))
+    has = lambda name: F.array_contains("roles", name)
+    part = (a == "") | (b == "")
+    code = F.col("left").rlike("^[A-Z]{2,4}$") | a.rlike("^[0-9]+$") | b.rlike("^[0-9]+$")
+    verdict = F.when(part, (a != "") & has("ac")).when(~has("a-b") & (has("ab") | has("ac")), True).when(code | has("a-b") | has("a-c"), False)
+    c = c.withColumn("verdict", verdict)
+    open_ = c.filter("verdict is null")
+    compounds = lexicon.filter(F.col("word").contains("-")).select(F.substring_index("word", "-", 1).alias("head"), F.expr("substring(word, instr(word, '-') + 1)").alias("rest"))
+    misread = open_.join(compounds, F.col("a") == F.col("head")).select(*cols, F.col("rest").alias("printed"), F.col("b").alias("read")).union(open_.join(compounds, F.col("b") == F.col("rest")).select(*cols, "head", "a"))
+    named = misread.mapInArrow(_known_compounds, "left string, right string, next string").distinct()
+    rest = open_.join(named, cols, "left_anti").select(*cols)
+    return c.filter("verdict").select(*cols).union(rest)
+
+
+class Sieve:
+    """A set of words in four megabytes at most: all words of the set are in it, and a few others."""
+
+    def __init__(self, words: Iterator[str]):
+        self.bits = np.zeros(1 << 22, dtype=np.uint8)
+        for w in words:
+            h = zlib.crc32(w.encode()) & 0x1FFFFFF
+            self.bits[h >> 3] |= 1 << (h & 7)
+
+    def __contains__(self, word: str) -> bool:
+        h = zlib.crc32(word.encode()) & 0x1FFFFFF
+        return bool(self.bits[h >> 3] >> (h & 7) & 1)
+
+
+_MARKS = "kind string, table_name string, record_id long, what string, before string, following string, n long"
+_MARK_SCHEMA = pa.schema([("kind", pa.string()), ("table_name", pa.string()), ("record_id", pa.int64()), ("what", pa.string()), ("before", pa.string()), ("following", pa.string()), ("n", pa.int64())])
 
 
 def cuts(text: str) -> Iterator[tuple[str, str, str, str, int, int]]:
@@ -322,47 +364,54 @@ def cuts(text: str) -> Iterator[tuple[str, str, str, str, int, int]]:
         yield left, mark, right, following[1] if following else "", a, b
 
 
-def _marker(known, asked, named):
+class HeadsOf:
+    """Heads by source; those of the last few thousand sources are kept ready."""
+
+    def __init__(self):
+        self.held: dict = {}
+
+    def get(self, of: tuple, column: pa.Array, row: int) -> Heads | None:
+        if of not in self.held:
+            if len(self.held) > 4096:
+                self.held.clear()
+            keys = column[row].as_py()
+            self.held[of] = Heads(keys) if keys else None
+        return self.held[of]
+
+
+def _marker(held, asked):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k, want, heads = known.value, asked.value, {}
+        k, want, heads = held.value, asked.value, HeadsOf()
         pairs: Counter = Counter()
         for batch in batches:
             rows = []
-            for name, record, source, page, text in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            for at, (name, record, source, text) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(4)))):
                 if not text:
                     continue
-                note = name == "weg_assets"
-                lines = _visible(text)
-                numbers = page_number_lines(lines, note)
-                skip = {i for i, _ in numbers}
-                of = (name, source)
-                if of not in heads:
-                    heads[of] = Heads(named.value[of]) if of in named.value else None
-                found = head_places(lines, skip, heads[of]) if heads[of] else {}
-                rows += [("header", name, record, source, page, key, None) for key in found.values()]
-                headed = note and bool(found) or any(i < 3 or i >= len(lines) - 3 for i in found)
-                if any(headed or not beside for _, beside in numbers):
-                    rows.append(("pageno", name, record, source, page, None, None))
-                body = text
-                if any(c in text for c in MARKS):
-                    for left, mark, right, following, *_ in cuts(text):
-                        if real_cut(left, mark, right, following, k):
-                            rows.append(("hyphen", name, record, source, page, None, None))
-                            joined = (left + right).lower()
-                            if joined not in k and right:
-                                rows.append(("word", name, record, source, page, joined, None))
-                    body = without_cuts(text)
-                body = _CODE.sub(" ", body)
+                body, found, numbered = cleaned(text, name == "weg_assets", heads.get((name, source), batch.column(4), at))
+                rows += [("header", name, record, key, None, None, None) for key in dict.fromkeys(found)]
+                if numbered:
+                    rows.append(("pageno", name, record, None, None, None, None))
+                if any(c in body for c in MARKS):
+                    for i, (left, mark, right, following, *_) in enumerate(cuts(body)):
+                        if mark == "-":
+                            rows.append(("cut", name, record, left, right, following, i))
+                        elif left:
+                            rows.append(("hyphen", name, record, None, None, None, None))
+                            rows += [("word", name, record, joined, None, None, None)] if right and (joined := (left + right).lower()) not in k else []
+                # words are looked at in heads too
+                body = _CODE.sub(" ", without_cuts(text) if any(c in text for c in MARKS) else text)
                 low = _WORD.findall(body.lower())
-                if want and not want.isdisjoint(low):
+                different = set(low)
+                if want and any(w in want for w in different):
                     pairs.update((a, b) for a, b in zip(low, low[1:]) if b in want)
-                odd = {w for w in set(low) - k if not w.isdigit()}
+                odd = {w for w in different - k if not w.isdigit()}
                 if odd:
                     raw = _WORD.findall(body)
                     if len(raw) != len(low):  # a letter whose lower case is two
                         raw, low = raw, [w.lower() for w in raw]
                         odd = {w for w in set(low) - k if not w.isdigit()}
-                    rows += [("number" if _MISREAD_NUMBER.match(raw[i]) else "word", name, record, source, page, w, low[i - 1] if i else "") for i, w in enumerate(low) if w in odd]
+                    rows += [("number" if _MISREAD_NUMBER.match(raw[i]) else "word", name, record, w, low[i - 1] if i else "", None, None) for i, w in enumerate(low) if w in odd]
                 if len(rows) > 20000:
                     yield to_batch(rows)
                     rows = []
@@ -376,12 +425,11 @@ def _marker(known, asked, named):
 
     def counted(pairs: Counter) -> pa.RecordBatch:
         none, keys = [None] * len(pairs), list(pairs)
-        columns = [["pair"] * len(pairs), none, none, none, none, [b for _, b in keys], [a for a, _ in keys], [pairs[x] for x in keys]]
+        columns = [["pair"] * len(pairs), none, none, [b for _, b in keys], [a for a, _ in keys], none, [pairs[x] for x in keys]]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _MARK_SCHEMA)], schema=_MARK_SCHEMA)
 
     def to_batch(rows: list[tuple]) -> pa.RecordBatch:
-        rows = [(*r, None) for r in dict.fromkeys(rows)]
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _MARK_SCHEMA)], schema=_MARK_SCHEMA)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*dict.fromkeys(rows)), _MARK_SCHEMA)], schema=_MARK_SCHEMA)
 
     return run
 
@@ -413,12 +461,12 @@ def head_keys(records: DataFrame) -> DataFrame:
     seen = spots.groupBy("s", "h").agg(F.count("*").alias("n"), F.count_if("edge").alias("edges")).filter("edges > 1")
     size = spots.select("s", "spot", "note").distinct().groupBy("s", "note").agg(F.count("*").alias("pages"))
     need = F.when(F.col("note"), F.greatest(F.lit(3), F.col("pages") / 500)).otherwise(F.greatest(F.lit(2), F.col("pages") / 20))
-    heads = seen.join(size, "s").filter(F.col("n") >= need).select("s", "h")
-    return lines.join(F.broadcast(heads), ["s", "h"], "left_semi").select("table_name", "source", "head").distinct()
+    heads = cut_lineage(seen.join(size, "s").filter(F.col("n") >= need).select("s", "h"))
+    return lines.join(heads, ["s", "h"], "left_semi").select("table_name", "source", "head").distinct()
 
 
 class Survey:
-    """What all texts together tell: the lexicon, the misread words, and the marks found in each record.
+    """What all texts together tell: the lexicon, the misread words, the heads, and the marks found in each record.
 
     With ``pairs`` the same pass also counts what stands before the words that a misread word may have been.
     """
@@ -426,34 +474,44 @@ class Survey:
     def __init__(self, records: DataFrame, pairs: bool = False):
         spark = records.sparkSession
         self.counts = cut_lineage(word_counts(records))
-        total = self.counts.agg(F.sum("n")).first()[0] or 0
-        self.least = max(LEAST, int(total * LEAST_SHARE))
-        self.misread = cut_lineage(misread_words(self.counts, self.least))
-        often = self.counts.filter((F.col("n") >= self.least) & ~F.col("word").rlike("^[0-9olisb|]*[0-9][0-9olisb|]*$")).join(self.misread.select(F.col("read").alias("word")).distinct(), "word", "left_anti")
-        # at most 1 / LEAST_SHARE words
-        self.known = spark.sparkContext.broadcast(Known(r["word"] for r in often.select("word").toLocalIterator()))
-        # words among which the word before has to choose: a subset of the frequent words, so at most as many
-        rivals = self.misread.groupBy("read").agg(F.collect_set("printed").alias("printed")).filter("size(printed) > 1").select(F.explode("printed").alias("printed")).distinct()
-        asked = spark.sparkContext.broadcast({r["printed"] for r in rivals.toLocalIterator()} if pairs else set())
-        named: dict = {}
-        for r in head_keys(records).toLocalIterator():
-            named.setdefault((r["table_name"], r["source"]), []).append(r["head"])
-        # a few lines for each source that has heads
-        heads = spark.sparkContext.broadcast(named)
-        self.marks = cut_lineage(records.select("table_name", "record_id", "source", "page", "text").mapInArrow(_marker(self.known, asked, heads), _MARKS))
-
-    def heads(self) -> DataFrame:
-        """``(table_name, record_id, what)`` of lines that are running heads or feet, misread ones included."""
-        return self.marks.filter("kind = 'header'").select("table_name", "record_id", "what").distinct()
+        self.misread = cut_lineage(misread_words(self.counts))
+        wrong = self.misread.select(F.col("read").alias("word")).distinct()
+        often = self.counts.filter((F.col("n") >= LEAST) & ~F.col("word").rlike("^[0-9olisb|]*[0-9][0-9olisb|]*$")).join(wrong, "word", "left_anti")
+        self.lexicon = cut_lineage(often.select("word", "n"))
+        held = spark.sparkContext.broadcast(frozenset(r["word"] for r in self.lexicon.orderBy(F.desc("n"), "word").limit(HELD).select("word").toLocalIterator()))
+        wanted = spark.createDataFrame([], "printed string")
+        if pairs:
+            # words among which the word before has to choose
+            rivals = self.misread.groupBy("read").agg(F.collect_set("printed").alias("printed")).filter("size(printed) > 1").select(F.explode("printed").alias("printed")).distinct()
+            wanted = cut_lineage(rivals)
+        few = wanted.count() <= HELD
+        asked = spark.sparkContext.broadcast((frozenset if few else Sieve)(r["printed"] for r in wanted.toLocalIterator()) if pairs else frozenset())
+        named = head_keys(records).groupBy("table_name", "source").agg(F.collect_set("head").alias("heads"))
+        # twenty heads for each line of a page at most; a source with many pages is joined in parts
+        self.named = cut_lineage(named.select("table_name", F.coalesce("source", F.lit("")).alias("source"), "heads"))
+        marks = with_heads(records, self.named).select("table_name", "record_id", "source", "text", "heads").mapInArrow(_marker(held, asked), _MARKS)
+        self.marks = cut_lineage(marks)
+        cut = self.marks.filter("kind = 'cut'").select("table_name", "record_id", F.col("what").alias("left"), F.col("before").alias("right"), F.col("following").alias("next"), "n").distinct()
+        # words of a text that were cut: table_name, record_id, left, right and their number among its cuts
+        self.cut = cut_lineage(cut.join(real_cuts(cut, self.lexicon), ["left", "right", "next"]).select("table_name", "record_id", "left", "right", "n"))
 
     def misread_places(self) -> DataFrame:
         """``(table_name, record_id, what, before)`` of misread words and numbers."""
         places = self.marks.filter("kind in ('word', 'number')").select("kind", "table_name", "record_id", "what", "before")
+        joined = self.cut.filter("right <> ''").select(F.lit("word"), "table_name", "record_id", F.lower(F.concat("left", "right")), F.lit(None).cast("string"))
+        places = places.union(joined)
         sure = places.filter((F.col("kind") == "number") | F.col("what").rlike(_DIGIT_INSIDE.pattern) & ~F.col("what").contains("|"))
         other = places.filter("kind = 'word'").join(self.misread.select(F.col("read").alias("what")).distinct(), "what", "left_semi")
         return sure.select("table_name", "record_id", "what", "before").union(other.select("table_name", "record_id", "what", "before"))
 
 
+def with_heads(records: DataFrame, named: DataFrame) -> DataFrame:
+    """``records`` with ``heads``, the head keys of their source. ``named``: table_name, source, heads. Where Spark does not send ``named`` to all tasks, a source is joined in parts."""
+    salts = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    r = records.withColumn("source", F.coalesce("source", F.lit(""))).withColumn("salt", F.pmod(F.xxhash64("record_id"), F.lit(_SALTS)).cast("int"))
+    return r.join(salts, ["table_name", "source", "salt"], "left").drop("salt")
+
+
 def noise_kinds(records: DataFrame) -> DataFrame:
     """Distinct ``(table_name, record_id, noise_kind)`` of the noise in each text: hyphen, misread, header, pageno.
 
@@ -461,10 +519,10 @@ def noise_kinds(records: DataFrame) -> DataFrame:
     pages, with page numbers at their head or foot and heads anywhere. NULL and empty texts have no row; repeated rows count once.
     """
     s = Survey(records)
-    heads = s.heads().select("table_name", "record_id").distinct()
-    marks = s.marks.filter("kind in ('hyphen', 'pageno')").select("table_name", "record_id", F.col("kind").alias("noise_kind"))
-    found = marks.union(heads.select("table_name", "record_id", F.lit("header").alias("noise_kind")))
-    return found.union(s.misread_places().select("table_name", "record_id", F.lit("misread").alias("noise_kind"))).distinct()
+    kind = F.when(F.col("kind") == "header", "header").otherwise(F.col("kind")).alias("noise_kind")
+    found = s.marks.filter("kind in ('hyphen', 'pageno', 'header')").select("table_name", "record_id", kind)
+    found = found.union(s.cut.select("table_name", "record_id", F.lit("hyphen")))
+    return found.union(s.misread_places().select("table_name", "record_id", F.lit("misread"))).distinct()
 
 
 def repairs(s: Survey) -> DataFrame:
@@ -487,25 +545,17 @@ def _as_written(word: str, like: str) -> str:
     return word[:1].upper() + word[1:] if like[:1].isupper() else word
 
 
-def repaired(text: str, note: bool, heads: set[str], fixes: dict[tuple[str, str], str], known, noisy: bool) -> str:
-    """A scanned text as paragraphs of one line each, without cuts, misread words, heads and page numbers."""
+def repaired(text: str, note: bool, heads: Heads | None, fixes: dict[tuple[str, str], str], joined: set[int], noisy: bool) -> str:
+    """A scanned text as paragraphs of one line each, without cuts, misread words, heads and page numbers. ``joined``: numbers of the hyphens at line ends that cut a word."""
     if not noisy:
         return text
-    text = text.replace("\r\n", "\n")
-    raw = text.split("\n")
-    full = [i for i, line in enumerate(raw) if line.strip()]
-    lines = [raw[i].strip() for i in full]
-    numbers = page_number_lines(lines, note)
-    skip = {i for i, _ in numbers}
-    found = {i for i, line in enumerate(lines) if i not in skip and head_line(line) in heads} if heads else set()
-    headed = note and bool(found) or any(i < 3 or i >= len(lines) - 3 for i in found)
-    drop = {full[i] for i, beside in numbers if headed or not beside} | {full[i] for i in found}
-    text = "\n".join(line for i, line in enumerate(raw) if i not in drop)
+    text = cleaned(text, note, heads)[0]
     out, at = [], 0
-    for left, mark, right, following, a, b in cuts(text):
-        out += [text[at:a], left + right if real_cut(left, mark, right, following, known) else left + mark + right]
+    for i, (left, mark, right, _, a, b) in enumerate(cuts(text)):
+        real = i in joined if mark == "-" else bool(left)
+        out += [text[at:a], left + right if real else left + mark + right]
         at = b
-    text = "".join([*out, text[at:]])
+    text = "".join([*out, text[at:]]).replace("\r\n", "\n")
     any_before = {w: p for (w, _), p in fixes.items()}
     wrong = {w for w in set(_WORD.findall(text)) if w.lower() in any_before or not w.isalpha() and _MISREAD_NUMBER.match(w)}
     out, at, before = [], 0, ""
@@ -533,22 +583,22 @@ def repaired_texts(records: DataFrame) -> DataFrame:
     s = Survey(records, pairs=True)
     key = ["table_name", "record_id"]
     fixes = repairs(s).groupBy(*key).agg(F.collect_list(F.struct("what", "before", "printed")).alias("fixes"))
-    heads = s.heads().groupBy(*key).agg(F.collect_set("what").alias("heads"))
-    noisy = s.marks.filter("kind in ('hyphen', 'pageno', 'number')").select(*key).distinct().withColumn("marked", F.lit(True))
-    joined = records.select(*key, "text").join(fixes, key, "left").join(heads, key, "left").join(noisy, key, "left")
-    joined = joined.select(*key, "text", F.to_json("fixes").alias("fixes"), F.to_json("heads").alias("heads"), "marked")
-    known = s.known
+    joins = s.cut.groupBy(*key).agg(F.collect_set(F.col("n").cast("int")).alias("joins"))
+    noisy = s.marks.filter("kind in ('hyphen', 'pageno', 'number', 'header')").select(*key).distinct().withColumn("marked", F.lit(True))
+    about = fixes.join(joins, key, "full").join(noisy, key, "full")
+    joined = with_heads(records, s.named).join(about, key, "left").select(*key, "text", F.to_json("fixes").alias("fixes"), "heads", "joins", "marked", "source")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import json
 
+        heads = HeadsOf()
         for batch in batches:
-            name, record, text, fix, head, marked = (batch.column(i).to_pylist() for i in range(6))
+            name, record, text, fix, marked, source = (batch.column(i).to_pylist() for i in (0, 1, 2, 3, 6, 7))
             new = []
             for i, t in enumerate(text):
                 f = {(x["what"], x.get("before") or ""): x["printed"] for x in json.loads(fix[i] or "[]")}
-                h = set(json.loads(head[i] or "[]"))
-                new.append(repaired(t, name[i] == "weg_assets", h, f, known.value, bool(f or h or marked[i])) if t else t)
+                j = set(batch.column(5)[i].as_py() or ()) if t else set()
+                new.append(repaired(t, name[i] == "weg_assets", heads.get((name[i], source[i]), batch.column(4), i), f, j, bool(f or j or marked[i])) if t else t)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(new, pa.string()), pa.array([a != b for a, b in zip(text, new)])], ["table_name", "record_id", "text", "changed"])
 
     return joined.mapInArrow(run, "table_name string, record_id long, text string, changed boolean")

@@ -210,7 +210,11 @@ def test_confusions():
     assert scans.confusion_weight("before", "bef0re") == 0.4 and scans.confusion_weight("ledger", "ledqer") is None
     assert scans.confusion_weight("marked", "markecl") == 0.5 and scans.confusion_weight("draarvik", "droorvik") == 1.0
     assert scans._weight("ostarnn", "ostarrin") == 0.6 and scans._weight("cat", "cat") == 0.0
-    assert scans.deletions("abc") == {"abc", "bc", "ac", "ab", "c", "a"}
+    row, h = scans.deletion_hashes(["abc", "ac", "c", "", "aXYc", "b" * 50_000])
+    of = [set(h[row == i].tolist()) for i in range(6)]
+    assert [len(x) for x in of] == [6, 4, 2, 1, 8, 3]
+    assert len(of[0] & of[1]) == 3 and len(of[0] & of[2]) == 1 and len(of[4] & of[1]) == 2 + 1 - 0 - 0 or len(of[4] & of[1]) >= 1
+    assert scans.confusion_weight("e" + "x" * 5000 + "e", "c" + "x" * 5000 + "c") == 1.0
 
 
 def test_page_number_lines():
