@@ -55,7 +55,8 @@ _ROMAN = re.compile(r"^[ivxlcdm]+$")
 _READ_FOR_DIGITS = "lLiIıİoOsSſbB"
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 _NO_LETTERS = bytes(i for i in range(128) if not chr(i).isalpha())
-_SHEET = re.compile(r"\s*[-–—]+\s*(?:sheet|page|p\.|seite|blatt)\s*\S{1,6}$|\s+[\dlIOSB]{1,6}$|^[\dlIOSB]{1,6}\s+", re.I)
+_SHEET_END = re.compile(r"\s*[-–—]+\s*(?:sheet|page|p\.|seite|blatt)\s*\S{1,6}$|\s+[\dlIOSB]{1,6}$", re.I)
+_SHEET_START = re.compile(r"^[\dlIOSB]{1,6}\s+", re.I)
 
 #: Least count of a frequent word.
 LEAST = 8
@@ -70,7 +71,8 @@ def head_key(line: str) -> str:
     s = line.strip()
     # without a dash or a digit (or what is read for one) at either end there is no page number
     if s and (s[-1].isdecimal() or s[0].isdecimal() or s[-1] in _READ_FOR_DIGITS or s[0] in _READ_FOR_DIGITS or "-" in s or "–" in s or "—" in s):
-        s = _SHEET.sub("", s)
+        s = _SHEET_START.sub("", s, count=1)
+        s = s[:-64] + _SHEET_END.sub("", s[-64:])
     return s.encode().translate(_LOWER, _NO_LETTERS).decode() if s.isascii() else re.sub(r"[\W\d_]+", "", s).lower()
 
 
@@ -99,14 +101,18 @@ def edits(a: str, b: str, most: int) -> bool:
 
 
 class Heads:
-    """The head keys of one source, and whether a line is one of them, misread ones included."""
+    """The head keys of one source, and whether a line is one of them, misread ones included unless ``exact``."""
 
-    def __init__(self, keys):
+    def __init__(self, keys, exact: bool = False):
         self.keys = frozenset(keys)
-        self.longest = max(map(len, self.keys))
+        near = {} if exact else {k: max(1, len(k) // 8) for k in self.keys}
+        self.by_length: dict[int, list[tuple[str, int]]] = {}
+        for k, most in near.items():
+            for n in range(len(k) - most, len(k) + most + 1):
+                self.by_length.setdefault(n, []).append((k, most))
 
     def has(self, key: str) -> bool:
-        return key in self.keys or any(edits(head, key, max(1, len(head) // 8)) for head in self.keys)
+        return key in self.keys or len(key) in self.by_length and any(edits(head, key, most) for head, most in self.by_length[len(key)])
 
 
 def breaks(text: str) -> Iterator[tuple[int, int, str, str, str]]:
@@ -266,7 +272,9 @@ def page_number_lines(lines: list[str], anywhere: bool) -> list[tuple[int, bool]
     out = []
     n = len(lines)
     for i in range(n) if anywhere else sorted({i for i in (0, 1, n - 2, n - 1) if 0 <= i < n}):
-        s = re.sub(r"\s+", " ", lines[i])
+        s = " ".join(lines[i].split())
+        if len(s) > 40:
+            continue
         if _PAGENO.match(s):
             out.append((i, False))
         elif _BARE.match(s):
@@ -275,17 +283,16 @@ def page_number_lines(lines: list[str], anywhere: bool) -> list[tuple[int, bool]
                 continue
             edge = min(i, n - 1 - i)
             inner = lines[i + 1 if i < n / 2 else i - 1] if n > 1 else ""
-            if not _BARE.match(re.sub(r"\s+", " ", inner)):
+            if not _BARE.match(" ".join(inner.split())):
                 out.append((i, edge > 0))
     return out
 
 
 def head_places(lines: list[str], skip: set[int], heads: Heads) -> dict[int, str]:
     """Places and keys of lines that are running heads or feet, wherever in the text they stand."""
-    longest = heads.longest + max(1, heads.longest // 8)
     out = {}
     for i, line in enumerate(lines):
-        if i not in skip and (key := head_line(line)) and len(key) <= longest and heads.has(key):
+        if i not in skip and (key := head_line(line)) and heads.has(key):
             out[i] = key
     return out
 
@@ -392,7 +399,8 @@ def _marker(held, asked):
                 rows += [("header", name, record, key, None, None, None) for key in dict.fromkeys(found)]
                 if numbered:
                     rows.append(("pageno", name, record, None, None, None, None))
-                if any(c in body for c in MARKS):
+                broken = _BREAK.search(text)
+                if broken:
                     for i, (left, mark, right, following, *_) in enumerate(cuts(body)):
                         if mark == "-":
                             rows.append(("cut", name, record, left, right, following, i))
@@ -400,7 +408,7 @@ def _marker(held, asked):
                             rows.append(("hyphen", name, record, None, None, None, None))
                             rows += [("word", name, record, joined, None, None, None)] if right and (joined := (left + right).lower()) not in k else []
                 # words are looked at in heads too
-                body = _CODE.sub(" ", without_cuts(text) if any(c in text for c in MARKS) else text)
+                body = _CODE.sub(" ", without_cuts(text) if broken else text)
                 low = _WORD.findall(body.lower())
                 different = set(low)
                 if want and any(w in want for w in different):
@@ -452,17 +460,16 @@ def head_keys(records: DataFrame) -> DataFrame:
     """``(table_name, source, head)``: lines that stand anywhere on at least two pages, and a twentieth of the pages, of a source, and on two of these
     among the first or last three lines, as a sentence may come again too; for notes anywhere on three and a five-hundredth of the notes.
 
-    Lines are counted by hashes of 64 bits; only the texts of those that are heads are read once more.
+    Lines are counted by hashes of 64 bits.
     """
     lines = records.select("table_name", "record_id", "source", "page", "text").mapInArrow(_line_keys, "table_name string, source string, spot long, head string, edge boolean")
     lines = lines.withColumn("s", F.xxhash64("table_name", "source")).withColumn("h", F.xxhash64("head"))
     note = F.col("table_name") == "weg_assets"
-    spots = lines.groupBy("s", "h", "spot", note.alias("note")).agg(F.max("edge").alias("edge"))
-    seen = spots.groupBy("s", "h").agg(F.count("*").alias("n"), F.count_if("edge").alias("edges")).filter("edges > 1")
+    spots = lines.groupBy("s", "h", "spot", note.alias("note")).agg(F.max("edge").alias("edge"), F.first("head").alias("head"), F.first("table_name").alias("table_name"), F.first("source").alias("source"))
+    seen = spots.groupBy("s", "h").agg(F.count("*").alias("n"), F.count_if("edge").alias("edges"), *[F.first(c).alias(c) for c in ("head", "table_name", "source")]).filter("edges > 1")
     size = spots.select("s", "spot", "note").distinct().groupBy("s", "note").agg(F.count("*").alias("pages"))
     need = F.when(F.col("note"), F.greatest(F.lit(3), F.col("pages") / 500)).otherwise(F.greatest(F.lit(2), F.col("pages") / 20))
-    heads = cut_lineage(seen.join(size, "s").filter(F.col("n") >= need).select("s", "h"))
-    return lines.join(heads, ["s", "h"], "left_semi").select("table_name", "source", "head").distinct()
+    return seen.join(size, "s").filter(F.col("n") >= need).select("table_name", "source", "head")
 
 
 class Survey:
@@ -585,20 +592,20 @@ def repaired_texts(records: DataFrame) -> DataFrame:
     fixes = repairs(s).groupBy(*key).agg(F.collect_list(F.struct("what", "before", "printed")).alias("fixes"))
     joins = s.cut.groupBy(*key).agg(F.collect_set(F.col("n").cast("int")).alias("joins"))
     noisy = s.marks.filter("kind in ('hyphen', 'pageno', 'number', 'header')").select(*key).distinct().withColumn("marked", F.lit(True))
-    about = fixes.join(joins, key, "full").join(noisy, key, "full")
-    joined = with_heads(records, s.named).join(about, key, "left").select(*key, "text", F.to_json("fixes").alias("fixes"), "heads", "joins", "marked", "source")
+    heads = s.marks.filter("kind = 'header'").groupBy(*key).agg(F.collect_set("what").alias("heads"))
+    about = fixes.join(joins, key, "full").join(noisy, key, "full").join(heads, key, "full")
+    joined = records.select(*key, "text").join(about, key, "left").select(*key, "text", F.to_json("fixes").alias("fixes"), "heads", "joins", "marked")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import json
 
-        heads = HeadsOf()
         for batch in batches:
-            name, record, text, fix, marked, source = (batch.column(i).to_pylist() for i in (0, 1, 2, 3, 6, 7))
+            name, record, text, fix, heads, joins, marked = (batch.column(i).to_pylist() for i in range(7))
             new = []
             for i, t in enumerate(text):
-                f = {(x["what"], x.get("before") or ""): x["printed"] for x in json.loads(fix[i] or "[]")}
-                j = set(batch.column(5)[i].as_py() or ()) if t else set()
-                new.append(repaired(t, name[i] == "weg_assets", heads.get((name[i], source[i]), batch.column(4), i), f, j, bool(f or j or marked[i])) if t else t)
+                f = {(x["what"], x.get("before") or ""): x["printed"] for x in json.loads(fix[i])} if fix[i] else {}
+                noisy = bool(f or joins[i] or marked[i])
+                new.append(repaired(t, name[i] == "weg_assets", Heads(heads[i], True) if heads[i] else None, f, set(joins[i] or ()), noisy) if t else t)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(new, pa.string()), pa.array([a != b for a, b in zip(text, new)])], ["table_name", "record_id", "text", "changed"])
 
     return joined.mapInArrow(run, "table_name string, record_id long, text string, changed boolean")
