@@ -467,7 +467,9 @@ def head_keys(records: DataFrame) -> DataFrame:
     note = F.col("table_name") == "weg_assets"
     spots = lines.groupBy("s", "h", "spot", note.alias("note")).agg(F.max("edge").alias("edge"), F.first("head").alias("head"), F.first("table_name").alias("table_name"), F.first("source").alias("source"))
     seen = spots.groupBy("s", "h").agg(F.count("*").alias("n"), F.count_if("edge").alias("edges"), *[F.first(c).alias(c) for c in ("head", "table_name", "source")]).filter("edges > 1")
-    size = spots.select("s", "spot", "note").distinct().groupBy("s", "note").agg(F.count("*").alias("pages"))
+    spot = F.when(note, F.col("record_id")).otherwise(F.col("page").cast("long")).alias("spot")
+    seen_pages = records.filter(F.trim("text") != "").select(F.xxhash64("table_name", "source").alias("s"), spot, note.alias("note")).distinct()
+    size = seen_pages.groupBy("s", "note").agg(F.count("*").alias("pages"))
     need = F.when(F.col("note"), F.greatest(F.lit(3), F.col("pages") / 500)).otherwise(F.greatest(F.lit(2), F.col("pages") / 20))
     return seen.join(size, "s").filter(F.col("n") >= need).select("table_name", "source", "head")
 
