@@ -50,6 +50,11 @@ def p5_values(spark, d):
     return units.common_units(table(spark, d, "weg_assets"))
 
 
+def p5_masked(spark, d):
+    """How well units that are known are told without them."""
+    return units.masked_accuracy(table(spark, d, "weg_assets"))
+
+
 def p5_inferred(spark, d):
     """How many bare numbers were given which unit, and how many of them doubtfully."""
     v = units.common_units(table(spark, d, "weg_assets")).filter("unit_source = 'inferred'")
@@ -485,7 +490,7 @@ def quote_fold(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        p2_found, p2_by_month, p4_found, p4_assets, p4_sections, p4_fields, p5_found, p5_values, p5_inferred,
+        p2_found, p2_by_month, p4_found, p4_assets, p4_sections, p4_fields, p5_found, p5_values, p5_inferred, p5_masked,
         laydown_prefix_join, laydown_filtered, laydown_chinese, laydown_linked, capability_view, laydown_view, laydown_specs, flatten_first_wins,
         catalog_search, catalog_point, origin_filter, origin_filter_limit, origin_filter_source, catalog_sample, json_path_counts, category_breakdown, category_of_origin, share_of_total, json_sections, json_section_fetch,
         search_units, unit_point, hub_with_children, units_for_item_semi, inventory_distinct, inventory_of_service, role_breakdown, theater_breakdown,

@@ -46,6 +46,41 @@ def test_orphans_equal_a_plain_search(spark, seed):
     assert {tuple(x) for x in got.collect()} == orphans(refs, targets)
 
 
+def test_json_is_told_as_by_json(spark):
+    r = random.Random(6)
+    docs = [" ", '"\\u12g4"', '"\\\\"', "01", "-", "[1 2]", "[}", '{"a":1,}', '{"a" "b"}', "[:]", '{"a":"b":1}', "[]]", "NaN", "\ufeff[]", '{"a":{},"b":[{}]}', '"a\nb"']
+    for _ in range(1500):
+        t = json.dumps(document(r), ensure_ascii=r.random() < 0.5)
+        for _ in range(r.choice([0, 1, 2])):
+            k = r.randrange(len(t) + 1)
+            t = t[:k] + r.choice(['"', "{", "}", "[", "]", ",", ":", "\\", "1", "-", ".", "e", " ", "null", "\x01", "\\u12"]) + t[k + r.choice([0, 1]) :]
+        docs.append(t)
+
+    def told(t):
+        def never(_):
+            raise ValueError
+
+        try:
+            return True, json.loads(t, parse_constant=never)
+        except ValueError:
+            return False, None
+
+    for t, got in zip(docs, nested.Tokens(docs).valid().tolist()):
+        ok, value = told(t)
+        assert ok == got, t
+        assert not ok or nested.loads(t, lambda x: int(x) if x.lstrip("-").isdigit() else float(x)) == value, t
+
+
+def test_depth_and_size_of_numbers_have_no_limit(spark):
+    deep = "[" * 100_000 + '{"x": 1}' + "]" * 100_000
+    long = '{"a": [{"n": ' + "7" * 5000 + "}]}"
+    speed = '{"System": ' + '{"a": ' * 30_000 + '{"Speed (km/h)": 5, "Range (km)": 123456789012345678}' + "}" * 30_000 + "}"
+    df = spark.createDataFrame([(1, deep), (2, long), (3, speed), (4, "[" * 50_000)], "asset_seq long, dynamic_payload string")
+    got = {(x["asset_seq"], len(x["object_path"])) for x in nested.flat_objects(df).collect()}
+    assert got == {(1, 100_000 * 6 - 3), (2, len("a > [0]"))}
+    assert {tuple(x) for x in units.given_values(df).collect()} == {(3, "speed", 5), (3, "range", 123456789012345678)}
+
+
 def test_orphans_of_empty_tables(spark):
     none, some = spark.createDataFrame([], REFS), spark.createDataFrame([("t", 1, "7", T0)], REFS)
     targets = spark.createDataFrame([], TARGETS)
