@@ -7,7 +7,7 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.tables import cut_lineage
@@ -56,9 +56,8 @@ def source_rates(counts: DataFrame, targets: DataFrame, size: float = 0.5) -> Da
     """
     per = counts.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("documents"))
     want = targets.filter("source is not null").groupBy("source").agg(F.coalesce(F.max("target_share"), F.lit(0.0)).alias("target_share"), F.coalesce(F.max("max_repeats"), F.lit(0)).alias("max_repeats"))
-    # a row for each source, so that the window over all of them is small; texts are tokenized once
-    j = per.join(want, "source", "full").withColumn("all_tokens", F.coalesce(F.sum("tokens").over(Window.partitionBy()), F.lit(0)))
-    j = j.filter("target_share is not null")
+    total = per.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("all_tokens"))  # one row
+    j = want.join(per, "source", "left").crossJoin(total)
     tokens = F.coalesce("tokens", F.lit(0)).cast("long")
     wanted = F.col("target_share") * F.lit(size) * F.col("all_tokens")
     return j.select(
@@ -73,23 +72,28 @@ def source_rates(counts: DataFrame, targets: DataFrame, size: float = 0.5) -> Da
     )
 
 
-def mixed_documents(counts: DataFrame, targets: DataFrame, size: float = 0.5, seed: int = 7) -> DataFrame:
-    """``(doc_id, source, tokens, copies)`` of every document in the mix.
+def _copies(seed: int):
+    draw = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    return F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("long")
 
-    A document is used ``floor(rate)`` times, and once more with a probability equal to the rest, decided by a hash of ``seed`` and its id: the
-    same input gives the same mix whatever the partitioning. Documents without tokens and those used 0 times have no row.
+
+def mixed_documents(docs: DataFrame, rates: DataFrame, seed: int = 7) -> DataFrame:
+    """The mix: ``(doc_id, source, copy, text)``, a row for each copy of each document, ``copy`` from 1.
+
+    ``docs``: doc_id, source, text; ``rates``: source and rate, as of ``source_rates``. A document is used ``floor(rate)`` times, and once more with a probability equal to the rest, decided
+    by a hash of ``seed`` and its id: the same input gives the same mix whatever the partitioning. NULL and empty texts, documents of other sources and those used 0 times have no row.
     """
-    rates = F.broadcast(source_rates(counts, targets, size).select("source", "rate"))  # a row for each source of the targets
-    draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    copies = F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("long")
-    return counts.filter("tokens > 0").join(rates, "source").select("doc_id", "source", "tokens", copies.alias("copies")).filter("copies > 0")
+    d = docs.select("doc_id", "source", "text").filter("text <> ''").join(rates.select("source", "rate"), "source")
+    d = d.withColumn("copies", _copies(seed)).filter("copies > 0")
+    return d.select("doc_id", "source", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"), "text")
 
 
 def reached_shares(counts: DataFrame, targets: DataFrame, size: float = 0.5, seed: int = 7) -> DataFrame:
-    """What each source gives to the mix: documents, copies, tokens, its share of the mix and the difference from its target."""
+    """What each source gives to the mix: documents, copies, the most of one document, tokens, its share of the mix and the difference from its target. ``counts`` comes from ``token_counts``."""
     counts = cut_lineage(counts)
-    got = mixed_documents(counts, targets, size, seed).groupBy("source").agg(F.count("*").alias("used"), F.sum("copies").alias("copies"), F.sum(F.col("copies") * F.col("tokens")).alias("mix_tokens"))
-    j = source_rates(counts, targets, size).join(got, "source", "left").fillna(0, ["used", "copies", "mix_tokens"])
+    mixed = counts.filter("tokens > 0").join(source_rates(counts, targets, size).select("source", "rate"), "source").withColumn("copies", _copies(seed)).filter("copies > 0")
+    got = mixed.groupBy("source").agg(F.count("*").alias("used"), F.sum("copies").alias("copies"), F.max("copies").alias("most"), F.sum(F.col("copies") * F.col("tokens")).alias("mix_tokens"))
+    j = source_rates(counts, targets, size).join(got, "source", "left").fillna(0, ["used", "copies", "most", "mix_tokens"])
     total = got.agg(F.sum("mix_tokens").alias("mix_size"))
     share = F.when(F.col("mix_size") > 0, F.col("mix_tokens") / F.col("mix_size")).otherwise(F.lit(0.0))
-    return j.crossJoin(F.broadcast(total)).select("source", "documents", "used", "copies", "tokens", "mix_tokens", "rate", "short", F.round("target_share", 6).alias("target_share"), F.round(share, 6).alias("share"), F.round(share - F.col("target_share"), 6).alias("difference"))
+    return j.crossJoin(total).select("source", "documents", "used", "copies", "most", "tokens", "mix_tokens", "rate", "short", F.round("target_share", 6).alias("target_share"), F.round(share, 6).alias("share"), F.round(share - F.col("target_share"), 6).alias("difference"))

