@@ -54,13 +54,14 @@ def source_rates(counts: DataFrame, targets: DataFrame, size: float = 0.5) -> Da
     count towards the size but are in no mix. A source named more than once in ``targets`` counts with its largest share; a NULL
     share or max_repeats is 0.
     """
-    per = counts.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("documents"))
+    per = cut_lineage(counts.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("documents")))  # texts are tokenized once
     want = targets.filter("source is not null").groupBy("source").agg(F.coalesce(F.max("target_share"), F.lit(0.0)).alias("target_share"), F.coalesce(F.max("max_repeats"), F.lit(0)).alias("max_repeats"))
     total = per.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("all_tokens"))  # one row
     j = want.join(per, "source", "left").crossJoin(total)
     tokens = F.coalesce("tokens", F.lit(0)).cast("long")
     wanted = F.col("target_share") * F.lit(size) * F.col("all_tokens")
-    return j.select(
+    # written, so that Spark knows whether it is small enough to go to all tasks; else large sources are split as skew
+    return cut_lineage(j.select(
         "source",
         "target_share",
         "max_repeats",
@@ -69,7 +70,7 @@ def source_rates(counts: DataFrame, targets: DataFrame, size: float = 0.5) -> Da
         wanted.alias("wanted"),
         F.when(tokens == 0, F.lit(0.0)).otherwise(F.least(F.col("max_repeats").cast("double"), wanted / tokens)).alias("rate"),
         (tokens * F.col("max_repeats") < wanted).alias("short"),
-    )
+    ))
 
 
 def _copies(seed: int):

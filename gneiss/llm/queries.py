@@ -74,9 +74,7 @@ def p7_found(spark, d):
 
 def p7_mix(spark, d):
     """The copies of documents that make the mix, with their text."""
-    from gneiss.tables import cut_lineage
-
-    rates = mix.source_rates(cut_lineage(_counts(spark, d)), table(spark, d, "mix_targets"))
+    rates = mix.source_rates(_counts(spark, d), table(spark, d, "mix_targets"))
     return mix.mixed_documents(table(spark, d, "documents"), rates)
 
 
