@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from gneiss.functions import codes, scenario, text
+from gneiss.operators.carry import carry
 from gneiss.operators import catalog, chunking, hub, laydown, metrics, nested, references, retrieval, stores, units
 from gneiss.sources import articles, layout
 from gneiss.tables import table
@@ -388,18 +389,15 @@ def line_classify(spark, d):
 
 def carry_state(spark, d):
     """For every line of a document the last line so far that begins a sentence with "In" or "For", cleared by blank lines."""
-    w = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     opens = F.col("line").rlike("^(In|For) ")
-    state = articles.carried(F.when(opens, F.col("line_no")), opens | (F.col("line") == ""), w)
-    return _lines(spark, d).select("doc_id", "line_no", state.alias("carried"))
+    state = F.when(opens | (F.col("line") == ""), F.struct(F.when(opens, F.col("line_no")).alias("v")))
+    return carry(_lines(spark, d), "doc_id", "line_no", 4096, last={"state": state}).select("doc_id", "line_no", F.col("state.v").alias("carried"))
 
 
 def segment_runs(spark, d):
     """Runs of short and of long lines in each document."""
-    w = Window.partitionBy("doc_id").orderBy("line_no")
-    x = _lines(spark, d).withColumn("short", F.length("line") < 80)
-    x = x.withColumn("begins", F.coalesce((F.col("short") != F.lag("short").over(w)).cast("int"), F.lit(1)))
-    x = x.withColumn("run", F.sum("begins").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    x = carry(_lines(spark, d).withColumn("short", F.length("line") < 80), "doc_id", "line_no", 4096, before={"was": F.col("short")})
+    x = carry(x, "doc_id", "line_no", 4096, total={"run": F.coalesce((F.col("short") != F.col("was")).cast("int"), F.lit(1))})
     return x.groupBy("doc_id", "run").agg(F.count("*").alias("lines"), F.min("line_no").alias("first"))
 
 
