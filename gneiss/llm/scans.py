@@ -596,7 +596,9 @@ def repaired_texts(records: DataFrame) -> DataFrame:
     noisy = s.marks.filter("kind in ('hyphen', 'pageno', 'number', 'header')").select(*key).distinct().withColumn("marked", F.lit(True))
     heads = s.marks.filter("kind = 'header'").groupBy(*key).agg(F.collect_set("what").alias("heads"))
     about = fixes.join(joins, key, "full").join(noisy, key, "full").join(heads, key, "full")
-    joined = records.select(*key, "text").join(about, key, "left").select(*key, "text", F.to_json("fixes").alias("fixes"), "heads", "joins", "marked")
+    # written, so that Spark knows its size: a small table goes to the texts, and a large one is joined with them by shuffle
+    about = cut_lineage(about.select(*key, F.to_json("fixes").alias("fixes"), "heads", "joins", "marked"))
+    joined = records.select(*key, "text").join(about, key, "left").select(*key, "text", "fixes", "heads", "joins", "marked")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import json
