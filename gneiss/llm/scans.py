@@ -36,10 +36,10 @@ DIGITS = {"O": "0", "o": "0", "l": "1", "I": "1", "|": "1", "S": "5", "B": "8"}
 MARKS = "-‐\xad¬"
 
 _L = "A-Za-zÀ-ɏ0-9"
-_WORD = re.compile(f"[{_L}|]*[{_L}][{_L}|]*")
+_WORD = re.compile(rf"\|*[{_L}][{_L}|]*")
 _FIRST = re.compile(rf"\s*({_WORD.pattern})")
 _CODE = re.compile(r"\b[A-Z]{2,4}-\d+")
-_COMPOUND = re.compile(f"(?<![{_L}-])[{_L}]+(?:-[{_L}]+)+(?![{_L}-])")
+_COMPOUND = re.compile(f"(?<![{_L}-])[{_L}]++(?:-[{_L}]++)++(?![{_L}-])")
 _BREAK = re.compile(f"([{MARKS}])[ \t]*\r?\n[ \t]*")
 _RUN = re.compile(f"[{_L}|]*")
 _DIGIT = r"(?:[\dlIOSBo|](?:,(?=\d{3}))?)"
@@ -566,7 +566,7 @@ def repaired(text: str, note: bool, heads: Heads | None, fixes: dict[tuple[str,
         at = b
     text = "".join([*out, text[at:]]).replace("\r\n", "\n")
     any_before = {w: p for (w, _), p in fixes.items()}
-    wrong = {w for w in set(_WORD.findall(text)) if w.lower() in any_before or not w.isalpha() and _MISREAD_NUMBER.match(w)}
+    wrong = {w for w in set(_WORD.findall(text)) if any_before and w.lower() in any_before or not w.isalpha() and _MISREAD_NUMBER.match(w)}
     out, at, before = [], 0, ""
     for m in _WORD.finditer(text) if wrong else ():
         w = m[0]
