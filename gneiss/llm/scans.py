@@ -84,20 +84,28 @@ def head_line(line: str) -> str | None:
     return key if len(key) >= 10 or not key.isascii() and sum(3 if c > "\u2e80" else 1 for c in key) >= 10 else None
 
 
+def parts(word: str, n: int) -> list[str]:
+    """``word`` cut into ``n`` parts."""
+    return [word[len(word) * i // n : len(word) * (i + 1) // n] for i in range(n)]
+
+
 def edits(a: str, b: str, most: int) -> bool:
-    """Whether at most ``most`` insertions, deletions and replacements turn one into the other."""
+    """Whether at most ``most`` insertions, deletions and replacements turn one into the other. Only places at most so far apart are compared, and only while there is hope."""
     if a == b or abs(len(a) - len(b)) > most:
         return a == b
-    n = len(a)
-    # of most + 1 parts, so many edits leave one as it is
-    if not any(a[n * i // (most + 1) : n * (i + 1) // (most + 1)] in b for i in range(most + 1)):
-        return False
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1] <= most
+    width, far = 2 * most + 1, most + 1
+    padded = "\0" * most + b + "\0" * width
+    # for each difference of places, from -most on, the edits so far
+    row = [far] * most + list(range(most + 1)) + [far]
+    for i, x in enumerate(a):
+        last, new = far, []
+        for d, y in enumerate(padded[i : i + width]):
+            last = row[d] if x == y else 1 + min(row[d], row[d + 1], last)
+            new.append(last)
+        if min(new) > most:
+            return False
+        row = [*new, far]
+    return row[len(b) - len(a) + most] <= most
 
 
 class Heads:
@@ -105,14 +113,23 @@ class Heads:
 
     def __init__(self, keys, exact: bool = False):
         self.keys = frozenset(keys)
-        near = {} if exact else {k: max(1, len(k) // 8) for k in self.keys}
-        self.by_length: dict[int, list[tuple[str, int]]] = {}
-        for k, most in near.items():
-            for n in range(len(k) - most, len(k) + most + 1):
-                self.by_length.setdefault(n, []).append((k, most))
+        # so many edits leave one of most + 1 parts as it is
+        near = [] if exact else [(k, most, parts(k, most + 1)) for k in self.keys for most in (max(1, len(k) // 8),)]
+        self.by_length: dict[int, list[tuple[str, int, list[str]]]] = {}
+        for head in near:
+            for n in range(len(head[0]) - head[1], len(head[0]) + head[1] + 1):
+                self.by_length.setdefault(n, []).append(head)
 
     def has(self, key: str) -> bool:
-        return key in self.keys or len(key) in self.by_length and any(edits(head, key, most) for head, most in self.by_length[len(key)])
+        if key in self.keys:
+            return True
+        for head, most, held in self.by_length.get(len(key), ()):
+            for p in held:
+                if p in key:
+                    if edits(head, key, most):
+                        return True
+                    break
+        return False
 
 
 def breaks(text: str) -> Iterator[tuple[int, int, str, str, str]]:
