@@ -69,9 +69,10 @@ _SALTS = 16
 def head_key(line: str) -> str:
     """A line apart from its page number, case, and everything but letters."""
     s = line.strip()
-    # without a dash or a digit (or what is read for one) at either end there is no page number
-    if s and (s[-1].isdecimal() or s[0].isdecimal() or s[-1] in _READ_FOR_DIGITS or s[0] in _READ_FOR_DIGITS or "-" in s or "–" in s or "—" in s):
+    # where a line does not begin or end with a digit, or what is read for one, or hold a dash, there is no page number
+    if s and (s[0].isdecimal() or s[0] in _READ_FOR_DIGITS):
         s = _SHEET_START.sub("", s, count=1)
+    if s and (s[-1].isdecimal() or s[-1] in _READ_FOR_DIGITS or "-" in s or "–" in s or "—" in s):
         s = s[:-64] + _SHEET_END.sub("", s[-64:])
     return s.encode().translate(_LOWER, _NO_LETTERS).decode() if s.isascii() else re.sub(r"[\W\d_]+", "", s).lower()
 
