@@ -189,6 +189,11 @@ SQL = {
     "article_units": ARTICLES,
     "article_units_fielding": f"select doc, line_no, unit_key from ({ARTICLES}) where aircraft <> ''",
     "layout_assets": LAYOUT_ASSETS,
+    "layout_spans": r"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no from documents),
+      w as (select doc_id, line_no, unnest(string_split(line, ' ')) as word, generate_subscripts(string_split(line, ' '), 1) as span from l),
+      v as (select *, cast(8 + length(word) % 7 as double) as size from w where regexp_replace(word, '[\t-\r\x{85}\p{Z}]+', '', 'g') <> '')
+      select cast(doc_id as varchar) as doc, 1000000000 + line_no as line_no, md5(trim(regexp_replace(string_agg(word, ' ' order by span), '[\t-\r\x{85}\p{Z}]+', ' ', 'g'))) as digest,
+        max(size) as size, 'F' || (arg_max(length(word), size * 1000000 - span) % 3) as font from v group by doc_id, line_no""",
     "laydown_prefix_join": LAYDOWN,
     "laydown_filtered": LAYDOWN_FILTERED,
     "laydown_chinese": f"{WITH} select unit_key, raw_designator, en_designator from l where lower(en_designator) = 'dbk-27' or lower(cn_designator) like '%dbk-27%' or lower(raw_designator) like '%dbk-27%'",

@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from gneiss.functions import codes, scenario, text
 from gneiss.operators.carry import carry
 from gneiss.operators import catalog, chunking, hub, laydown, metrics, nested, references, retrieval, stores, units
-from gneiss.sources import articles, layout
+from gneiss.sources import articles, files, layout
 from gneiss.tables import table
 
 #: Prefixes of the designators in these tables, and places that their texts speak of.
@@ -475,6 +475,13 @@ def layout_assets(spark, d):
     return layout.parse_layout(_layout_lines(spark, d), size=100000 * 4096)
 
 
+def layout_spans(spark, d):
+    """Lines put together again from their words, read as spans with a type size and font."""
+    words = _lines(spark, d).select(F.col("doc_id").cast("string").alias("doc"), F.lit(1).alias("page"), F.lit(0).alias("block"), F.col("line_no").alias("line"), F.posexplode(F.split("line", " ")).alias("span", "text"))
+    spans = words.withColumn("size", 8.0 + F.length("text") % 7).withColumn("font", F.concat(F.lit("F"), (F.length("text") % 3).cast("string")))
+    return files.lines_of_spans(spans).select("doc", "line_no", F.md5("text").alias("digest"), "size", "font")
+
+
 def unit_key_synthesis(spark, d):
     u = table(spark, d, "units").distinct()
     return u.select("unit_key", articles.unit_key(F.col("unit_name"), F.col("role"), F.col("location_text")).alias("made")).distinct()
@@ -495,6 +502,6 @@ QUERIES = {
         row_counts, upsert_latest, upsert_events, insert_or_ignore, cascade_links,
         vector_topk, vector_topk_parent, vector_topk_sources, context_snippets, passage_pages, vector_sizes, vector_batch, l2_normalize, hash_embed,
         ir_metrics, ir_summary, ir_to_inspect, ir_right_pages, ir_all_metrics, ir_all_summary, ir_all_to_inspect, ir_all_right_pages, quote_validation, anti_missing_refs, boilerplate_keys, strip_boilerplate, chunk_windows,
-        code_normalize, cell_split, scenario_resolve, retrieval_text, kv_parse, kv_lines, line_classify, carry_state, segment_runs, layout_titles, article_units, article_units_fielding, layout_assets, airbase_extract, unit_key_synthesis, quote_fold,
+        code_normalize, cell_split, scenario_resolve, retrieval_text, kv_parse, kv_lines, line_classify, carry_state, segment_runs, layout_titles, article_units, article_units_fielding, layout_assets, layout_spans, airbase_extract, unit_key_synthesis, quote_fold,
     )
 }

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gneiss.tables import ship
+
 LAYOUT = "doc string, page int, block int, line int, span int, text string, size double, font string"
 GOLD = T.StructType(
     [
@@ -41,6 +46,29 @@ def gold_cases(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(GOLD).json(path).filter("id is not null")
 
 
+def _yaml_cases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import json
+
+    import yaml
+
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            cases = [c for c in yaml.safe_load(text) or [] if isinstance(c, dict)]
+            yield pa.RecordBatch.from_arrays([pa.array([json.dumps(c, default=str) for c in cases], pa.string())], ["case"])
+
+
+def gold_yaml(spark: SparkSession, path: str) -> DataFrame:
+    """Retrieval cases from YAML files, each a list of cases with the fields of ``GOLD``; ``query`` stands for ``query_text``. A case without an id has no row, and other fields are left out.
+
+    A file is read by one task, so cases of many files are read side by side. Needs PyYAML on the executors.
+    """
+    ship(spark)
+    cases = spark.read.text(path, wholetext=True).mapInArrow(_yaml_cases, "case string")
+    fields = T.StructType([*GOLD.fields, T.StructField("query", T.StringType())])
+    c = cases.select(F.from_json("case", fields).alias("c")).select("c.*")
+    return c.withColumn("query_text", F.coalesce("query_text", "query")).select(*GOLD.names).filter("id is not null")
+
+
 def lines_of_spans(spans: DataFrame) -> DataFrame:
     """Lines of a page's text spans (``LAYOUT``): visible spans joined by spaces, with the size and font of the largest."""
     s = spans.filter(F.regexp_replace("text", r"(?U)\s+", "") != "")
